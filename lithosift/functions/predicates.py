@@ -236,7 +236,7 @@ def _compare(p: Prop, op: Callable, other) -> Predicate:
             return op(_as(b, p, kind), right)
         ready = next((c for path, c, t in b.ready if path == p.path and t == kind), None)
         if ready:  # a column of the same values, none of them an array
-            return F.coalesce(op(F.col(ready), right), F.lit(False))
+            return op(F.col(ready), right) & F.col(ready).isNotNull()  # two-valued, and the scan takes both
 
         def one(e: Column) -> Column:
             test = op(_element(e, kind), right)
