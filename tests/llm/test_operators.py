@@ -1,0 +1,448 @@
+"""The ten operators on small tables, against brute force, round trips and held-out rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lithosift.llm import exact_dedup, line_dedup, mixing, near_dedup, ogg, packing, pii, token_counts, toxicity, url_filter
+from lithosift.llm.common import tokenizer_path
+
+from .cases import PROSE, ROWS, docs, texts
+
+WHITE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def norm(t):
+    return WHITE.sub("", t or "")
+
+
+# 1. Lines.
+
+
+def brute_lines(rows):
+    """What stays of each text, from the definition."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    hashes = {r.l: r.h for r in spark.createDataFrame([(x,) for x in {x for _, t in rows for x in (t or "").split("\n")}], "l string").select("l", F.xxhash64("l").alias("h")).collect()}
+    cut = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        h = [hashes[x] % line_dedup.PRIME for x in lines]
+        r = [((h[k - 1] if k else 0) * line_dedup.BASE + h[k]) % line_dedup.PRIME for k in range(len(h))]
+        ends = [k for k in range(len(r)) if k == len(r) - 1 or (k and r[k] < r[k - 1] and r[k] < r[k + 1])]
+        cut[i, t or ""] = ["\n".join(lines[a + 1 : b + 1]) for a, b in zip([-1, *ends], ends, strict=False)]
+    first = {}
+    for (i, t), parts in sorted(cut.items(), key=lambda x: (x[0][0] is not None, x[0][0])):
+        for k, p in enumerate(parts):
+            if p.count("\n"):
+                first.setdefault(p, (i, t, k))
+    return {(i, t): "\n".join(p for k, p in enumerate(parts) if not p.count("\n") or first[p] == (i, t, k)) for (i, t), parts in cut.items()}
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(3)
+    passage = "\n".join(f"shared line {k} of a passage" for k in range(12))
+    rows = [(k, "\n".join(f"own {k} {rng.random()}" for _ in range(rng.randrange(1, 9))) + "\n" + passage + "\nend " + str(k)) for k in range(20)]
+    rows += [(30, "one line"), (31, "one line"), (32, ""), (33, None), (34, "a\n" * 50), (35, "a\n" * 50)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, [(*r, "en", "s") for r in rows])).collect()}
+    want = {i: t for (i, _), t in brute_lines(rows).items()}
+    assert got == want
+    # The passage stays once and all but the lines around its borders go elsewhere.
+    kept = [sum(line in got[k] for line in passage.split("\n")) for k in range(20)]
+    assert kept[0] == 12 and sorted(kept)[10] <= 6
+    assert got[30] == got[31] == "one line"
+
+
+def test_lines_odd_rows(spark):
+    got = line_dedup.dedup_lines(docs(spark)).collect()
+    assert len(got) == len(ROWS)
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_lines_compares_bytes(spark, monkeypatch):
+    """All hashes alike: chunks of other bytes must stay."""
+    monkeypatch.setattr(line_dedup, "chunk_hash", lambda hashes: F.size(hashes).cast("long"))
+    rows = texts("aaa\nbb", "ccc\ndd", "aaa\nbb")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {0: "aaa\nbb", 1: "ccc\ndd", 2: ""}
+
+
+# 2. Exact copies.
+
+
+def brute_exact(rows):
+    groups = defaultdict(list)
+    for k, (i, t, *_) in enumerate(rows):
+        groups[norm(t)].append((-len(t or ""), i is None, i or 0, k))
+    out = []
+    for t, g in groups.items():
+        best = min(g)
+        for *_, k in g:
+            out.append((rows[k][0], rows[best[3]][0], len(g), hashlib.sha256(t.encode()).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("primes", [exact_dedup.PRIMES, (3, 5)])
+def test_exact_against_brute_force(spark, primes):
+    """With tiny primes nearly all fingerprints collide, and the bytes decide."""
+    rng = random.Random(5)
+    rows = ROWS + [(100 + k, "".join(rng.choice("ab \n") for _ in range(rng.randrange(1, 5))), "en", "s") for k in range(60)]
+    got = exact_dedup.classes(docs(spark, rows), primes=primes).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute_exact(rows)
+    for sha in {r.text_sha256 for r in got}:
+        assert sum(r.kept for r in got if r.text_sha256 == sha) == 1
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+def test_fingerprints_compose(spark):
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 3 * exact_dedup.CHUNK + 77, dtype=np.uint8).tobytes()
+    whole = [0, 0]
+    for n, (base, prime) in enumerate(zip(exact_dedup.BASES, exact_dedup.PRIMES, strict=True)):
+        for b in data:
+            whole[n] = (whole[n] * base + b) % prime
+    assert exact_dedup.fingerprint(data) == tuple(whole)
+    # Documents over the limit are hashed chunk by chunk in other tasks, with the same result.
+    plain = exact_dedup.classes(docs(spark)).collect()
+    dealt = exact_dedup.classes(docs(spark), huge=1000).collect()
+    assert Counter(plain) == Counter(dealt)
+
+
+def test_exact_empty_and_keep_one(spark):
+    assert exact_dedup.classes(docs(spark, [])).count() == 0
+    left = exact_dedup.keep_one(docs(spark))
+    assert left.columns == docs(spark).columns
+    assert Counter(norm(r.text) for r in left.collect()) == Counter({norm(t) for _, t, *_ in ROWS})
+
+
+# 3. Ogg.
+
+
+def test_ogg_round_trip():
+    rng = random.Random(2)
+    for n in (1, 191, 192, 193, 2400, 70000, 200001):
+        payload = ogg.pad(rng.randbytes(n))
+        assert len(payload) % ogg.UNIT == 0 and ogg.read(ogg.write(payload))[0] == payload
+    # Packets over several pages, and odd packet sizes.
+    assert ogg.pad(b"") == b" " * 192 and ogg.pad(b"x" * 192) == b"x" * 192
+
+
+def test_ogg_checksum_from_its_definition():
+    def slow(data):
+        crc = 0
+        for b in data:
+            crc ^= b << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc & 1 << 31 else crc << 1) & 0xFFFFFFFF
+        return crc
+
+    for data in (b"", b"OggS", bytes(range(256))):
+        assert ogg.checksum(data) == slow(data)
+
+
+@pytest.mark.parametrize("at", [0, 5, 22, 30, -1])
+def test_ogg_damage_is_found(at):
+    media = bytearray(ogg.write(ogg.pad(b"some text " * 1000)))
+    media[at] ^= 1
+    with pytest.raises(ogg.OggError):
+        ogg.read(bytes(media))
+    with pytest.raises(ogg.OggError):
+        ogg.read(bytes(media[:-7]))
+
+
+def test_ogg_packets_go_on_over_pages():
+    """A packet of more than 255 segments and one that ends with a full segment."""
+    s = ogg._Writer(9)
+    out = list(s.packet(ogg._CODEC.pack(ogg.CODEC, 0, 0, ogg.U8, ogg.RATE, 8, 1, 0, 0), 0)) + [s.page()]
+    out += list(s.packet(b"a" * 255 * 300, 255 * 300)) + [s.page(last=True)]
+    stream = ogg.demultiplex(b"".join(out))[9]
+    assert stream.pages == 3 and stream.packets == [(255 * 300, b"a" * 255 * 300)]
+
+
+def test_media_columns(spark):
+    got = ogg.describe_media(ogg.to_media(docs(spark))).collect()
+    want = Counter()
+    for i, t, *_ in ROWS:
+        p = ogg.pad((t or "").encode())
+        want[i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    assert ogg.describe_media(ogg.to_media(docs(spark, []))).count() == 0
+
+
+# 4. Packing.
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path(packing.TOKENIZER))
+    rows = ROWS + [(50, "a <|endoftext|> b", "en", "s"), (51, " " * 5000 + "x" * 3000, "en", "s")]
+    got = defaultdict(list)
+    all_ = packing.pack(docs(spark, rows)).collect()
+    for r in all_:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length and r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0
+        got[r.doc_id].append((r.start, list(ids), r.doc_tokens))
+    assert len({r.sequence_id for r in all_}) == len(all_)
+    for i, text, *_ in rows:
+        want = [*t.encode(text or "", add_special_tokens=False).ids, packing.END]
+        same = sorted(got[i])
+        n = sum(x[0] == i for x in rows)
+        ids = []
+        for start, part, total in same[::n]:
+            assert start == len(ids) and total == len(want)
+            ids += part
+        assert ids == want
+    assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_cuts():
+    for n in [1, 2, 3, 2047, 2048, 2049, 5000]:
+        at = 0
+        for start, length in packing.cuts(n):
+            assert start == at and length & (length - 1) == 0
+            at += length
+        assert at == n
+
+
+# 5. Token counts.
+
+
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path(token_counts.TOKENIZER))
+    rows = ROWS + texts("It's we'll 'RE THE don't!!'s <|endoftext|>x", "İstanbul ΣΑΣ ﬀ ß 3½", "\x85\x1c a", "a" * 2000)
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs(spark, rows)).collect())
+    assert got == Counter((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x, *_ in rows)
+    assert token_counts.token_counts(docs(spark, [])).count() == 0
+
+
+def test_token_counts_at_every_prefix():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(token_counts.TOKENIZER)
+    t, c = Tokenizer.from_file(path), token_counts.counter(path)
+    for text in (PROSE, "They've said: it'll rain 120 mm, naïve éclair!!", "x''re 'll"):
+        p = token_counts.Prefixes(c, text)
+        for w, word in enumerate(p.words):
+            for k in range(len(word) + 1):
+                prefix = " ".join([*p.words[:w], word[:k]]) if k else " ".join(p.words[:w])
+                assert p.at(w, k) == len(t.encode(prefix, add_special_tokens=False).ids), (prefix,)
+        assert p.total() == len(t.encode(text, add_special_tokens=False).ids)
+        for budget in range(p.total() + 2):
+            n = p.within(budget)
+            assert (int(p.upto[n - 1]) if n else 0) <= budget and (n == len(p.words) or p.upto[n] > budget)
+
+
+# 6. Personal data.
+
+
+def test_pii_base_spans_equal_the_plain_expressions():
+    rng = random.Random(7)
+    pieces = ["a@b.co", "x.y+z@mail.example.org", "@", "a@b", "1.2.3.4", "1.2.3.4.5.6.7.8", "999.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234567", "+1-2", "++12345678901", "0" * 30, " ", "-", ".", "word", "é", "+", "12", "a@b.c@d.e"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", ".", "-"]) for _ in range(rng.randrange(12)))
+        base = [s for s in pii.find(text) if s.kind in pii.KINDS[: pii.BASE]]
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in base) == pii.brute(text), text
+
+
+def test_pii_validators_and_context():
+    assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB83 WEST 1234 5698 7654 32")
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    kinds = lambda t: [s.kind for s in pii.find(t)]
+    assert kinds("bank account GB82 WEST 1234 5698 7654 32.") == ["iban"] and kinds("GB83 WEST 1234 5698 7654 32") == []
+    assert kinds("my ssn is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert kinds("call 555-123-4567") == ["national_phone"] and kinds("serial 555-123-4567") == []
+
+
+def test_pii_long_runs_and_rows(spark):
+    for run in ("a" * 200000, "1" * 200000, "1." * 100000, "+" * 100000, "a@" * 50000, "1 " * 100000):
+        pii.find(run)
+    rows = ROWS + [(60, "mail me: jo.doe@example.com or +1 415 555 0100", "en", "s")]
+    got = Counter((r.doc_id, r.base_sha256) for r in pii.digest(pii.find_pii(docs(spark, rows))).collect())
+    assert got == Counter((i, pii.base_sha256(t or "")) for i, t, *_ in rows)
+    assert pii.digest(pii.find_pii(docs(spark, []))).count() == 0
+
+
+# 7. URLs.
+
+
+def test_url_cascade_is_exact(spark):
+    universe = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"))
+    listed = spark.range(0, 6000, 7).select(F.concat(F.lit("h"), "id").alias("key"))
+    c = url_filter.cascade(universe, listed)
+    assert len(c.levels) >= 2
+    wrong = universe.withColumn("is", F.expr("cast(substring(key, 2) as int) % 7 = 0")).filter(c.listed(F.col("key")) != F.col("is"))
+    assert wrong.count() == 0
+    assert url_filter.cascade(universe, listed, max_bits=64) is None
+
+
+URLS = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q", "http://x.org/en/1", "http://x.org", "ftp://de.com/de/1#f", "http://com/fr/", "no url", None, "", "http://bad.net/p", "http://Bad.net?x", "http://good.net/#/://", "http://u@x.com:80/fr/a", "http://com/fr/"]
+
+
+@pytest.mark.parametrize("max_bits", [url_filter.MAX_BITS, 0])
+def test_url_judging(spark, max_bits):
+    pages = spark.createDataFrame([(k, u, "x", "clash") for k, u in enumerate(URLS)], "page_id long, url string, html string, host string")
+    listed = spark.createDataFrame([("bad.net",), (None,), ("",), ("unseen.example",)], "key string")
+    got = {r.page_id: r for r in url_filter.judge(pages, listed, max_bits=max_bits).collect()}
+    for k, u in enumerate(URLS):
+        _, mark, rest = (u or "").partition("://")
+        host = re.split(r"[/?#]", rest)[0] if mark else ""
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        fits = [(len(t), t, v) for v, t in url_filter.RULES if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/", 1)[1])]
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if host == "bad.net" else "allow")
+        assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, verdict), u
+    assert url_filter.judge(pages.limit(0), listed).count() == 0
+
+
+# 8. Near copies.
+
+
+def brute_near(rows):
+    """Classes by comparing all pairs of bags, as sets of row numbers."""
+    bags = [near_dedup.bag(t or "") for _, t, *_ in rows]
+    top = list(range(len(rows)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if root(i) != root(j) and (bags[i][0] == bags[j][0] or (len(bags[i][1]) and len(bags[j][1]) and near_dedup.similarity(bags[i][1:], bags[j][1:]) >= near_dedup.THRESHOLD)):
+                top[root(i)] = root(j)
+    out = defaultdict(list)
+    for k in range(len(rows)):
+        out[root(k)].append(rows[k][0])
+    return Counter(tuple(sorted(v, key=str)) for v in out.values())
+
+
+def near(rows, spark):
+    got = near_dedup.near_classes(docs(spark, rows)).collect()
+    out, kept = defaultdict(list), Counter()
+    for r in got:
+        out[r.class_id, r.class_size].append(r.doc_id)
+        kept[r.class_id, r.class_size] += r.kept
+    assert all(len(v) % k[1] == 0 for k, v in out.items())
+    return Counter(tuple(sorted(v, key=str)) for v in out.values()), kept
+
+
+def test_near_against_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for g in range(6):
+        base = [rng.choice(words) for _ in range(150)]
+        for k in range(25):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 8)):  # some of these are below the threshold to each other, not to the base
+                copy[rng.randrange(150)] = rng.choice(words)
+            rows.append((g * 100 + k, " ".join(copy), "en", "s"))
+    rows += [(1000 + k, " ".join(rng.choice(words) for _ in range(60)), "en", "s") for k in range(40)]
+    got, kept = near(rows, spark)
+    assert got == brute_near(rows)
+    assert set(kept.values()) == {1}
+
+
+def test_near_odd_rows(spark):
+    got, _ = near(ROWS, spark)
+    assert (1, 2, 11, 11) in got or any(1 in g and 2 in g and 11 in g for g in got)
+    assert near_dedup.near_classes(docs(spark, [])).count() == 0
+    assert near_dedup.keep_one(docs(spark)).columns == docs(spark).columns
+
+
+def test_dart_signatures_estimate_weighted_similarity():
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    wa, wb = rng.integers(1, 5, 300), rng.integers(1, 5, 300)
+    order = lambda s, w: (np.sort(s), w[np.argsort(s)])
+    a, b = order(x[:300], wa), order(x[100:], wb)
+    sig = near_dedup.signatures([a, b])
+    true = near_dedup.similarity(a, b)
+    assert abs((sig[0] == sig[1]).mean() - true) < 4 * (true * (1 - true) / near_dedup.K) ** 0.5
+    assert (near_dedup.signatures([a])[0] == sig[0]).all()
+    one = near_dedup.signatures([(x[:1], np.array([1]))])  # a single shingle fills all coordinates
+    assert (one != 0).all()
+
+
+# 9. Mixing.
+
+
+def test_mixing_targets_and_order(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(["w"] * rng.randrange(0, 30)), "en", rng.choice(["a", "b", "c", "d", None])) for k in range(400)] + ROWS
+    got = mixing.curriculum(docs(spark, rows)).collect()
+    size = defaultdict(int)
+    for _, t, _, s in rows:
+        size[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    names = sorted([s for s in size if s is not None]) + [None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    target, full = {}, set()
+    while True:  # the excess is shared anew until none is above
+        rest = sum(size.values()) - sum(3 * size[s] for s in full)
+        total = sum(weight[s] for s in names if s not in full)
+        target = {s: 3 * size[s] if s in full else rest * weight[s] / total for s in names}
+        over = {s for s in names if s not in full and target[s] > 3 * size[s]}
+        if not over:
+            break
+        full |= over
+    by_target = defaultdict(int)
+    for r in got:
+        assert r.taken <= 3 * r.size and r.taken % max(r.size, 1) == 0
+        by_target[r.source_size, round(r.target, 6)] += r.taken
+        assert list(r.position) == sorted(r.position) and all(0 <= p <= 1 for p in r.position)
+    for s in names:
+        assert abs(by_target[size[s], round(target[s], 6)] - target[s]) <= max(r.size for r in got)
+    assert Counter(map(str, got)) == Counter(map(str, mixing.curriculum(docs(spark, rows).repartition(3)).collect()))
+    mixed = mixing.mix(docs(spark, rows))
+    assert mixed.columns == docs(spark).columns and mixed.count() == sum(r.copies for r in got)
+    assert mixing.curriculum(docs(spark, [])).count() == 0
+    assert mixing.curriculum(docs(spark, [(1, None, None, None)])).collect()[0].taken == 0
+
+
+# 10. Toxicity.
+
+
+def test_toxicity_on_held_out_rows(spark, sf):
+    rng = random.Random(1)
+    plain = ["river", "table", "stone", "cloud", "window", "garden", "letter", "morning", "market", "silver"]
+    rude = ["grobbler", "snarkface", "vileworm"]
+    rows, labels = [], []
+    for k in range(900):
+        words = [rng.choice(plain) + rng.choice(["", "s", "y"]) for _ in range(rng.randrange(20, 120))]
+        if toxic := k % 3 == 0:
+            word = rng.choice(rude)
+            for _ in range(2):
+                words[rng.randrange(len(words))] = word
+        rows.append((k, " ".join(words), "en", "s"))
+        labels.append((k, 1, int(toxic)))
+    table = spark.createDataFrame([*labels, (None, 1, 1), (5000, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows), table)
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, [*rows, *ROWS[3:]]), model).collect()}
+    held = [(got[k].predicted, y) for k, _, y in labels if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert len(held) > 200 and np.mean([p == y for p, y in held]) > 0.97
+    assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k in range(900))
+    # Unseen misspellings share n-grams with the words they come from.
+    odd = model.scores(["river grobblerr stones", "river grobler stones", "river market stones"])
+    assert min(odd[:2]) > odd[2]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    left = toxicity.keep_harmless(docs(spark, rows), model)
+    assert left.columns == docs(spark).columns and 580 <= left.count() <= 620
+
+
+def test_toxicity_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in toxicity.score(docs(spark), toxicity.fit(docs(spark), none)).collect()} == {0}
+    assert toxicity.score(docs(spark, []), toxicity.fit(docs(spark, []), none)).count() == 0
+
+
