@@ -13,10 +13,11 @@ to so many that K coordinates are filled as a rule, and further for documents wi
 
 Joining: BANDS groups of ROWS coordinates are hashed to buckets (a pair at 0.8 misses all with a probability of 6e-5).
 1. Equal bags of words are one node from the start, however many copies there are.
-2. Each node is compared with one other: the least node of the buckets it is in, the one that shares
-   the most of them.
-3. Buckets whose nodes are not all connected then are compared within, in blocks of at most BLOCK nodes against
-   each other, by signature first and exactly then; a task hands on a spanning forest of its links only.
+2. Each bucket's head is its node that has the largest buckets: in a group of edited copies, the original or the least edited
+   one. Each node is compared with the head that shares the most buckets with it.
+3. Buckets whose nodes are not all connected then are compared within, in blocks of about BLOCK nodes against
+   each other, by signature first and exactly then; a task hands on a spanning forest of its links only. A bucket's
+   largest component isn't compared with itself.
 No pairs of a bucket are emitted; copies of hot groups collapse in steps 1 and 2.
 
 Defined results: a null or wordless text has no shingles and is alike to the other wordless texts only if their text is the same
@@ -45,6 +46,8 @@ K = ROWS * BANDS
 #: Darts thrown at first: enough to fill K coordinates in 7 of 8 documents.
 DARTS = K * (math.log(K) + 2)
 BLOCK = 128
+#: Blocks of fewer nodes are compared without signatures.
+SIGN_FROM = 16
 #: Up to this many ids (16 bytes each) are broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 1 << 20
 
@@ -212,10 +215,8 @@ def _within(threshold: float, table: pa.Table) -> pa.Table:
     nodes = sorted(rows)
     bags = [unpack_bag(rows[n][2]) for n in nodes]
     mass = np.array([b[1].sum() for b in bags], np.float64)
-    full = [k for k in range(len(nodes)) if len(bags[k][0])]
-    sig = np.zeros((len(nodes), K), np.uint64)
-    if full:
-        sig[full] = signatures([bags[k] for k in full])
+    # Signatures pay off where there are many pairs.
+    sig = signatures(bags) if len(nodes) > SIGN_FROM else np.zeros((len(nodes), K), np.uint64)
     top: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -270,13 +271,16 @@ def links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Verified links (u, v) that connect the nodes of each class."""
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     buckets = nodes.select("node", "doc_id", F.explode("bands").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("who")).filter("n > 1")
-    held = cut(buckets.join(heads, "key"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("who")).filter("n > 1")
+    held = cut(buckets.join(sizes, "key"))
+    # A group's original, or the copy nearest to it, is in the large buckets more often than the others.
+    score = held.groupBy("node").agg(F.sum("n").alias("score"))
+    heads = held.select("key", "node").join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("head"))
     # The documents with a bucket in common with others, their bags read from the texts again.
     ids = held.select(F.col("doc_id").alias("id"), F.col("node").alias("of")).distinct()
     found = docs.join(_few(ids.select("id").distinct()), same(docs["doc_id"], F.col("id")), "left_semi")
     bags = cut(found.mapInArrow(_bags, "node long, bag binary").join(ids.select(F.col("of").alias("node")), "node", "left_semi").dropDuplicates(["node"]))
-    pairs = held.filter("node <> head").groupBy("node", "head").count().groupBy("node").agg(F.max_by("head", F.struct("count", "head")).alias("v")).select(F.col("node").alias("u"), "v")
+    pairs = held.select("key", "node").join(heads, "key").filter("node <> head.node").groupBy("node", "head").count().groupBy("node").agg(F.max(F.struct("count", "head")).alias("top")).select(F.col("node").alias("u"), F.col("top.head.node").alias("v"))
     # The bag of the one end, then that of the other.
     pairs = pairs.join(bags.select(F.col("node").alias("u"), F.col("bag").alias("bag_u")), "u")
     pairs = pairs.join(bags.select(F.col("node").alias("v"), F.col("bag").alias("bag_v")), "v")
@@ -284,11 +288,15 @@ def links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     label = cut(components(first))
     # Buckets that are not connected yet; of buckets with the same nodes, one.
     rest = held.select("key", "node", "n", "who").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.first("n").alias("n"), F.first("who").alias("who")).filter("a <> z").groupBy("n", "who").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = cut(rest.join(open_.select("key"), "key", "left_semi"))
-    rest = rest.withColumns({"of": blocks, "block": F.pmod(F.xxhash64("node", "key"), blocks).cast("int")})
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    per_label = rest.groupBy("key", "label").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("who").alias("who"))
+    open_ = per_label.groupBy("key").agg(F.max(F.struct("k", "label")).alias("major"), F.first("n").alias("n"), F.first("who").alias("who")).filter("major.k < n")
+    open_ = open_.groupBy("n", "who").agg(F.min(F.struct("key", "major")).alias("one")).select("one.key", F.col("one.major.label").alias("major"), F.ceil((F.col("n") - F.col("one.major.k")) / BLOCK).cast("int").alias("minors"), F.ceil(F.col("one.major.k") / BLOCK).cast("int").alias("majors"))
+    rest = rest.select("key", "node", "label").join(open_, "key")
+    # The bucket's largest component is not compared with itself: its blocks meet those of the other nodes alone.
+    mine = F.col("label") == F.col("major")
+    block = F.when(mine, F.col("minors") + F.pmod(F.xxhash64("node"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("node"), F.col("minors"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(mine, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
+    rest = cut(rest.select("key", "node", "label", block.alias("block"), F.explode(others).alias("other")))
     # Side 1 is the lower block, side 2 the higher; a block against itself has both.
     rest = rest.select("key", "node", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
     rest = rest.join(bags, "node")
