@@ -45,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Up to this many rows (16 to 50 bytes each) are broadcast; beyond, Spark shuffles both sides.
+BROADCAST_ROWS = 1 << 20
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, id_and_text, same, ship
+from .common import WHITE, cut, few, id_and_text, same, ship
 
 #: Moduli and multipliers of the two polynomials. Products of residues stay below 2**63.
 PRIMES = (2147483647, 2147483629)
@@ -35,8 +35,6 @@ BASES = (1103515245, 1664525 * 401 + 1)
 CHUNK = 1 << 16
 #: Documents over this many bytes are dealt out by chunk before they are hashed.
 HUGE = 1 << 23
-#: Up to this many rows (24 bytes each) of duplicate ids are broadcast; beyond, Spark shuffles.
-BROADCAST_ROWS = 1 << 20
 
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -109,9 +107,9 @@ def _huge_fingerprints(huge: DataFrame, primes) -> DataFrame:
         .selectExpr("doc_id", "uid", "n_points", "n_bytes", "sha", "no", f"substring(data, no * {CHUNK} + 1, {CHUNK}) AS part")
         .repartition("uid", "no")
     )
-    hashed = parts.mapInArrow(lambda b: _chunk_hashes(primes, b), "doc_id long, uid long, n_points long, n_bytes long, sha string, no int, h1 long, h2 long")
+    hashed = parts.mapInArrow(lambda b: _chunk_hashes(primes, b), "doc_id long, uid long, n_points long, n_bytes long, sha string, no long, h1 long, h2 long")
     # One chunk's hash moves left by the bytes that follow it, so each is shifted alone and the shifted ones are added.
-    shifted = hashed.mapInArrow(lambda b: _shift(primes, b), "doc_id long, uid long, n_points long, n_bytes long, sha string, no int, h1 long, h2 long")
+    shifted = hashed.mapInArrow(lambda b: _shift(primes, b), "doc_id long, uid long, n_points long, n_bytes long, sha string, no long, h1 long, h2 long")
     return shifted.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_points").alias("n_points"), F.first("n_bytes").alias("n_bytes"), F.first("sha").alias("sha"),
         (F.sum("h1") % primes[0]).alias("fp1"), (F.sum("h2") % primes[1]).alias("fp2"),
@@ -137,8 +135,7 @@ def fingerprints(docs: DataFrame, primes=PRIMES, huge: int = HUGE) -> DataFrame:
 
 def _members(docs: DataFrame, ids: DataFrame, primes) -> DataFrame:
     """(fp1, fp2, n_bytes, doc_id, sha, no, part): the chunks of the documents whose ids are given."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    ids = F.broadcast(ids) if few else ids
+    ids = few(ids)
     hit = docs.join(ids, same(docs["doc_id"], ids["id"]), "left_semi")
     return hit.mapInArrow(lambda b: _chunks(primes, b), "fp1 long, fp2 long, n_bytes long, doc_id long, n_points long, sha string, no int, part binary")
 
@@ -203,13 +200,18 @@ def _by_bytes(docs: DataFrame, fps: DataFrame, out: DataFrame, collided: DataFra
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all its columns, without the rows that classes() drops."""
-    kept = cut(classes(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_points").alias("__n")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sha = F.sha2(F.translate(text, WHITE.decode(), ""), 256)
-    out = docs.join(kept, same(F.col(id_col), F.col("__id")) & (sha == F.col("__sha")) & (F.length(text) == F.col("__n")), "left_semi")
-    # Only rows that repeat an id can be left twice.
-    again = cut(docs.groupBy(F.col(id_col).alias("__id")).count().filter("count > 1").select("__id"))
+    made = cut(classes(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_points").alias("__n"), F.col("kept").alias("__kept")))
+    # An id names one row, as a rule: then the ids that go are all there is to know.
+    again = cut(made.groupBy("__id").count().filter("count > 1").select("__id"))
+    gone = cut(made.filter("NOT __kept").select("__id").distinct())
+    out = docs.join(few(gone), same(F.col(id_col), F.col("__id")), "left_anti")
     if again.isEmpty():
         return out
-    one = out.join(again, same(F.col(id_col), F.col("__id")), "left_semi").dropDuplicates([id_col, text_col])
-    return out.join(again, same(F.col(id_col), F.col("__id")), "left_anti").unionByName(one)
+    # Rows that repeat an id are looked up by their text too, and one stays of those alike in both.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sha = F.sha2(F.translate(text, WHITE.decode(), ""), 256)
+    twice = docs.join(again, same(F.col(id_col), F.col("__id")), "left_semi")
+    kept = made.filter("__kept")
+    one = twice.join(kept, same(F.col(id_col), F.col("__id")) & (sha == F.col("__sha")) & (F.length(text) == F.col("__n")), "left_semi")
+    alone = docs.join(gone, same(F.col(id_col), F.col("__id")), "left_anti").join(again, same(F.col(id_col), F.col("__id")), "left_anti")
+    return alone.unionByName(one.dropDuplicates([id_col, text_col]))

@@ -59,6 +59,11 @@ def chunked(text: Column) -> Column:
     return let(lines, lambda x: let(F.struct(x.alias("lines"), F.transform(x, lambda y: F.xxhash64(y)).alias("hashes")), with_lines))
 
 
+def chunk_hash(hashes: Column) -> Column:
+    """The hash of a chunk, from its lines' hashes."""
+    return F.xxhash64(hashes)
+
+
 def _text(s: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(s["lines"], start + 1, n), "\n")
 
@@ -70,7 +75,7 @@ def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
         def chunk(start: Column, k: Column) -> Column:
             n = F.get(s["ends"], k) - start + 1
             more = [_text(s, start, n).alias("part")] if with_text else []
-            return F.struct(k.alias("no"), n.alias("n"), F.xxhash64(F.slice(s["hashes"], start + 1, n)).alias("hash"), *more)
+            return F.struct(k.alias("no"), n.alias("n"), chunk_hash(F.slice(s["hashes"], start + 1, n)).alias("hash"), *more)
 
         return F.transform(s["starts"], chunk)
 

@@ -33,16 +33,21 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """A text that is never null and sorts like the source, null last."""
+    return F.when(source.isNull(), "2").otherwise(F.concat(F.lit("1"), source.cast("string")))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
-    """From (source, source_size): also weight, target and start.
+    """From (key, source_size), a source's source_key() being its place in the order: also weight, target and start.
 
     Water filling: targets are weight * level, at most MOST * source_size. In the order of
     source_size / weight, sources are at their limit as long as the level that the ones before
     leave lies above it. One row per source is all that meets here.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    by_name = Window.orderBy("key")
     ratio = F.col("source_size") / F.col("weight")
-    before = Window.orderBy(ratio, F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy(ratio, "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy()
     limit = MOST * F.col("source_size")
     s = sizes.withColumn("weight", ((F.row_number().over(by_name) - 1) % 3 + 1).cast("long"))
@@ -53,7 +58,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = s.withColumns({"cap_sum": F.sum(F.when(F.col("capped"), limit).otherwise(0)).over(every), "cap_w": F.sum(F.when(F.col("capped"), F.col("weight")).otherwise(0)).over(every)})
     level = (F.col("weight") * (F.col("total") - F.col("cap_sum"))).cast("double") / (F.col("all_w") - F.col("cap_w")).cast("double")
     target = F.when(F.col("capped"), limit.cast("double")).otherwise(level)
-    return s.select("source", "source_size", "weight", target.alias("target"), ((4 - F.col("weight")) * 0.5).alias("start"))
+    return s.select("key", "source_size", "weight", target.alias("target"), ((4 - F.col("weight")) * 0.5).alias("start"))
 
 
 def positions(c: Column, target: Column, start: Column) -> Column:
@@ -66,17 +71,16 @@ def positions(c: Column, target: Column, start: Column) -> Column:
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = ()) -> DataFrame:
     """A row per row of docs: doc_id, size, source_size, target, taken, copies, position (of each taken copy, an array), and keep's columns in a struct named row."""
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), row.alias("row"))
+    d = docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("key"), words(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), row.alias("row"))
     d = d.withColumn("cell", F.substring("h", 1, DIGITS))
-    cells = d.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    plan = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")))
-    earlier = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("base", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0))).drop("cell_size")
-    cells = cells.alias("c").join(plan.alias("p"), F.expr("c.source <=> p.source")).select("c.source", "cell", "base", "source_size", "target", "start")
-    cells = cut(cells)
-    within = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cut(d.groupBy("key", "cell").agg(F.sum("size").alias("cell_size")))
+    plan = targets(cells.groupBy("key").agg(F.sum("cell_size").alias("source_size")))
+    earlier = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("base", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0))).drop("cell_size").join(plan, "key")
+    within = Window.partitionBy("key", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("upto", F.sum("size").over(within))
-    d = d.alias("d").join(cells.alias("c"), F.expr("d.source <=> c.source AND d.cell = c.cell")).select("d.doc_id", "d.size", "d.row", "c.source_size", "c.target", "c.start", F.expr("c.base + d.upto - d.size").alias("at"))
+    # Dealt out by the same two columns as the window, so the rows stay where they are.
+    d = d.join(cells, ["key", "cell"]).select("doc_id", "size", "row", "source_size", "target", "start", (F.col("base") + F.col("upto") - F.col("size")).alias("at"))
     starts = F.transform(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda k: k.cast("long") * F.col("source_size") + F.col("at"))
     starts = F.filter(starts, lambda c: (2 * c + F.col("size")).cast("double") < 2 * F.col("target"))
     d = d.withColumn("starts", F.when(F.col("size") > 0, starts).otherwise(F.array().cast("array<bigint>")))

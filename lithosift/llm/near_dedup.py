@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, same, ship
+from .common import cut, few, id_and_text, same, ship
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -48,8 +48,6 @@ DARTS = K * (math.log(K) + 2)
 BLOCK = 128
 #: Blocks of fewer nodes are compared without signatures.
 SIGN_FROM = 16
-#: Up to this many ids (16 bytes each) are broadcast; beyond, Spark shuffles.
-BROADCAST_ROWS = 1 << 20
 
 WORDS = re.compile(r"\w+")
 _U = np.uint64
@@ -263,10 +261,6 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Verified links (u, v) that connect the nodes of each class."""
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
@@ -278,7 +272,7 @@ def links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     heads = held.select("key", "node").join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("head"))
     # The documents with a bucket in common with others, their bags read from the texts again.
     ids = held.select(F.col("doc_id").alias("id"), F.col("node").alias("of")).distinct()
-    found = docs.join(_few(ids.select("id").distinct()), same(docs["doc_id"], F.col("id")), "left_semi")
+    found = docs.join(few(ids.select("id").distinct()), same(docs["doc_id"], F.col("id")), "left_semi")
     bags = cut(found.mapInArrow(_bags, "node long, bag binary").join(ids.select(F.col("of").alias("node")), "node", "left_semi").dropDuplicates(["node"]))
     pairs = held.select("key", "node").join(heads, "key").filter("node <> head.node").groupBy("node", "head").count().groupBy("node").agg(F.max(F.struct("count", "head")).alias("top")).select(F.col("node").alias("u"), F.col("top.head.node").alias("v"))
     # The bag of the one end, then that of the other.
@@ -318,13 +312,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, with all its columns, one row of each class."""
-    kept = cut(near_classes(docs, id_col, text_col, threshold).filter("kept").select(F.col("doc_id").alias("__id")))
-    out = docs.join(kept, same(F.col(id_col), F.col("__id")), "left_semi")
-    # Only rows that repeat an id can be too many: one stays for each class that the id stands for.
-    again = cut(docs.groupBy(F.col(id_col).alias("__id")).count().filter("count > 1").select("__id"))
+    """docs, with all its columns, one row of each class.
+
+    Rows that repeat an id stay if one of them does, one of those alike in id and text.
+    """
+    made = cut(near_classes(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).groupBy("__id").agg(F.max("__kept").alias("__kept"), F.count("*").alias("__n")))
+    out = docs.join(few(made.filter("NOT __kept").select("__id")), same(F.col(id_col), F.col("__id")), "left_anti")
+    again = made.filter("__n > 1").select("__id")
     if again.isEmpty():
         return out
-    twice = out.join(again, same(F.col(id_col), F.col("__id")), "left_semi")
-    one = twice.dropDuplicates([id_col, text_col])
+    one = out.join(again, same(F.col(id_col), F.col("__id")), "left_semi").dropDuplicates([id_col, text_col])
     return out.join(again, same(F.col(id_col), F.col("__id")), "left_anti").unionByName(one)
