@@ -2,7 +2,7 @@
 
 The base kinds (email, ip, card, phone) are what their expressions and checks say, always kept. The other kinds start
 from a score; words near the span raise or lower it, and spans at THRESHOLD or more
-stay. Each kind's spans are leftmost and don't overlap; spans of different kinds may.
+stay, unless they overlap a base span. Each kind's spans are leftmost and don't overlap; spans of different kinds may.
 
 All expressions are written so that a text of n characters takes time in proportion to n.
 
@@ -121,9 +121,10 @@ def _score(kind: str, text: str, start: int, end: int) -> float:
 def find(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """All spans, by start and then kind. Offsets are code points."""
     out = [Span(k, *x, 1.0) for k, f in (("email", emails), ("ip", ips), ("card", cards), ("phone", phones)) for x in f(text)]
+    taken = [(s.start, s.end) for s in out]
     for kind, pattern, valid in (("iban", IBAN, mod97), ("ssn", SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9"), ("routing", ROUTING, routing), ("national_phone", NATIONAL, None)):
         for m in pattern.finditer(text):
-            if (valid is None or valid(m[0])) and (score := _score(kind, text, *m.span())) >= threshold:
+            if (valid is None or valid(m[0])) and not any(a < m.end() and m.start() < b for a, b in taken) and (score := _score(kind, text, *m.span())) >= threshold:
                 out.append(Span(kind, *m.span(), score))
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 

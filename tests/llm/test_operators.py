@@ -260,6 +260,7 @@ def test_pii_validators_and_context():
     kinds = lambda t: [s.kind for s in pii.find(t)]
     assert kinds("bank account GB82 WEST 1234 5698 7654 32.") == ["iban"] and kinds("GB83 WEST 1234 5698 7654 32") == []
     assert kinds("my ssn is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert kinds("call +1 (555) 123-4567") == ["phone"]
     assert kinds("call 555-123-4567") == ["national_phone"] and kinds("serial 555-123-4567") == []
 
 
