@@ -12,6 +12,7 @@ table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -118,13 +119,30 @@ def _score(kind: str, text: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, score + 0.3 * bool(up.search(near)) - 0.3 * bool(down.search(near))))
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same stretches of text, in order and without overlaps."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hit(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the merged spans overlaps start to end."""
+    k = bisect.bisect_left(spans, (end,)) - 1
+    return k >= 0 and spans[k][1] > start
+
+
 def find(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """All spans, by start and then kind. Offsets are code points."""
     out = [Span(k, *x, 1.0) for k, f in (("email", emails), ("ip", ips), ("card", cards), ("phone", phones)) for x in f(text)]
-    taken = [(s.start, s.end) for s in out]
+    taken = _merged([(s.start, s.end) for s in out])
     for kind, pattern, valid in (("iban", IBAN, mod97), ("ssn", SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9"), ("routing", ROUTING, routing), ("national_phone", NATIONAL, None)):
         for m in pattern.finditer(text):
-            if (valid is None or valid(m[0])) and not any(a < m.end() and m.start() < b for a, b in taken) and (score := _score(kind, text, *m.span())) >= threshold:
+            if (valid is None or valid(m[0])) and not _hit(taken, *m.span()) and (score := _score(kind, text, *m.span())) >= threshold:
                 out.append(Span(kind, *m.span(), score))
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
