@@ -7,7 +7,7 @@ the order of a hash, form a stream that is read up to 3 times; the word at c of
 D_i(t) = c, so the training position of a copy of a document that starts at c is D_i inverted at c.
 A copy is taken if its middle lies before T_i, so a source's taken words miss the target by half a document at most.
 
-Running sums: rows are dealt by (source, first digits of the hash), added up within such a cell and
+The hash is that of the id, or of the text where there is none. Running sums: rows are dealt by (source, first digits of the hash), added up within such a cell and
 shifted by the sums of the cells before. A source is never one group: the cells have about equal numbers
 of rows, whatever the sources' sizes.
 
@@ -71,7 +71,7 @@ def positions(c: Column, target: Column, start: Column) -> Column:
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = ()) -> DataFrame:
     """A row per row of docs: doc_id, size, source_size, target, taken, copies, position (of each taken copy, an array), and keep's columns in a struct named row."""
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
-    d = docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("key"), words(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), row.alias("row"))
+    d = docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("key"), words(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("h"), row.alias("row"))
     d = d.withColumn("cell", F.substring("h", 1, DIGITS))
     cells = cut(d.groupBy("key", "cell").agg(F.sum("size").alias("cell_size")))
     plan = targets(cells.groupBy("key").agg(F.sum("cell_size").alias("source_size")))
@@ -91,14 +91,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """docs' columns, a row per copy that training consumes, range-sorted by training position."""
     d = curriculum(docs, id_col, text_col, source_col, keep=docs.columns).filter("copies > 0")
     d = d.select(F.explode("position").alias("__position"), "row")
-    n = d.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return d.repartitionByRange(int(n), "__position").sortWithinPartitions("__position").select("row.*")
+    return d.repartitionByRange("__position").sortWithinPartitions("__position").select("row.*")
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS h FROM documents),
 s AS (
   SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),

@@ -48,7 +48,9 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(documents(spark, sf_dir))
-    plan = plan.repartitionByRange(F.get("position", F.lit(0))).sortWithinPartitions(F.get("position", F.lit(0)))
+    # Documents that aren't taken have no position; the id parts them.
+    order = [F.get("position", F.lit(0)), "doc_id"]
+    plan = plan.repartitionByRange(*order).sortWithinPartitions(*order)
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
