@@ -90,6 +90,11 @@ def box(xmin: float, ymin: float, xmax: float, ymax: float, srid: int | None = N
     return polygon([(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)]).with_srid(srid)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, also where body uses it inside of another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # Constructors from columns.
 
 
@@ -158,8 +163,12 @@ def _joined(ring: Column, z: Column, m: Column) -> Column:
 
 def ewkt(geometry: Column) -> Column:
     """Extended well-known text, with SRID=n; in front if the geometry has one."""
+    has = lambda n: F.exists(vertices(geometry), lambda v: v[n].isNotNull())
+    return let(F.struct(has("z").alias("z"), has("m").alias("m")), lambda d: _ewkt(geometry, d["z"], d["m"]))
+
+
+def _ewkt(geometry: Column, z: Column, m: Column) -> Column:
     parts, kind = geometry["parts"], geometry["type"]
-    z, m = F.exists(vertices(geometry), lambda v: v["z"].isNotNull()), F.exists(vertices(geometry), lambda v: v["m"].isNotNull())
     ring = lambda r: _joined(r, z, m)
     area = lambda p: F.concat(F.lit("("), F.array_join(F.transform(p["rings"], ring), ","), F.lit(")"))
     flat = lambda p: ring(p["rings"][0])
@@ -187,33 +196,32 @@ def _decode_one(g: Column) -> Column:
     def coordinates(depth: int) -> Column:
         return F.try_variant_get(g, "$.coordinates", "array<" * depth + "double" + ">" * depth)
 
-    def reader(first: Column) -> Callable[[Column], Column]:
-        n = F.size(first)
-
-        def vertex(a: Column) -> Column:
-            at = lambda k, on: F.when(on, F.get(a, F.lit(k))).cast("double")
-            return F.struct(F.get(a, F.lit(0)).alias("x"), F.get(a, F.lit(1)).alias("y"), at(2, n >= 3).alias("z"), at(3, n >= 4).alias("m"))
-
-        return vertex
+    def vertex(a: Column, n: Column) -> Column:
+        at = lambda k: F.when(n > k, F.get(a, F.lit(k))).cast("double")
+        return F.struct(F.get(a, F.lit(0)).alias("x"), F.get(a, F.lit(1)).alias("y"), at(2).alias("z"), at(3).alias("m"))
 
     def part(kind: str, rings: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), rings.alias("rings"))
 
-    def bad(points: Column) -> Column:
-        return F.exists(points, lambda a: a.isNull() | (F.size(a) < 2) | F.exists(a, lambda c: c.isNull()))
+    def good(points: Column) -> Column:
+        """Each point has two numbers or more; null if there are no points to test."""
+        return ~F.exists(points, lambda a: a.isNull() | (F.size(a) < 2) | F.exists(a, lambda c: c.isNull()))
+
+    def read(depth: int, flat: Callable[[Column], Column], made: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+        """made(coordinates, vertex reader) if all points are good; the first point says how many dimensions there are."""
+        points = lambda c: F.struct(c.alias("c"), F.size(F.get(flat(c), F.lit(0))).alias("n"))
+        return let(coordinates(depth), lambda c: let(points(c), lambda s: F.when(good(flat(s["c"])), made(s["c"], lambda a: vertex(a, s["n"])))))
 
-    c1, c2, c3, c4 = (coordinates(d) for d in (1, 2, 3, 4))
-    f2, f3 = F.flatten(c3), F.flatten(F.flatten(c4))
-    v1, v2 = reader(c1), reader(F.get(c2, F.lit(0)))
-    v3, v4 = reader(F.get(f2, F.lit(0))), reader(F.get(f3, F.lit(0)))
-    empty = F.array().cast(PARTS)
+    empty, same, flat2 = F.array().cast(PARTS), lambda c: c, lambda c: F.flatten(c)
+    flat3 = lambda c: F.flatten(F.flatten(c))
+    or_empty = lambda c, made: F.when(F.size(c) == 0, empty).otherwise(made)
     return (
-        F.when((kind == "Point") & c1.isNotNull(), F.when(F.size(c1) == 0, empty).when((F.size(c1) >= 2) & ~F.exists(c1, lambda c: c.isNull()), F.array(part("P", F.array(F.array(v1(c1)))))))
-        .when((kind == "LineString") & ~bad(c2), F.when(F.size(c2) == 0, empty).otherwise(F.array(part("L", F.array(F.transform(c2, v2))))))
-        .when((kind == "MultiPoint") & ~bad(c2), F.transform(c2, lambda a: part("P", F.array(F.array(v2(a))))))
-        .when((kind == "Polygon") & ~bad(f2), F.when(F.size(c3) == 0, empty).otherwise(F.array(part("A", F.transform(c3, lambda r: F.transform(r, v3))))))
-        .when((kind == "MultiLineString") & ~bad(f2), F.transform(c3, lambda r: part("L", F.array(F.transform(r, v3)))))
-        .when((kind == "MultiPolygon") & ~bad(f3), F.transform(c4, lambda p: part("A", F.transform(p, lambda r: F.transform(r, v4)))))
+        F.when(kind == "Point", read(1, lambda c: F.when(F.size(c) == 0, F.array().cast("array<array<double>>")).otherwise(F.array(c)), lambda c, v: or_empty(c, F.array(part("P", F.array(F.array(v(c))))))))
+        .when(kind == "LineString", read(2, same, lambda c, v: or_empty(c, F.array(part("L", F.array(F.transform(c, v)))))))
+        .when(kind == "MultiPoint", read(2, same, lambda c, v: F.transform(c, lambda a: part("P", F.array(F.array(v(a)))))))
+        .when(kind == "Polygon", read(3, flat2, lambda c, v: or_empty(c, F.array(part("A", F.transform(c, lambda r: F.transform(r, v)))))))
+        .when(kind == "MultiLineString", read(3, flat2, lambda c, v: F.transform(c, lambda r: part("L", F.array(F.transform(r, v))))))
+        .when(kind == "MultiPolygon", read(4, flat3, lambda c, v: F.transform(c, lambda p: part("A", F.transform(p, lambda r: F.transform(r, v))))))
         .cast(PARTS)
     )
 
