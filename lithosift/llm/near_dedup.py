@@ -70,7 +70,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, remembered up to a number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         return h
@@ -189,6 +189,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys[k] = row
             cols = [batch.column("doc_id").slice(start, at - start), pa.array([b[0] for b in bags], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "bands"])
+    _hashes.clear()  # workers live on; what they remember of words doesn't
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +197,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, max(1, batch.num_rows), 512):
             bags = [bag(t) for t in batch.column("text").slice(at, 512).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in bags], pa.int64()), pa.array([pack_bag(*b[1:]) for b in bags], pa.binary())], ["node", "bag"])
+    _hashes.clear()
 
 
 def _compare(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

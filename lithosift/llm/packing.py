@@ -19,6 +19,7 @@ aren't read.
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,11 +43,9 @@ CELLS = 12
 @lru_cache(2)
 def encoder(tokenizer: str, ranks: str | None):
     """text -> numpy array of token ids."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    full = Tokenizer.from_file(tokenizer)
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
+    with open(tokenizer, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    full = []  # the library's tokenizer, once it is needed
     fast = None
     if ranks:
         import public_tokenizers
@@ -63,7 +62,12 @@ def encoder(tokenizer: str, ranks: str | None):
             except Exception as e:  # its regular expressions give up on some very long runs
                 if "stack" not in str(e).lower() and "backtrack" not in str(e).lower():
                     raise
-        return np.asarray(full.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not full:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            full.append(Tokenizer.from_file(tokenizer))
+        return np.asarray(full[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 

@@ -447,3 +447,12 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs(spark, []), toxicity.fit(docs(spark, []), none)).count() == 0
 
 
+
+
+def test_toxicity_forgets_words_between_batches_only(monkeypatch):
+    """A full memory is emptied before a batch, never within it."""
+    monkeypatch.setattr(toxicity, "REMEMBER", 3)
+    model = toxicity.train([("grobbler here", 1), ("quiet day here", 0)] * 10)
+    want = model.scores(["one two three four", "one five six"])
+    for _ in range(3):
+        assert model.scores(["one two three four", "one five six"]) == want
