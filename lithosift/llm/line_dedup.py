@@ -9,6 +9,12 @@ A chunk of two or more lines that occurs more than once in the corpus is removed
 first place (smallest doc_id, null first, then place in the document), after its bytes were compared with
 those of the first place. Chunks with equal hashes and other bytes are grouped by their bytes.
 
+Short passages often contain no whole chunk. dedup_runs() therefore goes on with windows: two lines that aren't empty and
+follow each other, with the empty lines between them. A window with an earlier place in the corpus, byte-compared
+like a chunk, goes with all its lines, so overlapping windows merge into the longest repeated runs, whatever
+lines stand around them. A window that overlaps its own first place isn't a second one. Each line that goes
+has an equal one at an earlier place, so all lines stay somewhere.
+
 Defined results: a null text counts as empty; texts of one line are never changed; rows that repeat both doc_id and
 text are one document, so they are changed alike; an empty table gives an empty result; other columns
 aren't read.
@@ -75,12 +81,12 @@ def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
         def chunk(start: Column, k: Column) -> Column:
             n = F.get(s["ends"], k) - start + 1
             more = [_text(s, start, n).alias("part")] if with_text else []
-            return F.struct(k.alias("no"), n.alias("n"), chunk_hash(F.slice(s["hashes"], start + 1, n)).alias("hash"), *more)
+            return F.struct(k.alias("no"), start.alias("start"), n.alias("n"), chunk_hash(F.slice(s["hashes"], start + 1, n)).alias("hash"), *more)
 
         return F.transform(s["starts"], chunk)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(let(chunked(F.col("text")), one)).alias("c")).filter("c.n >= 2")
-    return rows.select("c.hash", F.struct("doc_id", "th", F.col("c.no").alias("no")).alias("at"), *(["c.part"] if with_text else []))
+    return rows.select("c.hash", F.struct("doc_id", "th", F.col("c.no").alias("no"), F.col("c.start").alias("start"), F.col("c.n").alias("n")).alias("at"), *(["c.part"] if with_text else []))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -88,8 +94,25 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def windows(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """A row per window: hash, at (its place; no is its first line, n its number of lines), and part if asked for."""
+    lines = F.split("text", "\n", -1)
+    # Explodes first, so that hashing runs in generated code.
+    full = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size(lines) - 1).alias("no"), lines.alias("line")), lambda x: x["line"] != "")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), full.alias("full")).filter(F.size("full") >= 2)
+    rows = rows.select("doc_id", "th", F.explode(F.arrays_zip(F.slice("full", F.lit(1), F.size("full") - 1).alias("a"), F.slice("full", F.lit(2), F.size("full") - 1).alias("b"))).alias("w"))
+    n = (F.col("w.b.no") - F.col("w.a.no") + 1).alias("n")
+    part = [F.concat("w.a.line", F.repeat(F.lit("\n"), n - 1), "w.b.line").alias("part")] if with_text else []
+    return rows.select(window_hash(F.col("w.a.line"), F.col("w.b.line"), n).alias("hash"), F.struct("doc_id", "th", F.col("w.a.no").alias("no"), n).alias("at"), *part)
+
+
+def window_hash(a: Column, b: Column, n: Column) -> Column:
+    """The hash of a window, from its two lines and the number of its lines."""
+    return F.xxhash64(a, b, n)
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """The places that go: doc_id, th, no."""
+    """The places that go: doc_id, th, no, start and n (its first line and number of lines)."""
     places = chunks(docs)
     several = cut(places.groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("NOT first <=> last").drop("last"))
     held = chunks(docs, with_text=True).join(_few(several), "hash")
@@ -104,6 +127,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return gone.select("at.*")
 
 
+def repeated_windows(docs: DataFrame, chunks_gone: DataFrame) -> DataFrame:
+    """The places that go (doc_id, th, no, n), but not those that chunks_gone (doc_id, th, lines) has already."""
+    # Counted by the hash alone first, so that few places are sorted.
+    several = _few(cut(windows(docs).groupBy("hash").count().filter("count > 1").select("hash")))
+    firsts = cut(windows(docs).join(several, "hash").groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("NOT first <=> last").drop("last"))
+    held = windows(docs, with_text=True).join(_few(firsts), "hash")
+    held = held.join(_few(chunks_gone), F.expr("at.doc_id <=> gone_id AND at.th = gone_th"), "left")
+    # Windows within the chunks that go need no comparison.
+    held = held.filter("at <=> first OR gone_lines IS NULL OR NOT (array_contains(gone_lines, at.no) AND array_contains(gone_lines, at.no + at.n - 1))")
+    texts = cut(held.filter("at <=> first").groupBy("hash").agg(F.min("part").alias("first_part")))
+    rest = held.filter("NOT at <=> first").select("hash", "at", "first", "part").join(texts, "hash").select("hash", "at", "first", "part", (F.col("part") == F.col("first_part")).alias("equal"))
+    unlike = cut(rest.filter("NOT equal").select("hash", "at", "part"))
+    gone = rest.filter("equal").select("at", "first")
+    if not unlike.isEmpty():
+        own = unlike.groupBy("hash", "part").agg(F.min("at").alias("first"))
+        gone = gone.unionByName(unlike.join(own, ["hash", "part"]).filter("NOT at <=> first").select("at", "first"))
+    return gone.filter("NOT (at.doc_id <=> first.doc_id AND at.th = first.th AND at.no < first.no + first.n)").select("at.*")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, text (what stays), n_lines, n_chunks, removed_chunks and removed_lines."""
     docs = id_and_text(docs, id_col, text_col)
@@ -117,3 +159,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return let(nos, lambda x: F.struct(F.array_join(parts(x), "\n").alias("text"), F.size(s["lines"]).alias("n_lines"), F.size(s["ends"]).alias("n_chunks"), (F.size(s["ends"]) - F.size(x)).alias("removed_chunks"), (F.size(s["lines"]) - n(x)).alias("removed_lines")))
 
     return rows.select("doc_id", let(chunked(F.col("text")), kept).alias("k")).select("doc_id", "k.*")
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per row of docs: doc_id, text (what stays without repeated chunks and windows), n_lines, removed_chunks and removed_lines."""
+    docs = id_and_text(docs, id_col, text_col)
+    who = [F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")]
+    lines = lambda start: F.array_distinct(F.flatten(F.collect_list(F.sequence(start, start + F.col("n") - 1)))).alias("gone_lines")
+    chunks_gone = cut(repeated_chunks(docs).distinct().groupBy(*who).agg(lines(F.col("start")), F.count("*").cast("int").alias("gone_chunks")))
+    windows_gone = repeated_windows(docs, chunks_gone).distinct().groupBy(*who).agg(lines(F.col("no")), F.lit(0).alias("gone_chunks"))
+    gone = cut(chunks_gone.unionByName(windows_gone).groupBy("gone_id", "gone_th").agg(F.array_distinct(F.flatten(F.collect_list("gone_lines"))).alias("gone_lines"), F.sum("gone_chunks").cast("int").alias("gone_chunks")))
+    rows = docs.join(_few(gone), F.expr("doc_id <=> gone_id AND xxhash64(text) = gone_th"), "left")
+    rows = rows.select("doc_id", F.split("text", "\n", -1).alias("lines"), "gone_lines", F.coalesce("gone_chunks", F.lit(0)).alias("removed_chunks"))
+    rows = rows.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone_lines", F.array().cast("array<int>"))))
+    text = F.array_join(F.transform("stay", lambda k: F.get("lines", k)), "\n").alias("text")
+    return rows.select("doc_id", text, F.size("lines").alias("n_lines"), "removed_chunks", (F.size("lines") - F.size("stay")).alias("removed_lines"))

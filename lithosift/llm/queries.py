@@ -12,7 +12,7 @@ from .common import documents
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    out = line_dedup.dedup_runs(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "removed_lines", "removed_chunks", F.sha2("text", 256).alias("text_sha256"))
 
 

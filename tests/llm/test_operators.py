@@ -74,6 +74,52 @@ def test_lines_compares_bytes(spark, monkeypatch):
     assert got == {0: "aaa\nbb", 1: "ccc\ndd", 2: ""}
 
 
+def brute_runs(rows):
+    """Numbers of the lines that windows take of each text, from the definition, and whether each of them stays elsewhere."""
+    first, gone = {}, {i: set() for i, _ in rows}
+    for i, t in sorted(rows):
+        full = [(k, x) for k, x in enumerate(t.split("\n")) if x]
+        for (a, x), (b, y) in zip(full, full[1:], strict=False):
+            at = first.setdefault((x, y, b - a), (i, a, b))
+            if at[0] != i or a > at[2]:
+                gone[i] |= set(range(a, b + 1))
+    return gone
+
+
+def test_runs_of_few_lines_go_wherever_they_stand(spark):
+    rng = random.Random(8)
+    rows, k = [], 0
+    for size in (2, 3, 4, 5, 6):
+        for p in range(12):
+            passage = [f"passage {size} {p} line {x}" for x in range(size)]
+            if p % 3 == 0:
+                passage.insert(1, "")
+            for _ in range(3):
+                own = lambda: [f"own {k} {rng.random()}" for _ in range(rng.randrange(0, 7))]  # noqa: B023, E731
+                rows.append((k, "\n".join([*own(), *passage, *own()])))
+                k += 1
+    rows += [(k, "x\n" * 6), (k + 1, "single\n\nalone"), (k + 2, "single\n\n\nother"), (k + 3, "")]
+    got = {r.doc_id: r for r in line_dedup.dedup_runs(docs(spark, [(*r, "en", "s") for r in rows])).collect()}
+    gone = brute_runs(rows)
+    for i, t in rows:
+        lines = t.split("\n")
+        assert got[i].text == "\n".join(x for n, x in enumerate(lines) if n not in gone[i]), t
+        assert (got[i].n_lines, got[i].removed_lines) == (len(lines), len(gone[i]))
+    # All later copies of all passages go, and all lines stay somewhere.
+    assert sum("passage" in r.text for r in got.values()) == 60
+    assert {x for r in got.values() for x in r.text.split("\n")} >= {x for _, t in rows for x in t.split("\n") if x}
+
+
+def test_runs_odd_rows_and_bytes(spark, monkeypatch):
+    assert len(line_dedup.dedup_runs(docs(spark)).collect()) == len(ROWS)
+    assert line_dedup.dedup_runs(docs(spark, [])).count() == 0
+    # All hashes of windows alike: other bytes must stay.
+    monkeypatch.setattr(line_dedup, "window_hash", lambda a, b, n: n.cast("long"))
+    rows = texts("p\naaa\nbb\nq", "r\nccc\ndd\ns", "t\naaa\nbb\nu", "v\nccc\ndd\nw")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(docs(spark, rows)).collect()}
+    assert got == {0: "p\naaa\nbb\nq", 1: "r\nccc\ndd\ns", 2: "t\nu", 3: "v\nw"}
+
+
 # 2. Exact copies.
 
 
