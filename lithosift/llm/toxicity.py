@@ -1,14 +1,16 @@
 """Toxicity by bags of subword embeddings, averaged, into a linear softmax; trained jointly in numpy.
 
-A word (lower-cased run of letters, digits and underscores) is the average of the embeddings of its character n-grams, with
+A word (lower-cased run of letters and digits) is the average of the embeddings of its character n-grams, with
 marks for its ends, and of the whole word, all hashed to BUCKETS rows; so a misspelling that was never seen
 shares most of its vectors with the word it comes from. A text is scored in stretches of WINDOW words: the
 average of a stretch's words (a repeated word counts as nothing the second time) goes through a linear softmax of two
 classes, and the text has its highest stretch's score, so a few words count in a long text as much as in a short one. All words of all texts are scored.
+Runs of over LONGEST code points (unspaced text, words run together) become overlapping pieces of PIECE code points, each a word of its
+own, so what stands in a run counts wherever it stands.
 
 Training fits embeddings and softmax together (Adam on the cross entropy) on a bounded sample of the labelled rows: up to
 SAMPLE of each label, in the order of a hash of the id, of up to MAX_POINTS code points each; longer ones are
-passed over. The stretches of a text labelled 1 first all count as toxic; then, in the last epochs, only the ones
+passed over. All stretches of these texts are learned from. The stretches of a text labelled 1 first all count as toxic; then, in the last epochs, only the ones
 that the model itself finds toxic most, since most stretches of such a text are harmless.
 
 Defined results: a null or wordless text gets the model's score for no words at all; null ids and repeated rows are scored
@@ -36,8 +38,6 @@ WINDOW = 8
 #: Rows of each label that training takes at most, and code points of such a row.
 SAMPLE = 3000
 MAX_POINTS = 200_000
-#: Stretches that training takes of one text at most.
-STRETCHES = {0: 40, 1: 120}
 EPOCHS, ALL_EPOCHS = 60, 5
 #: Rows of fewer training texts are not learned.
 MIN_TEXTS = 3
@@ -46,17 +46,31 @@ RATE = 3.0
 FLOOR = 0.01
 CUT = 0.7
 
-WORDS = re.compile(r"\w+")
-#: Code points of a word that its n-grams are taken from; the words' scores that a worker remembers.
+WORDS = re.compile(r"[^\W_]+")
+#: Code points of a word at most; longer runs are split into pieces of PIECE code points, one at each PIECE // 2.
 LONGEST = 64
+PIECE = 16
+#: The words' scores that a worker remembers.
 REMEMBER = 1 << 18
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(LONGEST + 2, 0x5851F42D4C957F2D, np.uint64))
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, long runs in pieces; the last piece ends with its run."""
+    out = []
+    for w in WORDS.findall(text.lower()):
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            out.extend(w[k : k + PIECE] for k in range(0, len(w) - PIECE, PIECE // 2))
+            out.append(w[-PIECE:])
+    return out
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, number of its word) of the n-grams, with end marks, and the wholes of all words."""
-    marked = [f"<{w[:LONGEST]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) for w in marked])
     starts = np.cumsum(sizes) - sizes
@@ -101,7 +115,7 @@ class Model:
             self.known.update(zip(part, (np.bincount(owner, self.rows[rows], len(part)) / np.bincount(owner, minlength=len(part))).tolist(), strict=True))
 
     def scores(self, texts: list[str]) -> list[float]:
-        bags = [WORDS.findall(t.lower()) for t in texts]
+        bags = [words_of(t) for t in texts]
         if len(self.known) >= REMEMBER:
             self.known.clear()
         if new := list(set().union(*bags).difference(self.known)):
@@ -134,27 +148,25 @@ def _mean(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return np.add.reduceat(values, starts, axis=0) / sizes[:, None]
 
 
-def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
+def train(rows: list[tuple[str, int]]) -> Model:
     """Fits the model to (text, label) rows."""
     rate = sum(y for _, y in rows) / max(1, len(rows))
     if not 0 < rate < 1:
         return Model(np.zeros(BUCKETS), float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))))
-    rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    ids, starts, owner, label, n_ids = array("i"), [], [], [], 0
+    ids, starts, owner, label, in_texts = array("i"), array("q"), array("q"), array("b"), array("q")
     for doc, (text, y) in enumerate(rows):
-        words = WORDS.findall(text.lower())
+        words = words_of(text)
         if not words:
             continue
         at = windows(len(words))
-        ends = np.append(at[1:], len(words))
-        for k in np.sort(rng.permutation(len(at))[: STRETCHES[y]]):
-            part = words[at[k] : ends[k]]
-            starts.append(n_ids)
-            n_ids += len(part)
-            ids.extend([number.setdefault(w, len(number)) for w in part])
-            owner.append(doc)
-            label.append(y)
+        starts.extend((at + len(ids)).tolist())
+        ids.extend([number.setdefault(w, len(number)) for w in words])
+        owner.extend([doc] * len(at))
+        label.extend([y] * len(at))
+        in_texts.extend([0] * (len(number) - len(in_texts)))
+        for k in {number[w] for w in words}:
+            in_texts[k] += 1
     if not ids:
         return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
     vocabulary, parts, counts = list(number), [], []
@@ -166,26 +178,23 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     g_start = np.cumsum(g_size) - g_size
     del parts, vocabulary
     # Rows that fewer than MIN_TEXTS texts have stay as they are.
-    pairs = np.unique(np.repeat(np.array(owner), np.diff(starts, append=n_ids)) * len(number) + np.frombuffer(ids, np.int32)) % len(number)
-    texts_of = np.zeros(BUCKETS)
-    for a, b in _blocks(len(pairs), 1 << 18):
-        w = np.bincount(pairs[a:b], minlength=len(number))
-        texts_of += np.bincount(g, np.repeat(w, g_size), BUCKETS)
+    texts_of = np.bincount(g, np.repeat(np.frombuffer(in_texts, np.int64), g_size), BUCKETS)
     rare = texts_of < MIN_TEXTS
-    ids_, starts_, owner_, label_ = np.frombuffer(ids, np.int32), np.array(starts), np.array(owner), np.array(label)
+    ids_, starts_, owner_, label_ = np.frombuffer(ids, np.int32), np.frombuffer(starts, np.int64), np.frombuffer(owner, np.int64), np.frombuffer(label, np.int8)
     sizes = np.diff(starts_, append=len(ids_))
-    of = np.repeat(np.arange(len(starts_)), sizes)
-    once = (~_again(of, ids_)).astype(np.float32)[:, None]
+    # Stretches in blocks too: (first, behind the last, their words' first and behind the last place).
+    blocks = [(a, b, int(starts_[a]), int(starts_[b - 1] + sizes[b - 1])) for a, b in _blocks(len(starts_), 1 << 15)]
+    once = np.concatenate([~_again(np.repeat(np.arange(a, b), sizes[a:b]), ids_[i:j]) for a, b, i, j in blocks])
     emb = np.zeros((BUCKETS, DIM), np.float32)
     soft = np.stack([-np.ones(DIM), np.ones(DIM)]).astype(np.float32) / DIM**0.5
     bias = np.array([0.0, -4.0], np.float32)
     params, rates = [emb, soft, bias], [RATE, 0.0, RATE]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     # The two labels weigh alike over all texts.
-    texts = np.array([len({o for o, y in zip(owner, label, strict=True) if y == k}) for k in (0, 1)])
+    texts = np.array([len(np.unique(owner_[label_ == k])) for k in (0, 1)])
     for epoch in range(EPOCHS):
         words = np.concatenate([_mean(emb[g[g_start[a] : g_start[b - 1] + g_size[b - 1]]], g_start[a:b] - g_start[a], g_size[a:b]) for a, b in _blocks(len(g_size), 1 << 14)])
-        x = _mean(words[ids_] * once, starts_, sizes)
+        x = np.concatenate([_mean(words[ids_[i:j]] * once[i:j, None], starts_[a:b] - i, sizes[a:b]) for a, b, i, j in blocks])
         z = x @ soft.T + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -199,7 +208,12 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
         weight *= np.where(label_ == 1, 1.0, 3.0) / texts[label_]
         dz = (p - np.stack([label_ == 0, label_ == 1], 1)) * weight[:, None]
         dx = dz @ soft / sizes[:, None]
-        dw = np.stack([np.bincount(ids_, dx[of, k] * once[:, 0], len(g_size)) for k in range(DIM)], 1) / g_size[:, None]
+        dw = np.zeros((len(g_size), DIM))
+        for a, b, i, j in blocks:
+            of = np.repeat(np.arange(a, b), sizes[a:b])
+            for k in range(DIM):
+                dw[:, k] += np.bincount(ids_[i:j], dx[of, k] * once[i:j], len(g_size))
+        dw /= g_size[:, None]
         dg = np.zeros((BUCKETS, DIM))
         for a, b in _blocks(len(g_size), 1 << 14):
             part = g[g_start[a] : g_start[b - 1] + g_size[b - 1]]

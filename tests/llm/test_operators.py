@@ -502,3 +502,29 @@ def test_toxicity_forgets_words_between_batches_only(monkeypatch):
     want = model.scores(["one two three four", "one five six"])
     for _ in range(3):
         assert model.scores(["one two three four", "one five six"]) == want
+
+
+def test_toxicity_reads_runs_to_their_ends():
+    plain = ["river", "table", "stone", "cloud", "window", "garden", "letter", "morning", "market", "silver"]
+    rng = random.Random(4)
+    rows = [(" ".join([*(rng.choice(plain) for _ in range(20)), *["snarkface"] * (k % 2)]), k % 2) for k in range(200)]
+    model = toxicity.train(rows)
+    harmless = "".join(plain[k % 10] for k in range(20))
+    assert len(harmless) > 100
+    clean, joined, marked = model.scores([harmless, harmless + "snarkface", "_".join([*plain, *plain, "snarkface"])])
+    assert clean < 0.5 and joined > clean + 0.1 and marked >= toxicity.CUT
+    # No code point is left out, whatever the length.
+    for n in (64, 65, 72, 100, 1000):
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        assert set("".join(toxicity.words_of(run))) == set(run)
+        assert n == 64 or all(any(run[k : k + 8] in w for w in toxicity.words_of(run)) for k in range(n - 7))
+
+
+def test_toxicity_learns_from_all_stretches():
+    """A word of the last stretch of long texts, of which a draw of 120 stretches misses most."""
+    rng = random.Random(5)
+    plain = [f"plain{k}" for k in range(300)]
+    rows = [(" ".join([*(rng.choice(plain) for _ in range(8 * 1500)), *["grobbler"] * (k % 2)]), k % 2) for k in range(12)]
+    model = toxicity.train(rows)
+    bad, good = model.scores(["plain1 plain2 grobbler plain3", "plain1 plain2 plain4 plain3"])
+    assert bad > good + 0.1
