@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, few, id_and_text, same, ship
@@ -187,8 +187,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if full:
                 for k, row in zip(full, band_keys(signatures([bags[k][1:] for k in full])), strict=True):
                     keys[k] = row
-            cols = [batch.column("doc_id").slice(start, at - start), pa.array([b[0] for b in bags], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "bands"])
+            more = [c for c in ("doc_id", "sum") if c in batch.schema.names]
+            cols = [*(batch.column(c).slice(start, at - start) for c in more), pa.array([b[0] for b in bags], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, [*more, "node", "bands"])
     _hashes.clear()  # workers live on; what they remember of words doesn't
 
 
@@ -302,26 +303,43 @@ def links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of docs: doc_id, class_id (the class's least doc_id), class_size, kept (one row of each class)."""
+    return _classes(id_and_text(docs, id_col, text_col), threshold)
+
+
+def _sum(text: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """near_classes of docs' doc_id and text, and of its column sum, if it has one."""
     ship(docs.sparkSession)
-    docs = id_and_text(docs, id_col, text_col)
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, node long, bands array<long>").withColumn("uid", F.monotonically_increasing_id()))
+    more = [c for c in docs.columns if c == "sum"]
+    signed = cut(docs.mapInArrow(_sign, "doc_id long, " + "sum binary, " * len(more) + "node long, bands array<long>").withColumn("uid", F.monotonically_increasing_id()))
     label = cut(components(cut(links(docs, signed, threshold))))
     per_node = signed.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("uid").alias("c"))).alias("best"))
     per_node = per_node.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = per_node.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("best").alias("best"))
     of_node = cut(per_node.select("node", "label").join(whole, "label"))
-    return signed.select("doc_id", "node", "uid").join(of_node, "node").select("doc_id", F.col("best.b").alias("class_id"), "class_size", (F.col("uid") == F.col("best.c")).alias("kept"))
+    return signed.select("doc_id", *more, "node", "uid").join(of_node, "node").select("doc_id", *more, F.col("best.b").alias("class_id"), "class_size", (F.col("uid") == F.col("best.c")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, with all its columns, one row of each class.
-
-    Rows that repeat an id stay if one of them does, one of those alike in id and text.
-    """
-    made = cut(near_classes(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).groupBy("__id").agg(F.max("__kept").alias("__kept"), F.count("*").alias("__n")))
-    out = docs.join(few(made.filter("NOT __kept").select("__id")), same(F.col(id_col), F.col("__id")), "left_anti")
-    again = made.filter("__n > 1").select("__id")
-    if again.isEmpty():
-        return out
-    one = out.join(again, same(F.col(id_col), F.col("__id")), "left_semi").dropDuplicates([id_col, text_col])
-    return out.join(again, same(F.col(id_col), F.col("__id")), "left_anti").unionByName(one)
+    """docs, with all its columns, one row of each class, also where ids repeat or are null."""
+    # An id names one row, as a rule: then the ids that go are all there is to know. Only rows of other ids need their text's sum.
+    again = cut(docs.select(F.col(id_col).alias("__id")).groupBy("__id").count().filter("count > 1").select("__id"))
+    some = not again.isEmpty()
+    given = id_and_text(docs, id_col, text_col)
+    if some:
+        marks = few(again.select(F.col("__id").alias("__again"), F.lit(True).alias("__twice")))
+        given = given.join(marks, same(F.col("doc_id"), F.col("__again")), "left").select("doc_id", "text", F.when(F.col("__twice"), _sum(F.col("text"))).alias("sum"))
+    made = cut(_classes(given, threshold).select(F.col("doc_id").alias("__id"), *([F.col("sum").alias("__sum")] if some else []), F.col("kept").alias("__kept")))
+    if not some:
+        return docs.join(few(made.filter("NOT __kept").select("__id")), same(F.col(id_col), F.col("__id")), "left_anti")
+    gone = few(made.filter("NOT __kept AND __sum IS NULL").select("__id"))
+    out = docs.join(gone, same(F.col(id_col), F.col("__id")), "left_anti").join(few(again), same(F.col(id_col), F.col("__id")), "left_anti")
+    # Rows that repeat an id are looked up by their text too, and one stays of those alike in both.
+    twice = docs.join(few(again), same(F.col(id_col), F.col("__id")), "left_semi").withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    kept = few(made.filter("__kept AND __sum IS NOT NULL").select("__id", "__sum"))
+    one = twice.join(kept, same(F.col(id_col), F.col("__id")) & (_sum(F.col("__text")) == F.col("__sum")), "left_semi")
+    return out.unionByName(one.dropDuplicates([id_col, "__text"]).drop("__text"))

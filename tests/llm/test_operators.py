@@ -408,6 +408,20 @@ def test_near_odd_rows(spark):
     assert near_dedup.keep_one(docs(spark)).columns == docs(spark).columns
 
 
+def test_near_keeps_one_of_rows_that_share_an_id(spark):
+    base = [[f"g{g}w{k}" for k in range(150)] for g in range(4)]
+    text = lambda g, k: " ".join(base[g][:k] + [f"edit{k}"] + base[g][k + 1 :])
+    rows = [(None, text(0, k), "en", "s") for k in (3, 50, 90, 90)]  # copies of one another, all without an id
+    rows += [(1, text(1, 3), "en", "s"), (None, text(1, 60), "en", "s")]  # one of a document with an id
+    rows += [(2, text(2, k), "en", "s") for k in (5, 70)] + [(2, text(3, 9), "en", "s"), (3, text(3, 80), "en", "s")]
+    rows += [(None, None, "en", "s"), (None, "", "en", "s")]
+    left = near_dedup.keep_one(docs(spark, rows))
+    assert left.columns == docs(spark).columns
+    left = left.collect()
+    assert Counter((r.text or "-").split("w")[0] for r in left) == {"g0": 1, "g1": 1, "g2": 1, "g3": 1, "-": 1}
+    assert Counter(r.doc_id for r in left) == {None: 2, 1: 1, 2: 2}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     x = rng.integers(1, 1 << 62, 400).astype(np.uint64)
