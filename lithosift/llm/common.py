@@ -5,20 +5,31 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The bytes that count as white space in texts: space and 9 to 13.
 WHITE = b" \t\n\x0b\x0c\r"
+#: Arrow batches hold up to so many rows and bytes, unless the session sets limits of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(1 << 22))}
+#: Bytes of text that a worker takes in hand at once; a longer text is taken alone.
+PART = 1 << 21
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of every executor, once per application."""
+    """Give this package to the Python workers of every executor, once per application; bound Arrow batches by their bytes."""
+    for name, (default, value) in BATCH.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -33,16 +44,58 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def parts(texts: pa.Array, limit: int = PART) -> Iterator[list[str]]:
+    """The texts of an Arrow array in order, in lists of about limit bytes; nulls are empty."""
+    out, held = [], 0
+    for t in texts:
+        out.append(t.as_py() or "")
+        held += len(out[-1])
+        if held >= limit:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
+def per_text(spark: SparkSession, work: Callable[[list[str]], pa.Array], schema: str, text: Column) -> Column:
+    """The column that work gives for texts, as an Arrow UDF: only the text goes through Python, in byte-bounded parts."""
+    ship(spark)
+
+    def run(texts: pa.Array) -> pa.Array:
+        done = [work(part) for part in parts(texts)]
+        return pa.concat_arrays(done) if done else work([])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, schema)(text)
+
+
+@lru_cache(1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; only where that is unset (tests on one machine) in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    return f"{root}/lithosift-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and go on from there.
-
-    The folder is the one that spark.checkpoint.dir names; only where it is unset
-    (tests on one machine) a temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    """Write df once as a table in the shared folder and go on from there; drop() deletes it."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lithosift_table = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_lithosift_table", None):
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Up to this many rows (16 to 50 bytes each) are broadcast; beyond, Spark shuffles both sides.

@@ -15,10 +15,13 @@ Joining: BANDS groups of ROWS coordinates are hashed to buckets (a pair at 0.8 m
 1. Equal bags of words are one node from the start, however many copies there are.
 2. Each bucket's head is its node that has the largest buckets: in a group of edited copies, the original or the least edited
    one. Each node is compared with the head that shares the most buckets with it.
-3. Buckets whose nodes are not all connected then are compared within, in blocks of about BLOCK nodes against
-   each other, by signature first and exactly then; a task hands on a spanning forest of its links only. A bucket's
-   largest component isn't compared with itself.
-No pairs of a bucket are emitted; copies of hot groups collapse in steps 1 and 2.
+3. The nodes of buckets that are not all connected then are dealt out again by their rare shingles (rare_links()): two
+   documents that are alike share one, while documents that merely have a frequent passage in common share none. Such groups are
+   compared in blocks of about BLOCK nodes against each other, by signature first and exactly then; a task
+   hands on a spanning forest of its links only, and a group's largest component isn't compared with itself.
+No pairs of a bucket are emitted; copies of hot groups collapse in steps 1 and 2. Documents whose similarities lie all about the
+threshold, such as thousands of edits of one text, share rare shingles too; what isn't linked of such a family
+is compared with all of it, block by block.
 
 Defined results: a null or wordless text has no shingles and is alike to the other wordless texts only if their text is the same
 once white space is cut off at both ends; ids may be null and rows may repeat; an empty table gives an empty
@@ -34,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, few, id_and_text, same, ship
+from .common import cut, drop, few, id_and_text, per_text, same
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -45,7 +48,8 @@ ROWS, BANDS = 6, 32
 K = ROWS * BANDS
 #: Darts thrown at first: enough to fill K coordinates in 7 of 8 documents.
 DARTS = K * (math.log(K) + 2)
-BLOCK = 128
+#: Nodes of a block, and bytes of their bags.
+BLOCK, BLOCK_BYTES = 256, 1 << 23
 #: Blocks of fewer nodes are compared without signatures.
 SIGN_FROM = 16
 
@@ -70,7 +74,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, remembered up to a number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         return h
@@ -173,32 +177,52 @@ def unpack_bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return s[order], w[order]
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, texts = 0, batch.column("text")
-        while at < batch.num_rows:
-            bags, size, start = [], 0, at
-            while at < batch.num_rows and size < 200_000 and len(bags) < 512:
-                bags.append(bag(texts[at].as_py()))
-                size += len(bags[-1][1])
-                at += 1
-            full = [k for k, b in enumerate(bags) if len(b[1])]
-            keys: list = [[]] * len(bags)
-            if full:
-                for k, row in zip(full, band_keys(signatures([bags[k][1:] for k in full])), strict=True):
-                    keys[k] = row
-            more = [c for c in ("doc_id", "sum") if c in batch.schema.names]
-            cols = [*(batch.column(c).slice(start, at - start) for c in more), pa.array([b[0] for b in bags], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, [*more, "node", "bands"])
+SIGNED = pa.struct([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def _sign(texts: list[str]) -> pa.Array:
+    """The node and the bucket keys of each text; texts are signed some at a time, by the mass that the darts are thrown for."""
+    nodes, keys = [], []
+    bags, mass = [], 0
+    for k, text in enumerate(texts):
+        node, shingles, weights = bag(text)
+        nodes.append(node)
+        bags.append((shingles, weights))
+        mass += int(weights.sum())
+        if mass >= 200_000 or len(bags) == 256 or k == len(texts) - 1:
+            full = [b for b in bags if len(b[0])]
+            made = iter(band_keys(signatures(full)) if full else ())
+            keys += [next(made) if len(b[0]) else [] for b in bags]
+            bags, mass = [], 0
     _hashes.clear()  # workers live on; what they remember of words doesn't
+    return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, SIGNED[1].type)], fields=list(SIGNED))
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, max(1, batch.num_rows), 512):
-            bags = [bag(t) for t in batch.column("text").slice(at, 512).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in bags], pa.int64()), pa.array([pack_bag(*b[1:]) for b in bags], pa.binary())], ["node", "bag"])
+def _bags(texts: list[str]) -> pa.Array:
+    bags = [bag(t) for t in texts]
     _hashes.clear()
+    cols = [pa.array([b[0] for b in bags], pa.int64()), pa.array([pack_bag(*b[1:]) for b in bags], pa.binary())]
+    return pa.StructArray.from_arrays(cols, fields=[pa.field("node", pa.int64()), pa.field("bag", pa.binary())])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of each bag."""
+    for batch in batches:
+        bags = [unpack_bag(b) for b in batch.column("bag").to_pylist()]
+        sizes = [len(b[0]) for b in bags]
+        at = 0
+        while at < len(bags):
+            end, held = at, 0
+            while end < len(bags) and (end == at or held + sizes[end] <= 1 << 17):
+                held += sizes[end]
+                end += 1
+            part = bags[at:end]
+            rep = lambda values, n=sizes[at:end]: pa.array(np.repeat(np.array(values, np.int64), n))
+            shingles = np.concatenate([b[0] for b in part]).view(np.int64) if held else np.zeros(0, np.int64)
+            weights = np.concatenate([b[1] for b in part]) if held else np.zeros(0, np.int64)
+            cols = [rep(batch.column("node").slice(at, end - at).to_pylist()), pa.array(shingles), pa.array(weights, pa.int64()), rep([int(b[1].sum()) for b in part])]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "shingle", "weight", "mass"])
+            at = end
 
 
 def _compare(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +232,17 @@ def _compare(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def _within(threshold: float, table: pa.Table) -> pa.Table:
-    """Links between the nodes of one pair of blocks that join what isn't joined yet."""
+    """Links between the nodes of one pair of blocks of a group that join what isn't joined yet.
+
+    A pair is looked at in the first group only that both nodes are in.
+    """
+    key = table.column("key")[0].as_py()
     rows = {}  # a node is in a block once
-    for n, c, s, b in zip(*(table.column(k).to_pylist() for k in ("node", "label", "side", "bag")), strict=True):
+    for n, c, s, g, b in zip(*(table.column(k).to_pylist() for k in ("node", "label", "side", "groups", "bag")), strict=True):
         old = rows.get(n)
-        rows[n] = (c, s | (old[1] if old else 0), b)
+        rows[n] = (c, s | (old[1] if old else 0), frozenset(g), b)
     nodes = sorted(rows)
-    bags = [unpack_bag(rows[n][2]) for n in nodes]
+    bags = [unpack_bag(rows[n][3]) for n in nodes]
     mass = np.array([b[1].sum() for b in bags], np.float64)
     # Signatures pay off where there are many pairs.
     sig = signatures(bags) if len(nodes) > SIGN_FROM else np.zeros((len(nodes), K), np.uint64)
@@ -229,13 +257,14 @@ def _within(threshold: float, table: pa.Table) -> pa.Table:
     least = K * threshold - 5 * math.sqrt(K * threshold * (1 - threshold))
     links = []
     for i, n in enumerate(nodes):
+        c, s, g, _ = rows[n]
         near = np.flatnonzero(((sig[i] == sig[i + 1 :]).sum(axis=1) >= least) & (np.minimum(mass[i], mass[i + 1 :]) >= threshold * np.maximum(mass[i], mass[i + 1 :]))) + i + 1
         for j in near:
             m = nodes[j]
-            if (rows[n][1] | rows[m][1]) != 3 or (a := root(rows[n][0])) == (b := root(rows[m][0])):
+            if (s | rows[m][1]) != 3 or min(g & rows[m][2]) != key or (x := root(c)) == (y := root(rows[m][0])):
                 continue
             if similarity(bags[i], bags[j]) >= threshold:
-                top[a] = b
+                top[x] = y
                 links.append((n, m))
     u, v = zip(*links, strict=True) if links else ((), ())
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -255,20 +284,23 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.filter("u <> v").distinct())
+        last, edges = edges, cut(small.filter("u <> v").distinct())
+        drop(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     labels = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
-    return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = cut(labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    drop(edges)
+    return out
 
 
 def links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Verified links (u, v) that connect the nodes of each class."""
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     buckets = nodes.select("node", "doc_id", F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("who")).filter("n > 1")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     held = cut(buckets.join(sizes, "key"))
     # A group's original, or the copy nearest to it, is in the large buckets more often than the others.
     score = held.groupBy("node").agg(F.sum("n").alias("score"))
@@ -276,29 +308,62 @@ def links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     # The documents with a bucket in common with others, their bags read from the texts again.
     ids = held.select(F.col("doc_id").alias("id"), F.col("node").alias("of")).distinct()
     found = docs.join(few(ids.select("id").distinct()), same(docs["doc_id"], F.col("id")), "left_semi")
-    bags = cut(found.mapInArrow(_bags, "node long, bag binary").join(ids.select(F.col("of").alias("node")), "node", "left_semi").dropDuplicates(["node"]))
+    made = found.select(per_text(docs.sparkSession, _bags, "node bigint, bag binary", F.col("text")).alias("made")).select("made.*")
+    bags = cut(made.join(ids.select(F.col("of").alias("node")), "node", "left_semi").dropDuplicates(["node"]))
     pairs = held.select("key", "node").join(heads, "key").filter("node <> head.node").groupBy("node", "head").count().groupBy("node").agg(F.max(F.struct("count", "head")).alias("top")).select(F.col("node").alias("u"), F.col("top.head.node").alias("v"))
     # The bag of the one end, then that of the other.
     pairs = pairs.join(bags.select(F.col("node").alias("u"), F.col("bag").alias("bag_u")), "u")
     pairs = pairs.join(bags.select(F.col("node").alias("v"), F.col("bag").alias("bag_v")), "v")
     first = cut(pairs.mapInArrow(lambda b: _compare(threshold, b), "u long, v long"))
-    label = cut(components(first))
-    # Buckets that are not connected yet; of buckets with the same nodes, one.
-    rest = held.select("key", "node", "n", "who").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_label = rest.groupBy("key", "label").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("who").alias("who"))
-    open_ = per_label.groupBy("key").agg(F.max(F.struct("k", "label")).alias("major"), F.first("n").alias("n"), F.first("who").alias("who")).filter("major.k < n")
-    open_ = open_.groupBy("n", "who").agg(F.min(F.struct("key", "major")).alias("one")).select("one.key", F.col("one.major.label").alias("major"), F.ceil((F.col("n") - F.col("one.major.k")) / BLOCK).cast("int").alias("minors"), F.ceil(F.col("one.major.k") / BLOCK).cast("int").alias("majors"))
-    rest = rest.select("key", "node", "label").join(open_, "key")
-    # The bucket's largest component is not compared with itself: its blocks meet those of the other nodes alone.
+    label = components(first)
+    # Nodes of buckets that are not connected yet.
+    rest = held.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("key")
+    unsure = cut(rest.join(open_, "key").select("node", "label").distinct())
+    drop(held, label)
+    out = first if unsure.isEmpty() else cut(first.unionByName(rare_links(unsure, bags, threshold)))
+    drop(unsure, bags)
+    return out
+
+
+def rare_links(unsure: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) among the nodes of unsure (node, label) that join all which are alike and have different labels."""
+    of = rare_blocks(unsure, bags, threshold).join(bags, "node")
+    return of.groupBy("key", "lo", "hi").applyInArrow(lambda t: _within(threshold, t), "u long, v long")
+
+
+def rare_blocks(unsure: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Who is compared with whom: nodes of a pair of blocks lo and hi of a group key, the block's side and all of the node's groups.
+
+    Two bags of a similarity of t or more share at least a part t of the larger one's mass. So if the shingles are ordered by the
+    number of nodes that have them, the two have a shingle in common among those that are left of each when the most
+    frequent ones that make up a part t of its mass, but for one, are taken away. Only nodes that share such a rare
+    shingle are compared: a passage that many documents have brings none of them together.
+    """
+    rows = bags.join(unsure, "node", "left_semi").mapInArrow(_spread, "node long, shingle long, weight long, mass long")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    frequent = Window.partitionBy("node").orderBy(F.desc("n"), "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(few(cut(common)), "shingle").withColumn("upto", F.sum("weight").over(frequent))
+    rare = cut(rows.filter(F.col("upto") >= F.ceil(F.col("mass") * threshold - 1e-9)).select(F.col("shingle").alias("key"), "node"))
+    # Groups with one label are settled; of groups with the same nodes one will do.
+    of = rare.join(unsure, "node")
+    groups = of.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("who"), F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z")
+    groups = cut(groups.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n"))
+    of = of.join(groups, "key").join(bags.select("node", F.octet_length("bag").cast("long").alias("bytes")), "node")
+    per_label = of.groupBy("key", "label").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes"), F.first("n").alias("n"))
+    blocks = per_label.groupBy("key").agg(F.max(F.struct("k", "label", "bytes")).alias("major"), F.sum("bytes").alias("bytes"), F.first("n").alias("n"))
+    count = lambda k, size: F.greatest(F.lit(1), F.ceil(k / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    blocks = blocks.select("key", F.col("major.label").alias("major"), count(F.col("n") - F.col("major.k"), F.col("bytes") - F.col("major.bytes")).alias("minors"), count(F.col("major.k"), F.col("major.bytes")).alias("majors"))
+    of = of.select("key", "node", "label").join(blocks, "key")
+    # A group's largest component is not compared with itself: its blocks meet those of the other nodes alone.
     mine = F.col("label") == F.col("major")
     block = F.when(mine, F.col("minors") + F.pmod(F.xxhash64("node"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("node"), F.col("minors"))).cast("int")
     others = F.sequence(F.lit(0), F.when(mine, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
-    rest = cut(rest.select("key", "node", "label", block.alias("block"), F.explode(others).alias("other")))
+    keys = of.groupBy("node").agg(F.collect_set("key").alias("groups"))  # as many as a document has shingles at most
+    of = of.select("key", "node", "label", block.alias("block"), F.explode(others).alias("other"))
     # Side 1 is the lower block, side 2 the higher; a block against itself has both.
-    rest = rest.select("key", "node", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-    rest = rest.join(bags, "node")
-    second = rest.groupBy("key", "lo", "hi").applyInArrow(lambda t: _within(threshold, t), "u long, v long")
-    return first.unionByName(second)
+    of = of.select("key", "node", "label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
+    return of.join(keys, "node")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -313,14 +378,17 @@ def _sum(text: Column) -> Column:
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """near_classes of docs' doc_id and text, and of its column sum, if it has one."""
-    ship(docs.sparkSession)
     more = [c for c in docs.columns if c == "sum"]
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, " + "sum binary, " * len(more) + "node long, bands array<long>").withColumn("uid", F.monotonically_increasing_id()))
-    label = cut(components(cut(links(docs, signed, threshold))))
+    made = per_text(docs.sparkSession, _sign, "node bigint, bands array<bigint>", F.col("text")).alias("made")
+    signed = cut(docs.select("doc_id", *more, made).select("doc_id", *more, "made.*", F.monotonically_increasing_id().alias("uid")))
+    found = links(docs, signed, threshold)
+    label = components(found)
+    drop(found)
     per_node = signed.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("uid").alias("c"))).alias("best"))
     per_node = per_node.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = per_node.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("best").alias("best"))
     of_node = cut(per_node.select("node", "label").join(whole, "label"))
+    drop(label)
     return signed.select("doc_id", *more, "node", "uid").join(of_node, "node").select("doc_id", *more, F.col("best.b").alias("class_id"), "class_size", (F.col("uid") == F.col("best.c")).alias("kept"))
 
 

@@ -1,17 +1,23 @@
 """Toxicity by bags of subword embeddings, averaged, into a linear softmax; trained jointly in numpy.
 
 A word (lower-cased run of letters and digits) is the average of the embeddings of its character n-grams, with
-marks for its ends, and of the whole word, all hashed to BUCKETS rows; so a misspelling that was never seen
+marks for its ends, and of the whole word, all hashed to BUCKETS rows of DIM numbers; so a misspelling that was never seen
 shares most of its vectors with the word it comes from. A text is scored in stretches of WINDOW words: the
 average of a stretch's words (a repeated word counts as nothing the second time) goes through a linear softmax of two
 classes, and the text has its highest stretch's score, so a few words count in a long text as much as in a short one. All words of all texts are scored.
 Runs of over LONGEST code points (unspaced text, words run together) become overlapping pieces of PIECE code points, each a word of its
 own, so what stands in a run counts wherever it stands.
 
-Training fits embeddings and softmax together (Adam on the cross entropy) on a bounded sample of the labelled rows: up to
-SAMPLE of each label, in the order of a hash of the id, of up to MAX_POINTS code points each; longer ones are
-passed over. All stretches of these texts are learned from. The stretches of a text labelled 1 first all count as toxic; then, in the last epochs, only the ones
-that the model itself finds toxic most, since most stretches of such a text are harmless.
+Training starts from small random embeddings and random softmax weights and moves both by Adam on the cross entropy of the
+stretches of a bounded sample of the labelled rows: up to SAMPLE of each label, in the order of a hash of the id, of up to
+MAX_POINTS code points each and SAMPLE_POINTS in all; rows beyond are passed over. All stretches of these texts are
+learned from. Those of a text share its weight: at first alike, then those that the model finds toxic most weigh more, since most
+stretches of a toxic text are harmless and the ones of a harmless text that look toxic are those that count. Training ends when
+GOAL of the toxic texts score SURE, as labels may be wrong, or after STEPS steps. Rows that fewer than MIN_TEXTS texts have
+aren't learned; their embeddings are zero.
+
+Both classes' log odds are linear in the embeddings, so a step needs one number for each row and stretch
+(row times the difference of the softmax weights) and its gradient is an outer product; scoring keeps that number of each row only.
 
 Defined results: a null or wordless text gets the model's score for no words at all; null ids and repeated rows are scored
 as they are; a null label isn't learned from; without labels of both kinds every score is the share of label 1 (0
@@ -23,55 +29,66 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship
+from .common import id_and_text, per_text
 
 BUCKETS = 1 << 19
-DIM = 4
+DIM = 16
 GRAMS = (3, 4, 5)
 WINDOW = 8
-#: Rows of each label that training takes at most, and code points of such a row.
-SAMPLE = 3000
+#: Rows of each label that training takes at most, code points of such a row, and of all of them.
+SAMPLE = 1000
 MAX_POINTS = 200_000
-EPOCHS, ALL_EPOCHS = 60, 5
+SAMPLE_POINTS = 12_000_000
+STEPS, ALL_STEPS = 200, 10
+GOAL, SURE = 0.95, 0.75
 #: Rows of fewer training texts are not learned.
-MIN_TEXTS = 3
-RATE = 3.0
-#: Rows whose gradient's size is below this share of the largest move less than the others.
-FLOOR = 0.01
+MIN_TEXTS = 4
+#: Adam's rates of embeddings and bias, and of the softmax weights; after DECAY steps they are half as large.
+RATE, SOFT_RATE, DECAY = 1.0, 0.1, 60
+#: Values whose gradient's size is below this share of the largest move less than the others.
+FLOOR = 0.3
+#: All harmless texts together weigh so many times as much as all toxic ones.
+HARMLESS = 8.0
+#: How much more a stretch of a toxic text weighs for each standard deviation that it scores above the text's mean.
+SHARPNESS = 0.3
+SEED = 7
 CUT = 0.7
 
 WORDS = re.compile(r"[^\W_]+")
 #: Code points of a word at most; longer runs are split into pieces of PIECE code points, one at each PIECE // 2.
 LONGEST = 64
 PIECE = 16
-#: The words' scores that a worker remembers.
-REMEMBER = 1 << 18
+#: Words that a worker remembers, and matches that it takes in hand at once.
+REMEMBER = 1 << 17
+STEP = 1 << 14
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(LONGEST + 2, 0x5851F42D4C957F2D, np.uint64))
 
 
+def in_steps(text: str) -> Iterator[list[str]]:
+    """The words of a text, long runs in pieces (the last ends with its run), some at a time."""
+    found = WORDS.finditer(text.lower())
+    while part := [m[0] for m in islice(found, STEP)]:
+        if max(map(len, part)) > LONGEST:
+            part = [x for w in part for x in ([w] if len(w) <= LONGEST else [*(w[k : k + PIECE] for k in range(0, len(w) - PIECE, PIECE // 2)), w[-PIECE:]])]
+        yield part
+
+
 def words_of(text: str) -> list[str]:
-    """The words of a text, long runs in pieces; the last piece ends with its run."""
-    out = []
-    for w in WORDS.findall(text.lower()):
-        if len(w) <= LONGEST:
-            out.append(w)
-        else:
-            out.extend(w[k : k + PIECE] for k in range(0, len(w) - PIECE, PIECE // 2))
-            out.append(w[-PIECE:])
-    return out
+    return [w for part in in_steps(text) for w in part]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, number of its word) of the n-grams, with end marks, and the wholes of all words."""
     marked = [f"<{w}>" for w in words]
-    points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) for w in marked])
     starts = np.cumsum(sizes) - sizes
     word = np.repeat(np.arange(len(words)), sizes)
@@ -92,146 +109,182 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((h ^ (h >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
 
 
-def windows(n: int) -> np.ndarray:
+def stretches(n: int) -> np.ndarray:
     """Starts of the stretches of n words: about WINDOW words each."""
     k = max(1, n // WINDOW)
     return np.arange(k) * n // k
 
 
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def _again(stretch: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Which places repeat a word of the same stretch."""
+    order = np.lexsort((word, stretch))
+    same = np.zeros(len(word), bool)
+    same[order[1:]] = (word[order[1:]] == word[order[:-1]]) & (stretch[order[1:]] == stretch[order[:-1]])
+    return same
+
+
 class Model:
-    """What scoring needs of the trained parameters: each row's and the bias' share of the softmax's log odds."""
+    """Embeddings of the learned rows, softmax weights and bias; rows has each row's share of the log odds, which scoring needs."""
 
-    def __init__(self, rows: np.ndarray, bias: float):
-        self.rows, self.bias, self.known = rows, bias, {}
+    def __init__(self, learned: np.ndarray, embeddings: np.ndarray, soft: np.ndarray, bias: np.ndarray):
+        self.learned, self.embeddings, self.soft, self.bias = learned, embeddings, soft, bias
+        self.rows = np.zeros(BUCKETS, np.float32)
+        self.rows[learned] = embeddings @ (soft[1] - soft[0])
+        self.base = float(bias[1] - bias[0])
+        self._forget()
 
-    def __getstate__(self):
-        return {"rows": self.rows, "bias": self.bias, "known": {}}
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.shares = np.zeros(0, np.float32)
 
-    def learn(self, words: list[str]) -> None:
-        """Remembers the scores of words."""
-        for k in range(0, len(words), 1 << 14):
-            part = words[k : k + (1 << 14)]
-            rows, owner = subwords(part)
-            self.known.update(zip(part, (np.bincount(owner, self.rows[rows], len(part)) / np.bincount(owner, minlength=len(part))).tolist(), strict=True))
+    def __getstate__(self):
+        return {"rows": self.rows, "base": self.base}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._forget()
+
+    def numbers(self, text: str) -> np.ndarray:
+        """The words of a text by their numbers in the memory; new ones are remembered."""
+        number, out = self.number, array("i")
+        for words in in_steps(text):
+            new = [w for w in dict.fromkeys(words) if w not in number]
+            if new:
+                number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+                rows, owner = subwords(new)
+                mean = np.bincount(owner, self.rows[rows], len(new)) / np.bincount(owner, minlength=len(new))
+                self.shares = np.concatenate([self.shares, mean.astype(np.float32)])
+            out.extend(map(number.__getitem__, words))
+        return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
 
     def scores(self, texts: list[str]) -> list[float]:
-        bags = [words_of(t) for t in texts]
-        if len(self.known) >= REMEMBER:
-            self.known.clear()
-        if new := list(set().union(*bags).difference(self.known)):
-            self.learn(new)
-        out, get = [], self.known.__getitem__
-        for words in bags:
-            if not words:
-                out.append(_sigmoid(self.bias))
-                continue
-            s = np.fromiter(map(get, words), np.float64, len(words))
-            at = windows(len(words))
-            s[_again(np.repeat(np.arange(len(at)), np.diff(at, append=len(words))), s)] = 0
-            out.append(_sigmoid(float((np.add.reduceat(s, at) / np.diff(at, append=len(words))).max()) + self.bias))
+        out = []
+        for text in texts:
+            if len(self.number) >= REMEMBER:
+                self._forget()
+            out.append(float(_sigmoid(self._log_odds(self.numbers(text)))))
         return out
 
+    def _log_odds(self, words: np.ndarray) -> float:
+        if not len(words):
+            return self.base
+        at = stretches(len(words))
+        sizes = np.diff(at, append=len(words))
+        s = self.shares[words].astype(np.float64)
+        s[_again(np.repeat(np.arange(len(at)), sizes), words)] = 0
+        return float((np.add.reduceat(s, at) / sizes).max()) + self.base
 
-def _sigmoid(x: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
 
+def _constant(rate: float) -> Model:
+    """The same score for all texts."""
+    odds = np.log(max(rate, 1e-9)) - np.log(max(1 - rate, 1e-9))
+    return Model(np.zeros(0, np.int64), np.zeros((0, DIM)), np.zeros((2, DIM)), np.array([0.0, odds]))
 
-def _again(stretch: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Which places repeat a word of the same stretch; in place of words their scores will do."""
-    order = np.lexsort((word, stretch))
-    same = np.zeros(len(word), bool)
-    same[order[1:]] = (word[order[1:]] == word[order[:-1]]) & (stretch[order[1:]] == stretch[order[:-1]])
-    return same
 
+class _Sample:
+    """The training texts as numbers: words of each stretch, n-gram rows of each word."""
 
-def _mean(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts, axis=0) / sizes[:, None]
+    def __init__(self, rows: list[tuple[str, int]]):
+        number: dict[str, int] = {}
+        ids, starts, owner, label, in_texts = array("i"), array("q"), array("i"), array("b"), array("i")
+        for doc, (text, y) in enumerate(rows):
+            words = words_of(text)
+            if not words:
+                continue
+            at = stretches(len(words))
+            starts.extend((at + len(ids)).tolist())
+            ids.extend([number.setdefault(w, len(number)) for w in words])
+            owner.extend([doc] * len(at))
+            label.extend([y] * len(at))
+            in_texts.extend([0] * (len(number) - len(in_texts)))
+            for k in {number[w] for w in words}:
+                in_texts[k] += 1
+        self.texts, self.words = len(rows), np.array(ids, np.int64)
+        self.starts, self.owner, self.label = np.array(starts, np.int64), np.array(owner, np.int64), np.array(label, np.int64)
+        if not len(self.words):
+            return
+        self.sizes = np.diff(self.starts, append=len(self.words))
+        self.once = ~_again(np.repeat(np.arange(len(self.starts)), self.sizes), self.words)
+        vocabulary, parts, counts = list(number), [], []
+        for at in range(0, len(vocabulary), 1 << 13):  # in blocks, for the driver's memory
+            found, of = subwords(vocabulary[at : at + (1 << 13)])
+            parts.append(found[np.argsort(of, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(of))
+        grams, self.gram_sizes = np.concatenate(parts), np.concatenate(counts)
+        self.gram_starts = np.cumsum(self.gram_sizes) - self.gram_sizes
+        seen = np.bincount(grams, np.repeat(np.array(in_texts), self.gram_sizes), BUCKETS)
+        #: Rows that are learned; all others share one place behind them, which stays zero.
+        self.learned = np.flatnonzero(seen >= MIN_TEXTS)
+        place = np.full(BUCKETS, len(self.learned), np.int64)
+        place[self.learned] = np.arange(len(self.learned))
+        self.grams = place[grams]
+
+    def shared(self, weight: np.ndarray) -> np.ndarray:
+        """Weights of stretches that add up to 1 for each text."""
+        return weight / np.bincount(self.owner, weight, self.texts)[self.owner]
+
+    def standing(self, z: np.ndarray) -> np.ndarray:
+        """By how many standard deviations of its text's stretches a stretch is above their mean."""
+        n = np.bincount(self.owner, minlength=self.texts).clip(1)
+        out = z - (np.bincount(self.owner, z, self.texts) / n)[self.owner]
+        return out / (np.sqrt(np.bincount(self.owner, out * out, self.texts) / n)[self.owner] + 1e-9)
+
+    def log_odds(self, rows: np.ndarray) -> np.ndarray:
+        """Of each stretch, without the bias, from the rows' shares."""
+        words = np.add.reduceat(np.append(rows, 0.0)[self.grams], self.gram_starts) / self.gram_sizes
+        return np.add.reduceat(words[self.words] * self.once, self.starts) / self.sizes
+
+    def to_rows(self, stretches: np.ndarray) -> np.ndarray:
+        """What the rows get of numbers for the stretches: log_odds' transpose."""
+        words = np.bincount(self.words, np.repeat(stretches / self.sizes, self.sizes) * self.once, len(self.gram_sizes))
+        return np.bincount(self.grams, np.repeat(words / self.gram_sizes, self.gram_sizes), len(self.learned) + 1)[:-1]
+
+
+def start(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random embeddings of n rows and softmax weights, and the bias."""
+    rng = np.random.default_rng(SEED)
+    return rng.uniform(-1, 1, (n, DIM)) / DIM, rng.normal(0, 1, (2, DIM)) / DIM**0.5, np.array([0.0, -2.0])
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
     """Fits the model to (text, label) rows."""
     rate = sum(y for _, y in rows) / max(1, len(rows))
-    if not 0 < rate < 1:
-        return Model(np.zeros(BUCKETS), float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))))
-    number: dict[str, int] = {}
-    ids, starts, owner, label, in_texts = array("i"), array("q"), array("q"), array("b"), array("q")
-    for doc, (text, y) in enumerate(rows):
-        words = words_of(text)
-        if not words:
-            continue
-        at = windows(len(words))
-        starts.extend((at + len(ids)).tolist())
-        ids.extend([number.setdefault(w, len(number)) for w in words])
-        owner.extend([doc] * len(at))
-        label.extend([y] * len(at))
-        in_texts.extend([0] * (len(number) - len(in_texts)))
-        for k in {number[w] for w in words}:
-            in_texts[k] += 1
-    if not ids:
-        return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
-    vocabulary, parts, counts = list(number), [], []
-    for a, b in _blocks(len(vocabulary), 1 << 13):  # in blocks, for the driver's memory
-        rows_of, owner_of = subwords(vocabulary[a:b])
-        parts.append(rows_of[np.argsort(owner_of, kind="stable")].astype(np.int32))
-        counts.append(np.bincount(owner_of, minlength=b - a))
-    g, g_size = np.concatenate(parts), np.concatenate(counts)
-    g_start = np.cumsum(g_size) - g_size
-    del parts, vocabulary
-    # Rows that fewer than MIN_TEXTS texts have stay as they are.
-    texts_of = np.bincount(g, np.repeat(np.frombuffer(in_texts, np.int64), g_size), BUCKETS)
-    rare = texts_of < MIN_TEXTS
-    ids_, starts_, owner_, label_ = np.frombuffer(ids, np.int32), np.frombuffer(starts, np.int64), np.frombuffer(owner, np.int64), np.frombuffer(label, np.int8)
-    sizes = np.diff(starts_, append=len(ids_))
-    # Stretches in blocks too: (first, behind the last, their words' first and behind the last place).
-    blocks = [(a, b, int(starts_[a]), int(starts_[b - 1] + sizes[b - 1])) for a, b in _blocks(len(starts_), 1 << 15)]
-    once = np.concatenate([~_again(np.repeat(np.arange(a, b), sizes[a:b]), ids_[i:j]) for a, b, i, j in blocks])
-    emb = np.zeros((BUCKETS, DIM), np.float32)
-    soft = np.stack([-np.ones(DIM), np.ones(DIM)]).astype(np.float32) / DIM**0.5
-    bias = np.array([0.0, -4.0], np.float32)
-    params, rates = [emb, soft, bias], [RATE, 0.0, RATE]
+    s = _Sample(rows) if 0 < rate < 1 else None
+    if s is None or not len(s.words):
+        return _constant(rate)
+    toxic = np.unique(s.owner[s.label == 1])
+    texts = [max(1, len(np.unique(s.owner[s.label == k]))) for k in (0, 1)]
+    share = np.where(s.label == 1, 1 / texts[1], HARMLESS / texts[0])
+    params = start(len(s.learned))
+    emb, soft, bias = params
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    # The two labels weigh alike over all texts.
-    texts = np.array([len(np.unique(owner_[label_ == k])) for k in (0, 1)])
-    for epoch in range(EPOCHS):
-        words = np.concatenate([_mean(emb[g[g_start[a] : g_start[b - 1] + g_size[b - 1]]], g_start[a:b] - g_start[a], g_size[a:b]) for a, b in _blocks(len(g_size), 1 << 14)])
-        x = np.concatenate([_mean(words[ids_[i:j]] * once[i:j, None], starts_[a:b] - i, sizes[a:b]) for a, b, i, j in blocks])
-        z = x @ soft.T + bias
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        weight = np.ones(len(label_))
-        if epoch >= ALL_EPOCHS:
-            # Of a toxic text its most toxic stretches count, and of a harmless one those that look toxic count most.
-            most = np.zeros(len(rows))
-            np.maximum.at(most, owner_, p[:, 1])
-            weight = np.where(label_ == 1, p[:, 1] >= np.minimum(most[owner_], 0.5), p[:, 1] + 0.02)
-        weight = weight / np.bincount(owner_, weight, len(rows))[owner_]
-        weight *= np.where(label_ == 1, 1.0, 3.0) / texts[label_]
-        dz = (p - np.stack([label_ == 0, label_ == 1], 1)) * weight[:, None]
-        dx = dz @ soft / sizes[:, None]
-        dw = np.zeros((len(g_size), DIM))
-        for a, b, i, j in blocks:
-            of = np.repeat(np.arange(a, b), sizes[a:b])
-            for k in range(DIM):
-                dw[:, k] += np.bincount(ids_[i:j], dx[of, k] * once[i:j], len(g_size))
-        dw /= g_size[:, None]
-        dg = np.zeros((BUCKETS, DIM))
-        for a, b in _blocks(len(g_size), 1 << 14):
-            part = g[g_start[a] : g_start[b - 1] + g_size[b - 1]]
-            rep = np.repeat(dw[a:b], g_size[a:b], axis=0)
-            for k in range(DIM):
-                dg[:, k] += np.bincount(part, rep[:, k], BUCKETS)
-        dg[rare] = 0
-        for value, (m, v), rate_, grad in zip(params, moments, rates, (dg, dz.T @ x, dz.sum(axis=0)), strict=True):
+    for step in range(STEPS):
+        d = soft[1] - soft[0]
+        z = s.log_odds(np.einsum("ij,j->i", emb, d)) + bias[1] - bias[0]
+        p = _sigmoid(z)
+        most = np.full(s.texts, -np.inf)
+        np.maximum.at(most, s.owner, z)
+        weight = np.ones(len(z))
+        if step >= ALL_STEPS:
+            if (_sigmoid(most[toxic]) >= SURE).mean() >= GOAL:
+                break
+            weight = np.where(s.label == 1, np.exp(SHARPNESS * s.standing(z)), (p + 0.02) ** 2)
+        weight = s.shared(weight) * share
+        dz = (p - s.label) * weight
+        c = s.to_rows(dz)
+        dw = np.einsum("i,ij->j", c, emb)
+        grads = (np.outer(c, d), np.stack([-dw, dw]), np.array([-dz.sum(), dz.sum()]))
+        for value, (m, v), grad, r in zip(params, moments, grads, (RATE, SOFT_RATE, RATE), strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
-            # Rows whose gradient is small beside the largest move less than the rate, so few texts teach little.
-            floor = FLOOR * float(np.sqrt(v.max()))
-            value -= rate_ * (1 - epoch / EPOCHS) * m / (0.1 + 0.9 * (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v) + floor + 1e-12) * (1 - 0.99 ** (epoch + 1)) ** 0.5
-    return Model(emb.astype(np.float64) @ (soft[1] - soft[0]).astype(np.float64), float(bias[1] - bias[0]))
-
-
-def _blocks(n: int, size: int) -> Iterator[tuple[int, int]]:
-    return ((a, min(a + size, n)) for a in range(0, n, size))
+            size = np.sqrt(v / (1 - 0.99 ** (step + 1)))
+            # Rows with a small gradient beside the largest move less than the rate, so few texts teach little.
+            value -= r / (1 + step / DECAY) * m / (1 - 0.9 ** (step + 1)) / (size + FLOOR * np.sqrt(v.max(initial=0)) + 1e-12)
+    return Model(s.learned, emb, soft, bias)
 
 
 def held_out(doc_id):
@@ -244,42 +297,33 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple
     order = [F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "id"]
     can = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).filter(~held_out(F.col("id")) & F.col("id").isNotNull())
     few = [can.filter(F.col("y") == y).orderBy(*order).limit(size) for y in (0, 1)]
-    few = few[0].unionByName(few[1]).groupBy("id").agg(F.max("y").alias("y"))
+    few = few[0].unionByName(few[1]).groupBy("id").agg(F.max("y").alias("y"))  # 2 * size rows at most
     rows = docs.filter(F.length("text") <= MAX_POINTS).join(F.broadcast(few), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    return [(r.text, int(r.y)) for r in rows.orderBy(*order).toLocalIterator()]
-
-
-def _in_parts(model: Model, texts: list[str]) -> list[float]:
-    return [s for k in range(0, len(texts), 256) for s in model.scores(texts[k : k + 256])]
-
-
-def _scores(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_in_parts(model, batch.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
-    model.known.clear()  # workers live on; what they remember of words doesn't
+    out, held = [], 0
+    for r in rows.orderBy(*order).toLocalIterator():
+        if held + len(r.text) <= SAMPLE_POINTS:
+            held += len(r.text)
+            out.append((r.text, int(r.y)))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     return train(sample(id_and_text(docs, id_col, text_col), labels))
 
 
+def score_of(docs: DataFrame, model: Model, text: Column) -> Column:
+    """The score of a text column of docs."""
+    given = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
+    return per_text(docs.sparkSession, lambda texts: pa.array(given.value.scores(texts), pa.float64()), "double", text)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, held_out, score, predicted."""
-    ship(docs.sparkSession)
-    given = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
-    out = id_and_text(docs, id_col, text_col).mapInArrow(lambda b: _scores(given.value, b), "doc_id long, score double")
+    docs = id_and_text(docs, id_col, text_col)
+    out = docs.select("doc_id", score_of(docs, model, F.col("text")).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep_harmless(docs: DataFrame, model: Model, text_col: str = "text", cut_at: float = CUT) -> DataFrame:
     """docs, with all its columns, without the rows that score cut_at or more."""
-    ship(docs.sparkSession)
-    given = docs.sparkSession.sparkContext.broadcast(model)
-
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [s < cut_at for s in _in_parts(given.value, [t or "" for t in batch.column(text_col).to_pylist()])]
-            yield batch.filter(pa.array(ok, pa.bool_()))
-        given.value.known.clear()
-
-    return docs.mapInArrow(passing, docs.schema)
+    return docs.filter(score_of(docs, model, F.col(text_col)) < cut_at)
