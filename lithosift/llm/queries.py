@@ -39,7 +39,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return url_filter.judge(pages, url_filter.flooding_hosts(pages))
+    return url_filter.judge(pages, url_filter.flooding_addresses(pages), by="address")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

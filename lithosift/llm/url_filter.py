@@ -1,19 +1,19 @@
 """URL filters: longest-prefix rules, then exact blocklist membership by a Bloom filter cascade.
 DataFrame functions only.
 
-The universe is every distinct host of the corpus; the list holds the blocked ones. Level 0 is a Bloom filter of the
-listed hosts, level 1 of the unlisted hosts that level 0 lets pass by mistake, level 2 of the
-listed hosts that level 1 lets pass by mistake, and so on until a level has no false positive in the
-universe. A host is followed through the levels to the first that doesn't have it: it is
-listed if that level's number is odd. For all hosts of the universe the answer is exact, and
-judging a page needs no join: the levels are constants of an expression.
+The universe is every distinct key of the corpus (a key is a page's host, or its address: host and path); the list holds the
+blocked ones. Level 0 is a Bloom filter of the listed keys, level 1 of the unlisted keys that level 0 lets
+pass by mistake, level 2 of the listed keys that level 1 lets pass by mistake, and so on until a level has no false
+positive in the universe. A key is followed through the levels to the first that doesn't have it: it is
+listed if that level's number is odd. For all keys of the universe the answer is exact.
 
-A level is an array of 64-bit words, added up by Spark's bit_or; only these words reach the driver. Their
-size is BITS bits a key, checked against MAX_BITS before; a larger list is looked up by a shuffled
-join with the list instead, which gives the same answer.
+Keys are dealt to shards by hash, about SHARD listed ones each, and every shard has levels of its own: arrays of 64-bit words, BITS
+bits a key, added up by Spark's bit_or. So the filters are a small table, a row for each shard, built and held by Spark whatever
+the length of the list; the driver reads counts only. A page meets its shard's row, never a key: in a broadcast of the table where that
+is below BROADCAST bytes, else by shard number. Both give the same answer.
 
 Defined results: a null url, or one without ://, has empty host and path, fits no rule and isn't listed; null
-and empty keys in the list are ignored; repeated rows are judged alike; an empty table gives an empty
+and empty keys in the list are ignored, as are keys that no page has; repeated rows are judged alike; an empty table gives an empty
 result; other columns aren't read.
 """
 
@@ -24,13 +24,15 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 #: Bits a key (with HASHES probes about 2% false positives a level).
 BITS = 8
 HASHES = 5
-#: The largest level that is made a constant: 2**23 bits are 1 MB.
-MAX_BITS = 1 << 23
+#: Listed keys of a shard, about: filters of 64 kB.
+SHARD = 1 << 16
+#: Bytes of all filters up to which they are broadcast.
+BROADCAST = 1 << 26
 
 #: The rules of the query: (verdict, host and path prefix).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -56,84 +58,113 @@ def rule(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
     return which, verdict
 
 
-def probes(key: Column, level: int, bits: int) -> list[Column]:
+def address(h: Column, p: Column) -> Column:
+    """The key of a page: its host and path; empty without a host."""
+    return F.when(h == "", "").otherwise(F.concat(h, p))
+
+
+def probes(key: Column, level: int, bits: Column) -> list[Column]:
     """HASHES bit positions of a key, by double hashing."""
     a = F.xxhash64(key, F.lit(level))
     b = F.xxhash64(F.lit(level), key, F.lit("step")).bitwiseOR(F.lit(1))
-    return [F.pmod(F.shiftright(a, 1) + F.lit(k) * F.shiftright(b, 8), F.lit(bits)) for k in range(HASHES)]
-
-
-def level_words(keys: DataFrame, level: int, bits: int) -> list[int]:
-    """The Bloom filter of keys' column key: bits / 64 words."""
-    at = keys.select(F.explode(F.array(*probes(F.col("key"), level, bits))).alias("at"))
-    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    out = [0] * (bits // 64)
-    for w, b in words.toLocalIterator():
-        out[w] = b
-    return out
+    return [F.pmod(F.shiftright(a, 1) + F.lit(k) * F.shiftright(b, 8), bits) for k in range(HASHES)]
 
 
-def passes(key: Column, level: int, words: list[int]) -> Column:
-    """Whether the level has the key, perhaps by mistake."""
-    table = F.from_json(F.lit(str(words)), "array<bigint>")  # folded to a constant
-    hit = F.lit(True)
-    for at in probes(key, level, len(words) * 64):
-        word = F.get(table, (at / 64).cast("int"))
-        hit = hit & (F.getbit(word, (at % 64).cast("int")) == 1)
+def passes(key: Column, level: int, words: Column) -> Column:
+    """Whether the level has the key, perhaps by mistake; null without words."""
+    hit = words.isNotNull()
+    for at in probes(key, level, F.size(words).cast("long") * 64):
+        hit = hit & (F.getbit(F.get(words, (at / 64).cast("int")), (at % 64).cast("int")) == 1)
     return hit
 
 
-class Cascade:
-    """Levels of words; listed() is the membership expression."""
-
-    def __init__(self, levels: list[list[int]]):
-        self.levels = levels
-
-    def listed(self, key: Column) -> Column:
-        out = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(range(len(self.levels))):
-            out = F.when(~passes(key, level, self.levels[level]), F.lit(level % 2 == 1)).otherwise(out)
-        return out
+def level_words(keys: DataFrame, level: int) -> DataFrame:
+    """(shard, words): the Bloom filters of keys' columns shard and key."""
+    sizes = cut(keys.groupBy("shard").agg(F.ceil(F.count("*") * BITS / 64).alias("n")))
+    empty = sizes.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("word"), F.lit(0).cast("long").alias("bits"))
+    at = keys.join(F.broadcast(sizes), "shard")  # a row for each SHARD keys
+    at = at.select("shard", F.explode(F.array(*probes(F.col("key"), level, F.col("n") * 64))).alias("at"))
+    bits = at.select("shard", F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
+    words = empty.unionByName(bits).groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
+    out = cut(words.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words")))
+    drop(sizes)
+    return out
 
 
-def cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS) -> Cascade | None:
-    """From two frames with a column key; None if a level would be larger than max_bits."""
-    here = cut(universe.select("key").filter("key <> ''").distinct().join(listed.select("key").filter("key <> ''").distinct().withColumn("on", F.lit(True)), "key", "left").select("key", F.coalesce("on", F.lit(False)).alias("on")))
-    levels: list[list[int]] = []
+class Cascade:
+    """The filters, a row for each shard with its levels; size is the number of levels."""
+
+    def __init__(self, filters: DataFrame | None, size: int, shards: int, wide: bool):
+        self.filters, self.size, self.shards, self.wide = filters, size, shards, wide
+
+    def listed(self, df: DataFrame, key: Column) -> DataFrame:
+        """df with a boolean column listed: whether its key, of the universe or empty, is in the list."""
+        if self.filters is None:
+            return df.withColumn("listed", F.lit(False))
+        df = df.withColumn("__key", key).withColumn("__shard", shard(F.col("__key"), self.shards))
+        held = self.filters.select(F.col("shard").alias("__shard"), F.col("levels").alias("__levels"))
+        df = df.join(held if self.wide else F.broadcast(held), "__shard", "left")
+        out = F.lit(self.size % 2 == 1)
+        for level in reversed(range(self.size)):  # a shard without this level ends here too
+            hit = F.coalesce(passes(F.col("__key"), level, F.get("__levels", F.lit(level))), F.lit(False))
+            out = F.when(~hit, F.lit(level % 2 == 1)).otherwise(out)
+        return df.withColumn("listed", (F.col("__key") != "") & out).drop("__key", "__shard", "__levels")
+
+
+def shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards)).cast("int")
+
+
+def cascade(universe: DataFrame, listed: DataFrame, per_shard: int = SHARD, most: int = BROADCAST) -> Cascade:
+    """From two frames with a column key."""
+    on = listed.select("key").filter("key <> ''").distinct().withColumn("on", F.lit(True))
+    here = cut(universe.select("key").filter("key <> ''").distinct().join(on, "key", "left").select("key", F.coalesce("on", F.lit(False)).alias("on")))
+    n = here.filter("on").count()
+    shards = max(1, -(-n // per_shard))
+    wide = 2 * n * BITS // 8 > most  # all levels together have less than twice level 0's bits
+    here = here.withColumn("shard", shard(F.col("key"), shards))
+    levels: list[DataFrame] = []
     inside, outside = here.filter("on"), here.filter("NOT on")
-    while n := inside.count():
-        bits = -(-n * BITS // 64) * 64
-        if bits > max_bits:
-            return None
-        levels.append(level_words(inside, len(levels), bits))
-        wrong = cut(outside.filter(passes(F.col("key"), len(levels) - 1, levels[-1])))
+    while not inside.isEmpty():
+        words = level_words(inside, len(levels))
+        tried = outside.join(words if wide else F.broadcast(words), "shard")
+        wrong = cut(tried.filter(passes(F.col("key"), len(levels), F.col("words"))).select("key", "on", "shard"))
+        levels.append(words)
         inside, outside = wrong, inside
-    return Cascade(levels)
-
-
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", max_bits: int = MAX_BITS) -> DataFrame:
+    if not levels:
+        return Cascade(None, 0, shards, wide)
+    rows = [w.select("shard", F.struct(F.lit(k).alias("no"), "words").alias("level")) for k, w in enumerate(levels)]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    filters = cut(every.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list("level")), lambda x: x["words"]).alias("levels")))
+    drop(*levels)
+    return Cascade(filters, len(levels), shards, wide)
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", by: str = "host", per_shard: int = SHARD, most: int = BROADCAST) -> DataFrame:
     """A row per row of pages: page_id, host, path, rule, listed, verdict.
 
-    listed has a column key with the blocked hosts. A rule's verdict comes first, then the list's.
+    listed has a column key with the blocked hosts, or addresses if by is address. A rule's verdict comes first, then the list's.
     """
     p = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    levels = cascade(p.select(F.col("host").alias("key")), listed, max_bits)
-    if levels is not None:
-        p = p.withColumn("listed", levels.listed(F.col("host")))
-    else:
-        known = listed.select(F.col("key").alias("host"), F.lit(True).alias("listed")).filter("host <> ''").distinct()
-        p = p.join(known, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    key = {"host": F.col("host"), "address": address(F.col("host"), F.col("path"))}[by]
+    p = cascade(p.select(key.alias("key")), listed, per_shard, most).listed(p, key)
     which, verdict = rule(F.col("host"), F.col("path"), rules)
     return p.select("page_id", "host", "path", which.alias("rule"), "listed", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-#: Hosts of the pages with many pages of few addresses are listed: those that have at least so many pages.
-FLOOD = 25
+#: A host floods the corpus if it has at least so many times the pages of the mean host.
+FLOOD = 3
 
 
-def flooding_hosts(pages: DataFrame, url_col: str = "url", least: int = FLOOD) -> DataFrame:
-    """The list that the query uses: hosts with at least so many pages (link farms and mirrors)."""
-    return pages.groupBy(host(F.col(url_col)).alias("key")).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("key")
+def flooding_addresses(pages: DataFrame, url_col: str = "url", times: int = FLOOD) -> DataFrame:
+    """The list that the query uses: the addresses of hosts that flood the corpus (link farms and mirrors), whatever its size."""
+    p = pages.select(host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path")).filter("host <> ''")
+    hosts = cut(p.groupBy("host").agg(F.count("*").alias("n")))
+    mean = hosts.agg(F.sum("n").alias("total"), F.count("*").alias("hosts"))
+    flood = hosts.join(F.broadcast(mean), F.col("n") * F.col("hosts") >= times * F.col("total")).select("host")
+    return p.join(flood, "host").select(address(F.col("host"), F.col("path")).alias("key"))
 
 
 SQL = rf"""
@@ -146,5 +177,7 @@ m AS (
   FROM (SELECT *, row_number() OVER () AS k FROM p) p LEFT JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
   GROUP BY page_id, p.host, p.path, k)
 SELECT page_id, m.host, path, rule, f.host IS NOT NULL AS listed, coalesce(kind, CASE WHEN f.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM m LEFT JOIN (SELECT host FROM p WHERE host <> '' GROUP BY host HAVING count(*) >= {FLOOD}) f ON m.host = f.host
+FROM m LEFT JOIN (
+  SELECT host FROM (SELECT host, count(*) AS n FROM p WHERE host <> '' GROUP BY host)
+  QUALIFY n * count(*) OVER () >= {FLOOD} * sum(n) OVER ()) f ON m.host = f.host
 """

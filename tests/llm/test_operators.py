@@ -323,24 +323,53 @@ def test_pii_long_runs_and_rows(spark):
 # 7. URLs.
 
 
-def test_url_cascade_is_exact(spark):
+@pytest.mark.parametrize(("per_shard", "most"), [(url_filter.SHARD, url_filter.BROADCAST), (50, 0)])
+def test_url_cascade_is_exact(spark, per_shard, most):
+    """One shard that is broadcast, and many that are dealt out."""
     universe = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"))
     listed = spark.range(0, 6000, 7).select(F.concat(F.lit("h"), "id").alias("key"))
-    c = url_filter.cascade(universe, listed)
-    assert len(c.levels) >= 2
-    wrong = universe.withColumn("is", F.expr("cast(substring(key, 2) as int) % 7 = 0")).filter(c.listed(F.col("key")) != F.col("is"))
+    c = url_filter.cascade(universe, listed, per_shard, most)
+    assert c.size >= 2 and c.filters.count() == (1 if per_shard > 50 else 9)
+    wrong = c.listed(universe, F.col("key")).withColumn("is", F.expr("cast(substring(key, 2) as int) % 7 = 0")).filter("listed <> is")
     assert wrong.count() == 0
-    assert url_filter.cascade(universe, listed, max_bits=64) is None
+    empty = url_filter.cascade(universe, listed.limit(0))
+    assert empty.size == 0 and empty.listed(universe, F.col("key")).filter("listed").count() == 0
+
+
+def test_url_empty_host_is_never_listed(spark):
+    """A list of hosts that has the bits of the empty key in level 0 and no false positive: the empty host stays unlisted."""
+    keys = spark.range(20000).select(F.concat(F.lit("x"), "id").alias("key"))
+    pages = spark.createDataFrame([(1, None), (2, "no url"), (3, "http:///path")], "page_id long, url string")
+    all_ = keys.select(F.concat(F.lit("http://"), "key", F.lit("/")).alias("url"), F.lit(0).cast("long").alias("page_id")).unionByName(pages)
+    for part in (100, 3000, 20000):
+        listed = keys.limit(part)
+        got = url_filter.judge(all_, listed).filter("host = ''")
+        assert [(r.listed, r.verdict) for r in got.collect()] == [(False, "allow")] * 3
+
+
+def test_url_query_against_brute_force(spark, sf):
+    """The same urls, doubled, have the same verdicts: the list doesn't depend on the table's size."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = [(r.page_id, r.url or "") for r in pages.collect()]
+    cut_ = lambda u: re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)
+    hosts = Counter(m[1].lower() for _, u in rows if (m := cut_(u)) and m[1])
+    flood = {h for h, n in hosts.items() if n * len(hosts) >= url_filter.FLOOD * sum(hosts.values())}
+    assert flood
+    got = llm.op7_url_filter(spark, sf).collect()
+    assert len(got) == len(rows) and {r.page_id: r.listed for r in got} == {i: bool(m := cut_(u)) and m[1].lower() in flood for i, u in rows}
+    twice = pages.unionByName(pages)
+    again = url_filter.judge(twice, url_filter.flooding_addresses(twice), by="address").distinct().collect()
+    assert set(again) == set(got)
 
 
 URLS = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q", "http://x.org/en/1", "http://x.org", "ftp://de.com/de/1#f", "http://com/fr/", "no url", None, "", "http://bad.net/p", "http://Bad.net?x", "http://good.net/#/://", "http://u@x.com:80/fr/a", "http://com/fr/"]
 
 
-@pytest.mark.parametrize("max_bits", [url_filter.MAX_BITS, 0])
-def test_url_judging(spark, max_bits):
+@pytest.mark.parametrize("most", [url_filter.BROADCAST, 0])
+def test_url_judging(spark, most):
     pages = spark.createDataFrame([(k, u, "x", "clash") for k, u in enumerate(URLS)], "page_id long, url string, html string, host string")
     listed = spark.createDataFrame([("bad.net",), (None,), ("",), ("unseen.example",)], "key string")
-    got = {r.page_id: r for r in url_filter.judge(pages, listed, max_bits=max_bits).collect()}
+    got = {r.page_id: r for r in url_filter.judge(pages, listed, per_shard=1, most=most).collect()}
     for k, u in enumerate(URLS):
         _, mark, rest = (u or "").partition("://")
         host = re.split(r"[/?#]", rest)[0] if mark else ""
