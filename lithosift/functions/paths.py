@@ -16,8 +16,19 @@ MODES = ("typed", "text", "plain")
 _STEP = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*\Z")
 
 
+class Key(str):
+    """A dotted path whose names may be any text; names has them one by one."""
+
+    def __new__(cls, names):
+        key = super().__new__(cls, ".".join(names))
+        key.names = tuple(names)
+        return key
+
+
 def steps(path: str) -> list[str]:
-    """The names of a dotted path; names have letters, digits, - and _."""
+    """The names of a dotted path; names have letters, digits, - and _, but those of a Key."""
+    if isinstance(path, Key):
+        return list(path.names)
     out = path.split(".")
     if not all(_STEP.match(s) for s in out):
         raise ValueError(f"not a property path: {path!r}")
@@ -25,7 +36,18 @@ def steps(path: str) -> list[str]:
 
 
 def json_path(path: str) -> str:
-    return "$" + "".join(f'["{s}"]' for s in steps(path))
+    return "$" + "".join(f"['{s}']" if '"' in s else f'["{s}"]' for s in steps(path))
+
+
+def value_at(doc: Column, path: str, type: str = "variant") -> Column:
+    """The value at a path; null if it is missing. A name with both kinds of quotes is looked up in its object's map."""
+    names = steps(path)
+    for k, name in enumerate(names):
+        if '"' in name and "'" in name:
+            above = value_at(doc, Key(names[:k])) if k else doc
+            inner = F.try_element_at(F.try_variant_get(above, "$", "map<string,variant>"), F.lit(name))
+            return value_at(inner, Key(names[k + 1 :]), type) if names[k + 1 :] else F.try_variant_get(inner, "$", type)
+    return F.try_variant_get(doc, json_path(path), type)
 
 
 @dataclass(frozen=True)
@@ -65,8 +87,15 @@ class Binding:
 
 
 #: The names of JSON kinds in schema_of_variant's words.
-_KINDS = {"number": r"^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)", "string": "^STRING$", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID$"}
+_NAMED = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}
+_BEGIN = {"object": ("OBJECT<",), "array": ("ARRAY<",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")}
 
 
 def is_kind(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).rlike(_KINDS[kind]), F.lit(False))
+    schema = F.schema_of_variant(value)
+    if kind in _NAMED:
+        return F.coalesce(schema == _NAMED[kind], F.lit(False))
+    test = schema.startswith(_BEGIN[kind][0])
+    for begin in _BEGIN[kind][1:]:
+        test = test | schema.startswith(begin)
+    return F.coalesce(test, F.lit(False))

@@ -23,41 +23,41 @@ from .spatial import intersects_constant, overlaps_window
 
 
 class Predicate:
-    """Something that becomes a boolean Column once it is bound."""
+    """Something that becomes a boolean Column once it is bound. spec says the same in JSON; from_spec() reads it back."""
 
-    def __init__(self, build: Callable[[Binding, Any], Column]):
-        self._build = build
+    def __init__(self, build: Callable[[Binding, Any], Column], spec: list | None = None):
+        self._build, self.spec = build, spec
 
     def column(self, binding: Binding, bbox=None) -> Column:
         return self._build(binding, bbox)
 
     def __and__(self, other: Predicate) -> Predicate:
-        return Predicate(lambda b, w: self.column(b, w) & other.column(b, w))
+        return Predicate(lambda b, w: self.column(b, w) & other.column(b, w), ["and", self.spec, other.spec])
 
     def __or__(self, other: Predicate) -> Predicate:
-        return Predicate(lambda b, w: self.column(b, w) | other.column(b, w))
+        return Predicate(lambda b, w: self.column(b, w) | other.column(b, w), ["or", self.spec, other.spec])
 
     def __invert__(self) -> Predicate:
-        return Predicate(lambda b, w: ~self.column(b, w))
+        return Predicate(lambda b, w: ~self.column(b, w), ["not", self.spec])
 
 
 def always(value: bool) -> Predicate:
     """A boolean literal."""
-    return Predicate(lambda b, w: F.lit(value))
+    return Predicate(lambda b, w: F.lit(value), ["always", value])
 
 
 def intersects(geometry: Geometry) -> Predicate:
     """The feature's geometry meets the constant, boundary included."""
-    return Predicate(lambda b, w: intersects_constant(geometry))
+    return Predicate(lambda b, w: intersects_constant(geometry), ["intersects", geometry.type, geometry.parts, geometry.srid])
 
 
 def intersects_bbox() -> Predicate:
     """The feature's geometry meets the frame's bounding box; false without one."""
-    return Predicate(lambda b, w: intersects_constant(box(*w)) if w else F.lit(False))
+    return Predicate(lambda b, w: intersects_constant(box(*w)) if w else F.lit(False), ["intersects_bbox"])
 
 
 def overlaps_bbox(xmin: float, ymin: float, xmax: float, ymax: float) -> Predicate:
-    return Predicate(lambda b, w: overlaps_window(xmin, ymin, xmax, ymax))
+    return Predicate(lambda b, w: overlaps_window(xmin, ymin, xmax, ymax), ["overlaps_bbox", xmin, ymin, xmax, ymax])
 
 
 @dataclass(frozen=True)
@@ -71,38 +71,41 @@ class Prop:
         """The property's text read as a date, to be compared with dates."""
         return Prop(self.path, spark_date_format(fmt))
 
+    def _spec(self, name: str, *values) -> list:
+        return ["prop", name, self.path, self.date_format, *map(_plain, values)]
+
     def eq(self, other) -> Predicate:
-        return _compare(self, operator.eq, other)
+        return _compare(self, operator.eq, other, self._spec("eq", other))
 
     def ne(self, other) -> Predicate:
-        return _compare(self, operator.ne, other)
+        return _compare(self, operator.ne, other, self._spec("ne", other))
 
     def lt(self, other) -> Predicate:
-        return _compare(self, operator.lt, other)
+        return _compare(self, operator.lt, other, self._spec("lt", other))
 
     def le(self, other) -> Predicate:
-        return _compare(self, operator.le, other)
+        return _compare(self, operator.le, other, self._spec("le", other))
 
     def gt(self, other) -> Predicate:
-        return _compare(self, operator.gt, other)
+        return _compare(self, operator.gt, other, self._spec("gt", other))
 
     def ge(self, other) -> Predicate:
-        return _compare(self, operator.ge, other)
+        return _compare(self, operator.ge, other, self._spec("ge", other))
 
     def isin(self, *values) -> Predicate:
         if len({_kind(v) for v in values}) != 1:
             raise TypeError("a list needs values of one type")
-        return Predicate(lambda b, w: _as(b, self, _kind(values[0])).isin(*[_literal(v) for v in values]))
+        return Predicate(lambda b, w: _as(b, self, _kind(values[0])).isin(*[_literal(v) for v in values]), self._spec("isin", *values))
 
     def between(self, low, high) -> Predicate:
         """low to high, both included."""
-        return Predicate(lambda b, w: _as(b, self, _kind(low)).between(_literal(low), _literal(high)))
+        return Predicate(lambda b, w: _as(b, self, _kind(low)).between(_literal(low), _literal(high)), self._spec("between", low, high))
 
     def like(self, pattern: str) -> Predicate:
-        return Predicate(lambda b, w: b.text(self.path).like(pattern))
+        return Predicate(lambda b, w: b.text(self.path).like(pattern), self._spec("like", pattern))
 
     def ilike(self, pattern: str) -> Predicate:
-        return Predicate(lambda b, w: b.text(self.path).ilike(pattern))
+        return Predicate(lambda b, w: b.text(self.path).ilike(pattern), self._spec("ilike", pattern))
 
     def matches(self, pattern: str) -> Predicate:
         """A regular expression that is found anywhere in the text."""
@@ -112,7 +115,7 @@ class Prop:
                 return b.text(self.path).rlike(pattern)
             return F.coalesce(F.exists(b.items(self.path), lambda e: is_kind(e, "string") & F.try_variant_get(e, "$", "string").rlike(pattern)), F.lit(False))
 
-        return Predicate(build)
+        return Predicate(build, self._spec("matches", pattern))
 
     def is_null(self) -> Predicate:
         """Typed mode: the value is JSON null. Text mode: that, or it is missing."""
@@ -122,7 +125,7 @@ class Prop:
                 return b.plain(self.path).isNull()
             return F.coalesce(F.is_variant_null(b.value(self.path)), F.lit(False)) if b.mode == "typed" else b.text(self.path).isNull()
 
-        return Predicate(build)
+        return Predicate(build, self._spec("is_null"))
 
     def is_not_null(self) -> Predicate:
         def build(b: Binding, _) -> Column:
@@ -130,7 +133,7 @@ class Prop:
                 return b.plain(self.path).isNotNull()
             return b.value(self.path).isNotNull() & ~F.is_variant_null(b.value(self.path)) if b.mode == "typed" else b.text(self.path).isNotNull()
 
-        return Predicate(build)
+        return Predicate(build, self._spec("is_not_null"))
 
     def contains(self, value) -> Predicate:
         """The JSON value contains this one: objects by key, arrays by element, scalars if equal; null if missing."""
@@ -143,7 +146,41 @@ class Prop:
                 test = test | F.coalesce(F.exists(F.try_variant_get(left, "$", "array<variant>"), lambda e: _contains(e, value)), F.lit(False))
             return F.when(left.isNotNull(), test)
 
-        return Predicate(build)
+        return Predicate(build, ["prop", "contains", self.path, self.date_format, value])
+
+
+def _plain(value) -> Any:
+    """A comparison's other side in JSON: numbers, booleans and texts as they are."""
+    if isinstance(value, Prop):
+        return {"prop": value.path, "date_format": value.date_format}
+    if isinstance(value, DateLiteral):
+        return {"date": value.text, "fmt": value.fmt}
+    return {"decimal": str(value)} if isinstance(value, Decimal) else value
+
+
+def _value(plain) -> Any:
+    if not isinstance(plain, dict):
+        return plain
+    if "prop" in plain:
+        return Prop(plain["prop"], plain["date_format"])
+    return DateLiteral(plain["date"], plain["fmt"]) if "date" in plain else Decimal(plain["decimal"])
+
+
+def from_spec(spec: list) -> Predicate:
+    """The predicate that has this spec."""
+    name, *rest = spec
+    if name in ("and", "or"):
+        a, b = map(from_spec, rest)
+        return a & b if name == "and" else a | b
+    if name == "not":
+        return ~from_spec(rest[0])
+    if name == "prop":
+        method, path, fmt, *values = rest
+        return getattr(Prop(path, fmt), method)(*(values if method == "contains" else map(_value, values)))
+    if name == "intersects":
+        kind, parts, srid = rest
+        return intersects(Geometry(kind, tuple((k, tuple(tuple(map(tuple, r)) for r in rings)) for k, rings in parts), srid))
+    return {"always": always, "intersects_bbox": intersects_bbox, "overlaps_bbox": overlaps_bbox}[name](*rest)
 
 
 def prop(path: str) -> Prop:
@@ -211,8 +248,7 @@ def _as(b: Binding, p: Prop, kind: str) -> Column:
         return F.try_to_date(b.text(p.path), p.date_format or "yyyy-MM-dd")
     if b.mode == "plain":
         return b.plain(p.path)
-    ready = next((F.col(c) for path, c, _ in b.ready if path == p.path and b.mode == "text"), None)
-    text = ready if ready is not None else b.text(p.path)
+    text = b.text(p.path)
     return {"number": lambda: text.try_cast("decimal(38,18)"), "boolean": lambda: text.try_cast("boolean"), "string": lambda: text}[kind]()
 
 
@@ -220,9 +256,9 @@ def _element(e: Column, kind: str) -> Column:
     return F.try_variant_get(e, "$", {"number": "decimal(38,18)", "string": "string", "boolean": "boolean"}[kind])
 
 
-def _compare(p: Prop, op: Callable, other) -> Predicate:
+def _compare(p: Prop, op: Callable, other, spec: list) -> Predicate:
     if isinstance(other, Prop) and not other.date_format and not p.date_format:
-        return Predicate(lambda b, w: _two_properties(b, p, op, other))
+        return Predicate(lambda b, w: _two_properties(b, p, op, other), spec)
     kind = "date" if p.date_format else _kind(other)
 
     def build(b: Binding, _) -> Column:
@@ -234,10 +270,6 @@ def _compare(p: Prop, op: Callable, other) -> Predicate:
             return F.coalesce(test, F.lit(False)) if b.mode == "typed" else test
         if b.mode == "text":
             return op(_as(b, p, kind), right)
-        ready = next((c for path, c, t in b.ready if path == p.path and t == kind), None)
-        if ready:  # a column of the same values, none of them an array
-            return op(F.col(ready), right) & F.col(ready).isNotNull()  # two-valued, and the scan takes both
-
         def one(e: Column) -> Column:
             test = op(_element(e, kind), right)
             if kind == "number":  # numbers beyond the decimal type
@@ -245,9 +277,21 @@ def _compare(p: Prop, op: Callable, other) -> Predicate:
             test = is_kind(e, kind) & test
             return test | is_kind(e, "null") if op is operator.ne else test  # null differs from everything
 
-        return F.coalesce(F.exists(b.items(p.path), one), F.lit(False))
+        general = F.coalesce(F.exists(b.items(p.path), one), F.lit(False))
+        ready = next((c for path, c, t in b.ready if path == p.path and t == kind), None)
+        if ready is None:
+            return general
+        # The column has all values of its kind but those that the odd column marks. The first part reaches the scan; where it is
+        # null, the second is false, so both together are two-valued.
+        odd, test = F.col(odd_column(ready)), op(F.col(ready), right)
+        return (test | odd) & (F.col(ready).isNotNull() & test | general)
+
+    return Predicate(build, spec)
+
 
-    return Predicate(build)
+def odd_column(ready: str) -> str:
+    """The name of the boolean column beside a laid-out one: whether the document has a value that the column can't stand for."""
+    return f"{ready}__odd"
 
 
 def _two_properties(b: Binding, p: Prop, op: Callable, other: Prop) -> Column:

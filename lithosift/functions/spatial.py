@@ -1,18 +1,25 @@
 """Spatial tests of a feature's geometry against a constant, as Column expressions.
 
-The window test compares four plain columns, so Parquet statistics skip files. The exact test comes after it: the constant's
-edges are written out as arithmetic inside a single pass over the row's segments.
+The window test compares four plain columns, so Parquet statistics skip files. The exact test comes after it. The constant's edges
+are one array literal, dealt to horizontal slabs, so the expression has the same size for any constant and a row's
+segment meets only the edges at its own height.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geometry import Geometry
 
+#: Edges of a slab, about; and how many times an edge may be listed on average.
+PER_SLAB, REPEATS = 8, 4
+EDGE = "struct<ax:double,ay:double,bx:double,by:double,area:int>"
+
 
 def overlaps_window(xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
     """Envelopes overlap or touch."""
@@ -30,11 +37,11 @@ def _cross(ax, ay, bx, by, px, py) -> Column:
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 
 
-def _meet(s: Column, c: tuple[float, float, float, float]) -> Column:
-    """Whether the row's segment and the constant's share a point."""
+def _meet(s: Column, e: Column) -> Column:
+    """Whether the row's segment and the constant's edge share a point."""
     ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
-    cx, cy, dx, dy = (F.lit(v) for v in c)
-    apart = (F.greatest(ax, bx) < min(c[0], c[2])) | (F.least(ax, bx) > max(c[0], c[2])) | (F.greatest(ay, by) < min(c[1], c[3])) | (F.least(ay, by) > max(c[1], c[3]))
+    cx, cy, dx, dy = e["ax"], e["ay"], e["bx"], e["by"]
+    apart = (F.greatest(ax, bx) < F.least(cx, dx)) | (F.least(ax, bx) > F.greatest(cx, dx)) | (F.greatest(ay, by) < F.least(cy, dy)) | (F.least(ay, by) > F.greatest(cy, dy))
     sides = F.signum(_cross(ax, ay, bx, by, cx, cy)) * F.signum(_cross(ax, ay, bx, by, dx, dy)) <= 0
     back = F.signum(_cross(cx, cy, dx, dy, ax, ay)) * F.signum(_cross(cx, cy, dx, dy, bx, by)) <= 0
     return ~apart & sides & back
@@ -46,28 +53,83 @@ def _ray(ax, ay, bx, by, px, py) -> Column:
     return ((ay > py) != (by > py)) & ((_cross(ax, ay, bx, by, px, py) > 0) == up)
 
 
-def _in_constant(v: Column, rings: tuple) -> Column:
-    edges = [(a, b) for ring in rings for a, b in zip(ring, ring[1:], strict=False)]
-    hits = [_ray(*(F.lit(float(c)) for c in (a[0], a[1], b[0], b[1])), v["x"], v["y"]).cast("int") for a, b in edges]
-    return reduce(lambda x, y: x + y, hits) % 2 == 1
+@dataclass(frozen=True)
+class Slabs:
+    """A constant's edges by height: slab k has those that reach into it. Heights beyond the constant fall to the outer slabs."""
+
+    low: float
+    scale: float
+    edges: list[list[tuple]]
+
+    @classmethod
+    def of(cls, edges: list[tuple]) -> Slabs:
+        low, high = min(min(e[1], e[3]) for e in edges), max(max(e[1], e[3]) for e in edges)
+        count = max(1, len(edges) // PER_SLAB)
+        while True:
+            scale = count / (high - low) if high > low else 0.0
+            reach = [sorted((cls._number(e[1], low, scale, count), cls._number(e[3], low, scale, count))) for e in edges]
+            if count == 1 or (math.isfinite(scale) and sum(b - a + 1 for a, b in reach) <= REPEATS * len(edges)):
+                break
+            count //= 2
+        out: list[list[tuple]] = [[] for _ in range(count)]
+        for e, (a, b) in zip(edges, reach, strict=True):
+            for k in range(a, b + 1):
+                out[k].append(e)
+        return cls(low, scale, out)
+
+    @staticmethod
+    def _number(y: float, low: float, scale: float, count: int) -> int:
+        return min(count - 1, max(0, math.floor((y - low) * scale)))
+
+    def number(self, y: Column) -> Column:
+        """The slab at a height; the same arithmetic as for the edges, so it grows with y alike."""
+        return F.least(F.lit(len(self.edges) - 1), F.greatest(F.lit(0), F.floor((y - F.lit(self.low)) * F.lit(self.scale)).cast("int")))
+
+    def literal(self) -> Column:
+        """The slabs as an array of arrays; folded to a constant."""
+        return F.from_json(F.lit(json.dumps([[dict(zip(("ax", "ay", "bx", "by", "area"), e, strict=True)) for e in s] for s in self.edges])), f"array<array<{EDGE}>>")
+
+
+def _edges(geometry: Geometry) -> list[tuple]:
+    """(ax, ay, bx, by, area): boundary edges, and the number of the area they belong to, -1 for none; a point is an edge of length 0."""
+    out = []
+    for k, (kind, rings) in enumerate(geometry.parts):
+        for ring in rings:
+            for a, b in list(zip(ring, ring[1:], strict=False)) or [(v, v) for v in ring]:
+                out.append((*(float(c) for c in (a[0], a[1], b[0], b[1])), k if kind == "A" else -1))
+    return out
 
 
 def intersects_constant(geometry: Geometry, column: str = "geometry") -> Column:
     """Exact intersection, boundary included, of the geometry column with a constant; false if either is empty.
 
-    The frame checks that both have the same SRID. Needs the columns xmin, ymin, xmax, ymax.
+    Needs the columns xmin, ymin, xmax, ymax. A row that names another reference system than the constant fails the query.
     """
     window = geometry.envelope()
     if window is None:
         return F.lit(False)
     parts = F.col(column)["parts"]
-    edges = geometry.segments()
-    touch = lambda s: reduce(lambda x, y: x | y, [_meet(s, e) for e in edges])
-    meets = F.exists(parts, lambda p: F.exists(segments(p["rings"]), touch))
-    areas = [rings for kind, rings in geometry.parts if kind == "A"]
-    if areas:  # without crossing boundaries a part lies inside or outside as a whole
-        meets = meets | F.exists(parts, lambda p: reduce(lambda x, y: x | y, [_in_constant(p["rings"][0][0], rings) for rings in areas]))
-    starts = [rings[0][0] for _, rings in geometry.parts]
-    around = lambda p, v: F.size(F.filter(segments(p["rings"]), lambda s: _ray(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], F.lit(float(v[0])), F.lit(float(v[1]))))) % 2 == 1
-    meets = meets | F.exists(parts, lambda p: (p["kind"] == "A") & reduce(lambda x, y: x | y, [around(p, v) for v in starts]))
-    return F.coalesce(F.when(overlaps_window(*window), meets), F.lit(False))
+    slabs = Slabs.of(_edges(geometry))
+    lists = slabs.literal()
+
+    def touches(s: Column) -> Column:
+        low, high = slabs.number(F.least(s["a"]["y"], s["b"]["y"])), slabs.number(F.greatest(s["a"]["y"], s["b"]["y"]))
+        return F.exists(F.slice(lists, low + 1, high - low + 1), lambda some: F.exists(some, lambda e: _meet(s, e)))
+
+    meets = F.exists(parts, lambda p: F.exists(segments(p["rings"]), touches))
+    if any(kind == "A" for kind, _ in geometry.parts):  # without crossing boundaries a part lies inside or outside as a whole
+
+        def inside(v: Column) -> Column:
+            crossed = F.filter(F.get(lists, slabs.number(v["y"])), lambda e: (e["area"] >= 0) & _ray(e["ax"], e["ay"], e["bx"], e["by"], v["x"], v["y"]))
+            areas = F.transform(crossed, lambda e: e["area"])
+            return F.exists(F.transform(F.array(areas), lambda a: F.exists(F.array_distinct(a), lambda k: F.size(F.filter(a, lambda x: x == k)) % 2 == 1)), lambda odd: odd)
+
+        meets = meets | F.exists(parts, lambda p: inside(p["rings"][0][0]))
+    starts = F.from_json(F.lit(json.dumps([{"x": float(rings[0][0][0]), "y": float(rings[0][0][1])} for _, rings in geometry.parts])), "array<struct<x:double,y:double>>")
+    around = lambda p, v: F.size(F.filter(segments(p["rings"]), lambda s: _ray(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], v["x"], v["y"]))) % 2 == 1
+    meets = meets | F.exists(parts, lambda p: (p["kind"] == "A") & F.exists(starts, lambda v: around(p, v)))
+    test = F.when(overlaps_window(*window), meets)
+    if geometry.srid is not None:
+        own = F.col(column)["srid"]
+        test = F.when(own != geometry.srid, F.raise_error(F.concat(F.lit(f"reference systems differ: {geometry.srid} and "), own.cast("string"))).cast("boolean")).otherwise(test)
+    return F.coalesce(test, F.lit(False))

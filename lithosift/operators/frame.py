@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Geometry, GeometryError, box, envelope
-from ..functions.paths import Binding, json_path
+from ..functions.paths import Binding, value_at
 from ..functions.predicates import Predicate
 from ..functions.spatial import intersects_constant, overlaps_window
 from .projection import ALWAYS, project
@@ -64,10 +64,12 @@ class FeatureFrame:
         return self._with(self.df.filter(overlaps_window(*w)), bbox=w)
 
     def intersecting(self, geometry: Geometry) -> FeatureFrame:
-        """Exact intersection with a constant of the same reference system."""
+        """Exact intersection with a constant of the same reference system; the window of its envelope reaches the scan."""
         if geometry.srid is not None and self.srid is not None and geometry.srid != self.srid:
             raise GeometryError(f"reference systems differ: {geometry.srid} and {self.srid}")
-        return self._with(self.df.filter(intersects_constant(geometry, self.geometry)))
+        window = geometry.envelope()
+        df = self.df.filter(overlaps_window(*window)) if window else self.df
+        return self._with(df.filter(intersects_constant(geometry, self.geometry)))
 
     def explode(self) -> FeatureFrame:
         """A row per part of each geometry, with the feature's id and document and the part's envelope.
@@ -122,4 +124,4 @@ class FeatureFrame:
 
     def get(self, path: str, type: str = "string") -> Column:
         """A property's value as a column."""
-        return self.binding.plain(path).try_cast(type) if self.mode == "plain" else F.try_variant_get(F.col(self.doc), json_path(path), type)
+        return self.binding.plain(path).try_cast(type) if self.mode == "plain" else value_at(F.col(self.doc), path, type)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, NullType, StructType, VariantType, _parse_datatype_string
 
-from ..functions.paths import json_path, steps
+from ..functions.paths import Key, json_path, steps
 
 
 @dataclass(frozen=True)
@@ -83,28 +85,23 @@ def project(items: Iterable, doc: str = "doc", always: Iterable = ALWAYS) -> Col
     return _build(F.col(doc), _tree([*always, *items]), ())
 
 
-def flatten(df: DataFrame, doc: str = "doc", under: str | None = None) -> list[tuple[str, str]]:
-    """(dotted key, Spark type) of every scalar leaf that any document has, sorted; arrays are left out.
+def flatten(df: DataFrame, doc: str = "doc", under: str | None = None) -> list[tuple[Key, str]]:
+    """(key, Spark type) of every scalar leaf that any document has, sorted; arrays are left out. Names may be any text.
 
     One aggregate over the documents finds the schema; values are then read with one variant_get a leaf.
     """
     value = F.try_variant_get(F.col(doc), json_path(under), "variant") if under else F.col(doc)
     text = df.agg(F.schema_of_variant_agg(value)).first()[0]
-    return sorted(_leaves(text or "", under or ""))
-
-
-def _leaves(text: str, prefix: str) -> list[tuple[str, str]]:
-    """The scalar leaves of a variant's schema, as schema_of_variant_agg writes it."""
-    if not text.startswith("OBJECT<"):
-        return [] if text.startswith(("ARRAY", "OBJECT")) or not prefix or not text else [(prefix, {"VOID": "string", "VARIANT": "string"}.get(text, text.lower()))]
-    out, depth, start = [], 0, len("OBJECT<")
-    for k in range(start, len(text)):
-        c = text[k]
-        depth += (c in "<(") - (c in ">)")
-        if (c == "," and depth == 0) or depth < 0:
-            name, _, kind = text[start:k].strip().partition(": ")
-            out += _leaves(kind, f"{prefix}.{name.strip('`')}" if prefix else name.strip("`"))
-            start = k + 1
-        if depth < 0:
-            break
-    return out
+    if not text or not text.startswith("OBJECT<"):
+        return []
+    # The same as a struct's type, which Spark can read; names stand in backticks where they need them.
+    struct = re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], text)
+    return sorted(_leaves(_parse_datatype_string(struct), tuple(steps(under)) if under else ()))
+
+
+def _leaves(kind: DataType, names: tuple[str, ...]) -> list[tuple[Key, str]]:
+    if isinstance(kind, StructType):
+        return [leaf for f in kind.fields for leaf in _leaves(f.dataType, (*names, f.name))]
+    if isinstance(kind, ArrayType):
+        return []
+    return [(Key(names), "string" if isinstance(kind, (NullType, VariantType)) else kind.simpleString())]

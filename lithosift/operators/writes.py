@@ -1,7 +1,9 @@
-"""Insert, upsert, delete and update on a versioned collection.
+"""Insert, upsert, delete and update on versioned collections.
 
-A collection is a folder with a sub-folder of Parquet for each version and a pointer to the current one. A change writes the new
-state beside the old and then moves the pointer, so readers never see half of it. One writer at a time.
+A collection's state is a list of folders of Parquet: base folders, whose ids differ, and deltas, each with one row per id, of which the
+later hold over the earlier and over the base. An insert adds a base folder, an upsert a delta; a delete, an update and a compaction write a
+new base. A state is a numbered file in _states, put there whole by a rename that fails if the number is taken, so readers
+never see half of a change, nothing is lost if the writer is, and of two writers one gets ConcurrentWrite.
 """
 
 from __future__ import annotations
@@ -17,11 +19,19 @@ from ..functions.geometry import envelope
 from ..functions.predicates import Predicate
 from .frame import FeatureFrame
 
+#: Deltas after which an upsert compacts.
+MAX_DELTAS = 8
+EMPTY = {"base": [], "deltas": [], "applied": {}}
+
 
 class DuplicateIds(ValueError):
     pass
 
 
+class ConcurrentWrite(RuntimeError):
+    pass
+
+
 @dataclass(frozen=True)
 class Collection:
     """A versioned collection of features at a path that all executors share."""
@@ -34,60 +44,141 @@ class Collection:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> str | None:
+    # States.
+
+    def versions(self) -> list[int]:
+        fs, path = self._fs()
+        folder = path(f"{self.path}/_states")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def version(self) -> int | None:
+        return max(self.versions(), default=None)
+
+    def state(self, version: int | None = None) -> dict:
+        version = self.version() if version is None else version
+        if version is None:
+            return EMPTY
         fs, path = self._fs()
-        pointer = path(f"{self.path}/_CURRENT")
-        if not fs.exists(pointer):
-            return None
-        stream = fs.open(pointer)
+        stream = fs.open(path(f"{self.path}/_states/{version}.json"))
         try:
-            return json.loads(stream.readUTF())["version"]
+            return json.loads(stream.readUTF())
         finally:
             stream.close()
 
+    def commit(self, after: int | None, state: dict) -> None:
+        """The state becomes the one that follows version after."""
+        fs, path = self._fs()
+        number = (after or 0) + 1
+        new = path(f"{self.path}/_states/.{number}-{uuid.uuid4().hex}")
+        stream = fs.create(new, False)
+        stream.writeUTF(json.dumps(state))
+        stream.close()
+        target = path(f"{self.path}/_states/{number}.json")
+        if fs.exists(target) or not fs.rename(new, target):
+            fs.delete(new, False)
+            raise ConcurrentWrite(f"{self.path} has a version {number} already")
+
+    def _write(self, df: DataFrame) -> str:
+        name = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _folder(self, *names: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in names])
+
+    def _forget(self, name: str) -> None:
+        fs, path = self._fs()
+        fs.delete(path(f"{self.path}/{name}"), True)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes the folders that none of the last keep states has, and older states. Returns how many folders went."""
+        fs, path = self._fs()
+        versions = self.versions()
+        used = {n for v in versions[-keep:] for k in ("base", "deltas") for n in self.state(v)[k]}
+        old = [f.getPath().getName() for f in fs.listStatus(path(self.path))]
+        gone = [n for n in old if n.startswith("v-") and n not in used]
+        for n in gone:
+            self._forget(n)
+        for v in versions[:-keep]:
+            self._forget(f"_states/{v}.json")
+        return len(gone)
+
+    # Reading.
+
     def read(self) -> DataFrame:
-        version = self.version()
-        if version is None:
+        if self.version() is None:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        return self._rows(self.state())
+
+    def _rows(self, state: dict) -> DataFrame:
+        base = self._folder(*state["base"]) if state["base"] else None
+        if not state["deltas"]:
+            return base
+        deltas = [self._folder(n).withColumn("__no", F.lit(k)) for k, n in enumerate(state["deltas"])]
+        new = deltas[0]
+        for d in deltas[1:]:
+            new = new.unionByName(d)
+        new = latest(new, "__no") if len(deltas) > 1 else new.drop("__no")
+        return new if base is None else base.join(new.select("id"), "id", "left_anti").unionByName(new.select(*base.columns))
 
     def frame(self, **options) -> FeatureFrame:
         return FeatureFrame(self.read(), **options)
 
+    # The changes.
+
     def replace(self, df: DataFrame) -> None:
         """df becomes the collection's state."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        fs, path = self._fs()
-        new, pointer = path(f"{self.path}/_CURRENT-{version}"), path(f"{self.path}/_CURRENT")
-        stream = fs.create(new, True)
-        stream.writeUTF(json.dumps({"version": version}))
-        stream.close()
-        fs.delete(pointer, False)
-        fs.rename(new, pointer)
+        version = self.version()
+        self.commit(version, {**self.state(version), "base": [self._write(df)], "deltas": []})
 
-    # The changes: each returns the new state; apply with replace().
+    def compact(self) -> None:
+        self.replace(self.read())
 
     def insert(self, new: DataFrame) -> int:
-        """Adds features; none if an id repeats or is there already. Returns how many."""
-        state = inserted(self.read() if self.version() else None, new)
-        self.replace(state)
-        return new.count()
-
-    def upsert(self, new: DataFrame, order: str | None = None) -> int:
-        empty = new.drop(order).limit(0) if order else new.limit(0)
-        self.replace(upserted(self.read() if self.version() else empty, new, order))
-        return new.select("id").distinct().count()
+        """Adds features; none if an id repeats or is there already. Returns how many. What is there isn't written again."""
+        version = self.version()
+        state = self.state(version)
+        name = self._write(new)
+        rows = self._folder(name)
+        try:
+            _no_duplicates(self._rows(state) if version else None, rows)
+        except DuplicateIds:
+            self._forget(name)
+            raise
+        self.commit(version, {**state, "base": [*state["base"], name]})
+        return rows.count()
+
+    def upsert(self, new: DataFrame, order: str | None = None, source: str | None = None, number: int | None = None) -> int:
+        """Adds features or replaces those of the same id; of a repeated id the last by order holds. Returns how many.
+
+        A load that names its source and a number is applied once: a repetition of it changes nothing and returns 0.
+        """
+        version = self.version()
+        state = self.state(version)
+        if source is not None and number <= state["applied"].get(source, -1):
+            return 0
+        name = self._write(latest(new, order))
+        applied = state["applied"] if source is None else {**state["applied"], source: number}
+        self.commit(version, {**state, "deltas": [*state["deltas"], name], "applied": applied})
+        n = self._folder(name).count()
+        if len(state["deltas"]) + 1 >= MAX_DELTAS:
+            self.compact()
+        return n
 
     def delete(self, predicate: Predicate, **options) -> int:
         before = self.read()
-        self.replace(deleted(before, predicate, **options))
-        return before.count() - self.read().count()
+        f = FeatureFrame(before, **options)
+        n = f.filter(predicate).df.count()
+        if n:
+            self.replace(deleted(before, predicate, **options))
+        return n
 
     def update(self, predicate: Predicate, feature: DataFrame, **options) -> int:
         before = self.read()
         n = FeatureFrame(before, **options).filter(predicate).df.count()
-        self.replace(updated(before, predicate, feature, **options))
+        if n:
+            self.replace(updated(before, predicate, feature, **options))
         return n
 
 
@@ -97,10 +188,14 @@ def duplicates(target: DataFrame | None, new: DataFrame) -> DataFrame:
     return twice if target is None else twice.unionByName(new.select("id").join(target.select("id"), "id", "left_semi"))
 
 
-def inserted(target: DataFrame | None, new: DataFrame) -> DataFrame:
+def _no_duplicates(target: DataFrame | None, new: DataFrame) -> None:
     found = [r.id for r in duplicates(target, new).limit(5).collect()]
     if found:
         raise DuplicateIds(f"ids are there already or repeat: {', '.join(map(str, found))}")
+
+
+def inserted(target: DataFrame | None, new: DataFrame) -> DataFrame:
+    _no_duplicates(target, new)
     return new if target is None else target.unionByName(new)
 
 

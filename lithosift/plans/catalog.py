@@ -1,4 +1,9 @@
-"""Collections and saved views in Spark's catalog."""
+"""Collections, their saved views and layouts in Spark's catalog.
+
+A collection is a table; what is declared for it, its views and its layouts are table properties, so they outlive the session. A table
+that create_collection() made is the current state of a versioned Collection beside it: a write commits a state there and
+then moves the table's location.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +12,16 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import steps
-from ..functions.predicates import Predicate
+from ..functions.geometry import GEOMETRY
+from ..functions.paths import is_kind, steps
+from ..functions.predicates import Predicate, from_spec, odd_column
 from ..operators.frame import FeatureFrame
+from ..operators.projection import Each, Path
+from ..operators.writes import Collection
 from ..sources.features import ID_TYPES, id_type_of
 
 PREFIX = "features."
+FEATURE_SCHEMA = f"id STRING, geometry {GEOMETRY}, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE, doc VARIANT"
 
 
 class AlreadyRegistered(ValueError):
@@ -20,18 +29,27 @@ class AlreadyRegistered(ValueError):
 
 
 def _set(spark: SparkSession, table: str, values: dict) -> None:
-    pairs = ", ".join(f"'{PREFIX}{k}' = '{json.dumps(v)}'" for k, v in values.items())
+    text = lambda v: json.dumps(v).replace("\\", "\\\\").replace("'", "\\'")
+    pairs = ", ".join(f"'{PREFIX}{k}' = '{text(v)}'" for k, v in values.items())
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({pairs})")
 
 
-def create_collection(spark: SparkSession, table: str, extent: tuple[float, float, float, float], id_type: str = "text", srid: int | None = None, mode: str = "typed") -> None:
-    """An empty table of features with its declared extent."""
+def _unset(spark: SparkSession, table: str, key: str) -> None:
+    spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{PREFIX}{key}')")
+
+
+def _properties(spark: SparkSession, table: str) -> dict:
+    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()  # a handful
+    return {r.key.removeprefix(PREFIX): json.loads(r.value) for r in rows if r.key.startswith(PREFIX)}
+
+
+def create_collection(spark: SparkSession, table: str, extent: tuple[float, float, float, float], id_type: str = "text", srid: int | None = None, mode: str = "typed", path: str | None = None) -> None:
+    """An empty table of features with its declared extent. Its versions are in path, by default beside the table's own folder."""
     if id_type not in ID_TYPES:
         raise ValueError(f"id type is one of {ID_TYPES}")
-    from ..functions.geometry import GEOMETRY
-
-    spark.sql(f"CREATE TABLE {table} (id STRING, geometry {GEOMETRY}, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE, doc VARIANT) USING parquet")
-    _set(spark, table, {"extent": list(extent), "id_type": id_type, "srid": srid, "mode": mode, "id": "id", "geometry": "geometry"})
+    spark.sql(f"CREATE TABLE {table} ({FEATURE_SCHEMA}) USING parquet" + (f" LOCATION '{path}/empty'" if path else ""))
+    own = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first().data_type
+    _set(spark, table, {"extent": list(extent), "id_type": id_type, "srid": srid, "mode": mode, "id": "id", "geometry": "geometry", "versions": path or f"{own.rstrip('/')}-versions"})
 
 
 def register(spark: SparkSession, table: str, key: str, geometry: str, extent: tuple | None = None, srid: int | None = None) -> None:
@@ -47,22 +65,105 @@ def register(spark: SparkSession, table: str, key: str, geometry: str, extent: t
 
 def metadata(spark: SparkSession, table: str, count: bool = True) -> dict:
     """What is declared for a collection, and its row count; empty if the table isn't one."""
-    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()  # a handful
-    out = {r.key.removeprefix(PREFIX): json.loads(r.value) for r in rows if r.key.startswith(PREFIX)}
+    out = {k: v for k, v in _properties(spark, table).items() if k != "versions" and "." not in k}
     if out and count:
         out["count"] = spark.table(table).count()
     return out
 
 
-def collection(spark: SparkSession, table: str) -> FeatureFrame:
-    m = metadata(spark, table, count=False)
-    if not m:
+def collection(spark: SparkSession, table: str, layout: str | None = None) -> FeatureFrame:
+    """The table as a frame; with the name of a layout, the rows of that layout, if it is of the table's current state."""
+    p = _properties(spark, table)
+    if not p:
         raise ValueError(f"{table} is not a collection")
-    return FeatureFrame(spark.table(table), mode=m["mode"], id=m["id"], geometry=m["geometry"], srid=m["srid"])
+    options = {"mode": p["mode"], "id": p["id"], "geometry": p["geometry"], "srid": p["srid"]}
+    if layout is not None:
+        known = p[f"layout.{layout}"]
+        if known["state"] == _state(spark, table):
+            return FeatureFrame(spark.read.parquet(known["path"]), ready=tuple(map(tuple, known["ready"])), **options)
+    return FeatureFrame(spark.table(table), **options)
+
+
+# Writes.
+
+
+class Table:
+    """Insert, upsert, delete and update on a table that create_collection() made; each returns the number of features."""
+
+    def __init__(self, spark: SparkSession, table: str):
+        p = _properties(spark, table)
+        if "versions" not in p:
+            raise ValueError(f"{table} was not made by create_collection()")
+        self.spark, self.table, self.mode = spark, table, p["mode"]
+        self.states = Collection(spark, p["versions"])
+        if self.states.version() is None:
+            self.states.replace(spark.table(table))
+
+    def _moved(self, n: int) -> int:
+        """The table's location follows the state, which is compacted first, as a table has one folder."""
+        state = self.states.state()
+        if len(state["base"]) != 1 or state["deltas"]:
+            self.states.compact()
+            state = self.states.state()
+        self.spark.sql(f"ALTER TABLE {self.table} SET LOCATION '{self.states.path}/{state['base'][0]}'")
+        self.spark.catalog.refreshTable(self.table)
+        return n
+
+    def insert(self, new: DataFrame) -> int:
+        return self._moved(self.states.insert(new))
+
+    def upsert(self, new: DataFrame, order: str | None = None) -> int:
+        return self._moved(self.states.upsert(new, order))
+
+    def delete(self, predicate: Predicate) -> int:
+        return self._moved(self.states.delete(predicate, mode=self.mode))
+
+    def update(self, predicate: Predicate, feature: DataFrame) -> int:
+        return self._moved(self.states.update(predicate, feature, mode=self.mode))
+
+
+# Views.
+
+
+def _item(item) -> dict:
+    if isinstance(item, str):
+        return {"path": item, "type": "variant"}
+    return {"path": item.path, "members": [_item(m) for m in item.members]} if isinstance(item, Each) else {"path": item.path, "type": item.type}
+
+
+def _from_item(item: dict):
+    return Each(item["path"], *map(_from_item, item["members"])) if "members" in item else Path(item["path"], item["type"])
+
+
+def put_view(spark: SparkSession, table: str, name: str, predicate: Predicate | None = None, items: tuple = ()) -> str:
+    """Saves a predicate and a projection under a name with the collection; 'created' or 'replaced'."""
+    for item in items:
+        steps(item if isinstance(item, str) else item.path)
+    known = f"view.{name}" in _properties(spark, table)
+    _set(spark, table, {f"view.{name}": {"predicate": predicate and predicate.spec, "items": [_item(i) for i in items]}})
+    return "replaced" if known else "created"
+
+
+def views(spark: SparkSession, table: str) -> list[str]:
+    return sorted(k.removeprefix("view.") for k in _properties(spark, table) if k.startswith("view."))
+
+
+def drop_view(spark: SparkSession, table: str, name: str) -> None:
+    _unset(spark, table, f"view.{name}")
+
+
+def through_view(spark: SparkSession, table: str, name: str, layout: str | None = None) -> FeatureFrame:
+    """The collection seen through a saved view; further filters are added, further projections come after the view's."""
+    v = _properties(spark, table).get(f"view.{name}")
+    if v is None:
+        raise KeyError(name)
+    frame = collection(spark, table, layout)
+    seen = frame.filter(from_spec(v["predicate"])) if v["predicate"] else frame
+    return seen._with(seen.df, view_items=tuple(map(_from_item, v["items"])))
 
 
 class Views:
-    """Saved views: a predicate and a projection under a name, kept as Python objects and, as rows, in a temporary view."""
+    """Views of frames that are no tables: kept in this process and, as rows, in a temporary view."""
 
     def __init__(self):
         self._views: dict[tuple[str, str], tuple[Predicate | None, tuple]] = {}
@@ -84,23 +185,33 @@ class Views:
         return seen._with(seen.df, view_items=items)
 
 
-def optimize_layout(frame: FeatureFrame, paths: list[tuple[str, str]], path: str, files: int = 8) -> FeatureFrame:
+# Layouts.
+
+
+def optimize_layout(frame: FeatureFrame, paths: list[tuple[str, str]], path: str, files: int | None = None) -> FeatureFrame:
     """Writes the frame with typed columns of the given (property path, kind), sorted by them, and reads it back.
 
     kind is number, string or boolean. Comparisons of these paths then use the columns, so they are pushed down
-    and Parquet's statistics and Bloom filters skip row groups.
+    and Parquet's statistics and Bloom filters skip row groups. Beside each column a boolean one marks the documents whose value it can't
+    stand for (arrays, nulls, numbers beyond the decimal type); these are compared as without a layout, so no answer
+    changes. Without a number of files Spark deals them out by their size.
     """
     types = {"number": "decimal(38,18)", "string": "string", "boolean": "boolean"}
-    names = {p: "p_" + "_".join(steps(p)).replace("-", "_") for p, _ in paths}
-    kind_test = {"number": r"^(BIGINT|DECIMAL|DOUBLE)", "string": "^STRING", "boolean": "^BOOLEAN"}
+    # The path's letters may meet with another path's, so columns have a number.
+    names = {p: f"p_{'_'.join(steps(p)).replace('-', '_')}" + (f"_{k}" if k else "") for k, (p, _) in enumerate(paths)}
 
-    def column(p: str, kind: str) -> Column:
+    def columns(p: str, kind: str) -> dict[str, Column]:
         value = frame.binding.value(p)
-        return F.when(F.schema_of_variant(value).rlike(kind_test[kind]), F.try_variant_get(value, "$", types[kind]))
+        typed = F.when(is_kind(value, kind), F.try_variant_get(value, "$", types[kind]))
+        odd = is_kind(value, "array") | is_kind(value, "null") | (is_kind(value, kind) & typed.isNull())
+        return {names[p]: typed, odd_column(names[p]): odd}
 
-    df = frame.df.withColumns({names[p]: column(p, k) for p, k in paths})
+    df = frame.df
+    for p, k in paths:
+        df = df.withColumns(columns(p, k))
     keys = [names[p] for p, _ in paths]
-    out = df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write
+    dealt = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    out = dealt.sortWithinPartitions(*keys).write
     for k in keys:
         out = out.option(f"parquet.bloom.filter.enabled#{k}", "true")
     out.parquet(path)
@@ -108,6 +219,34 @@ def optimize_layout(frame: FeatureFrame, paths: list[tuple[str, str]], path: str
     return frame._with(stored, ready=tuple((p, names[p], k) for p, k in paths))
 
 
+def _state(spark: SparkSession, table: str) -> str:
+    """Where the table's rows are and how many files there are: what a layout was made from."""
+    files = sorted(spark.table(table).inputFiles())
+    return f"{len(files)}:{files[0] if files else ''}:{files[-1] if files else ''}"
+
+
+def put_layout(spark: SparkSession, table: str, name: str, paths: list[tuple[str, str]], path: str, files: int | None = None) -> FeatureFrame:
+    """Lays the collection out under a name; collection(spark, table, name) reads it as long as the table stays as it is."""
+    laid = optimize_layout(collection(spark, table), paths, path, files)
+    _set(spark, table, {f"layout.{name}": {"path": path, "ready": [list(r) for r in laid.ready], "state": _state(spark, table)}})
+    return laid
+
+
+def layouts(spark: SparkSession, table: str) -> dict[str, list[tuple[str, str]]]:
+    """The (path, kind) pairs of each layout."""
+    return {k.removeprefix("layout."): [(p, kind) for p, _, kind in v["ready"]] for k, v in _properties(spark, table).items() if k.startswith("layout.")}
+
+
+def drop_layout(spark: SparkSession, table: str, name: str) -> None:
+    """Forgets a layout and deletes its files."""
+    known = _properties(spark, table).get(f"layout.{name}")
+    if known is None:
+        raise KeyError(name)
+    _unset(spark, table, f"layout.{name}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(known["path"])
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def extent_check(frame: FeatureFrame, declared: tuple[float, float, float, float]) -> DataFrame:
     """The computed extent, and whether it lies in the declared one."""
     e = frame.extent()

@@ -53,7 +53,7 @@ PREDICATES = {
     "f03_order": (lambda: prop(VALUE).ge(5) & prop(VALUE).lt(20.5) & (prop(USER).gt(10) | prop(USER).le(3)), "value >= 5 AND value < 20.5 AND (user_id > 10 OR user_id <= 3)"),
     "f05_and_or": (lambda: prop(TYPE).eq("click") | prop(TYPE).eq("error") & prop(USER).lt(50), "event_type = 'click' OR (event_type = 'error' AND user_id < 50)"),
     "f06_not": (lambda: ~prop("properties.none").eq(1) & ~prop(OPT).eq("12"), "event_id % 5 <> 2"),
-    "f06_not_three_valued": (lambda: ~prop(OPT).isin(12), "event_id % 5 = 99"),
+    "f06_not_three_valued": (lambda: ~prop(OPT).isin(13) & ~prop("properties.none").like("x"), "1 = 0"),
     "f07_boolean": (lambda: always(True) & prop("properties.flag").eq(True), "event_id % 2 = 0"),
     "f08_in": (lambda: prop(TYPE).isin("click", "error") & prop(OPT).isin(12, 13), "event_type IN ('click', 'error') AND event_id % 5 IN (2, 3)"),
     "f09_between": (lambda: prop(VALUE).between(5, 20), "value BETWEEN 5 AND 20"),

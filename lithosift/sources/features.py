@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import decode, encode, ewkt
-from ..functions.paths import json_path
+from ..functions.geometry import GEOMETRY, decode, encode, ewkt
+from ..functions.paths import steps, value_at
 from ..operators.frame import BOX, FeatureFrame, with_envelope
 from ..operators.projection import flatten
 
@@ -68,8 +69,8 @@ def read_lines(spark: SparkSession, path: str, **options) -> Import:
 
 
 def from_table(df: DataFrame, key: str, geometry: Column, srid: int | None = None) -> DataFrame:
-    """Features from any table: the id as text, every other column a property of its own type."""
-    drop = {key}
+    """Features from any table: the id as text, every other column but geometries a property of its own type."""
+    drop = {key, *(f.name for f in df.schema.fields if f.dataType.simpleString() == GEOMETRY)}
     rest = F.struct(*[F.col(c) for c in df.columns if c not in drop])
     doc = F.to_variant_object(F.struct(F.col(key).cast("string").alias("id"), F.lit("Feature").alias("type"), rest.alias("properties")))
     return with_envelope(df.select(F.col(key).cast("string").alias("id"), geometry.alias("geometry"), doc.alias("doc"))).select(*FEATURE)
@@ -104,32 +105,47 @@ def write_collection(frame: FeatureFrame, path: str) -> None:
     frame.count().crossJoin(F.broadcast(page)).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "total", "count")).alias("value")).write.text(f"{path}/collection")
 
 
+def write_document(frame: FeatureFrame, path: str) -> None:
+    """The page as one GeoJSON document, {"type": "FeatureCollection", "total", "features"}: a folder with a single part, streamed by one task."""
+    head = frame.count().select(F.concat(F.lit('{"type":"FeatureCollection","total":'), F.col("total").cast("string"), F.lit(',"features":[')).alias("value"))
+    first = F.monotonically_increasing_id() == 0
+    features = to_line(frame.rows()).coalesce(1).select(F.concat(F.when(first, "").otherwise(","), "value").alias("value"))
+    tail = frame.df.sparkSession.range(1).select(F.lit("]}").alias("value"))
+    head.coalesce(1).unionByName(features).unionByName(tail).coalesce(1).write.text(path)
+
+
 def csv_columns(df: DataFrame) -> list[tuple[str, str]]:
     """The flattened properties of all features, sorted."""
     return flatten(df, under="properties")
 
 
-def to_csv(df: DataFrame, columns: list[tuple[str, str]] | None = None) -> DataFrame:
-    """id, geometry-wkt and the properties, one column each; text in quotes, line ends as spaces, null as nothing."""
-    columns = csv_columns(df) if columns is None else columns
+def _quoted(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"[\r\n]", " "), '"', '""'), F.lit('"')))
 
-    def quoted(c: Column) -> Column:
-        return F.when(c.isNotNull(), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"[\r\n]", " "), '"', '""'), F.lit('"')))
 
-    out = [F.col("id"), quoted(ewkt(F.col("geometry"))).alias("geometry-wkt")]
+def _csv(columns: list[tuple[str, str]]) -> list[tuple[str, Column]]:
+    """(name, value) of each column; names needn't differ."""
+    out = [("id", F.col("id")), ("geometry-wkt", _quoted(ewkt(F.col("geometry"))))]
     for path, kind in columns:
-        c = F.try_variant_get("doc", json_path(path), "string")
-        out.append((quoted(c) if kind == "string" else c).alias(path.removeprefix("properties.")))
-    return df.select(*out)
+        c = value_at(F.col("doc"), path, "string")
+        out.append((".".join(steps(path)[1:]), _quoted(c) if kind == "string" else c))
+    return out
+
+
+def to_csv(df: DataFrame, columns: list[tuple[str, str]] | None = None) -> DataFrame:
+    """id, geometry-wkt and the properties, one column each; text in quotes, line ends as spaces, null as nothing."""
+    return df.select(*[c.alias(n) for n, c in _csv(csv_columns(df) if columns is None else columns)])
 
 
 def csv_lines(df: DataFrame, separator: str = ",", columns: list[tuple[str, str]] | None = None) -> tuple[str, DataFrame]:
-    """The header, and a column value with a line per feature."""
-    rows = to_csv(df, columns)
-    return separator.join(rows.columns), rows.select(F.concat_ws(separator, *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns]).alias("value"))
+    """The header, and a column value with a line per feature. A name with a separator, quotes or line ends stands in quotes."""
+    made = _csv(csv_columns(df) if columns is None else columns)
+    plain = lambda n: n if not any(c in n for c in (separator, '"', "\r", "\n")) else '"' + re.sub(r"[\r\n]", " ", n).replace('"', '""') + '"'
+    return separator.join(plain(n) for n, _ in made), df.select(F.concat_ws(separator, *[F.coalesce(c, F.lit("")) for _, c in made]).alias("value"))
 
 
 def write_csv(df: DataFrame, path: str, separator: str = ",", columns: list[tuple[str, str]] | None = None) -> None:
     """A folder of CSV parts, each with the header."""
-    rows = to_csv(df, columns)
-    rows.write.option("sep", separator).option("header", True).option("quote", "").option("emptyValue", "").option("nullValue", "").csv(path)
+    header, lines = csv_lines(df, separator, columns)
+    # One column whose name is the header line; the separator given here is in none of them.
+    lines.toDF(header).write.option("sep", "\u0001").option("header", True).option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

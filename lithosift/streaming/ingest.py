@@ -14,7 +14,8 @@ def ingest(spark: SparkSession, source: str, target: Collection, checkpoint: str
     """Upserts the lines of new files in a folder, batch by batch.
 
     Within a batch the last line of an id holds: the later file by name, then the later line. Across batches the later batch. A batch
-    that is run again after a failure gives the same state. Rejects are written with their batch's number.
+    is written as a delta, so its cost is that of its own lines; now and then the collection compacts. A batch that is run again after a failure
+    is known by its number and the checkpoint folder and applied once. Rejects are written with their batch's number.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(source)
     lines = lines.withColumn("file", F.col("_metadata.file_name")).withColumn("block", F.col("_metadata.file_block_start"))
@@ -23,7 +24,7 @@ def ingest(spark: SparkSession, source: str, target: Collection, checkpoint: str
         # monotonically_increasing_id grows along a file's block.
         got = parse(batch.withColumn("line_no", F.monotonically_increasing_id()), id_type=id_type, keep=("file", "block", "line_no"))
         rows = got.features.withColumn("order", F.struct("file", "block", "line_no")).drop("file", "block", "line_no")
-        target.upsert(rows, order="order")
+        target.upsert(rows, order="order", source=checkpoint, number=number)
         if rejects:
             got.rejects.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
 

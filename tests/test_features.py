@@ -1,16 +1,17 @@
 """Predicates, projection, geometry, import and export, writes, views and streams on small literal rows."""
 
 import json
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lithosift.functions.geometry import GEOMETRY, GeometryError, box, decode, encode, ewkt, line, multi, point, polygon
+from lithosift.functions.geometry import GEOMETRY, GeometryError, box, decode, encode, ewkt, line, multi, point, point_of, polygon
 from lithosift.functions.predicates import always, intersects, intersects_bbox, prop, spark_date_format, to_date
 from lithosift.operators.frame import FeatureFrame, with_envelope
 from lithosift.operators.projection import Each, Path, flatten, project
-from lithosift.operators.writes import Collection, DuplicateIds
+from lithosift.operators.writes import Collection, ConcurrentWrite, DuplicateIds
 from lithosift.plans import catalog
 from lithosift.sources import features as io
 
@@ -85,15 +86,15 @@ def test_dates_and_plain_mode(spark):
 
 
 def test_projection(spark):
-    doc = {"id": 1, "type": "Feature", "a1": 1, "a2": {"b1": [{"ca": 2, "cb": 3, "d": [{"e": 1}]}, {"ca": 4, "cb": 5}], "b2": 7}, "a3": 8}
-    df = spark.createDataFrame([(json.dumps(doc),)], "j string").select(F.parse_json("j").alias("doc"))
+    stop = {"id": 7, "type": "Feature", "name": "Mill Lane", "served": {"lines": [{"no": 4, "to": "harbour", "runs": [{"at": "07:10"}]}, {"no": 9, "to": "depot"}], "zone": "B"}, "roofed": True}
+    df = spark.createDataFrame([(json.dumps(stop),)], "j string").select(F.parse_json("j").alias("doc"))
     get = lambda *items: json.loads(df.select(F.to_json(project(items, always=()), {"ignoreNullFields": "false"})).first()[0])
-    assert get("a1", "a2.b2", "a2.none") == {"a1": 1, "a2": {"b2": 7, "none": None}}
-    assert get(Each("a2.b1", "ca", "zz")) == {"a2": {"b1": [{"ca": 2, "zz": None}, {"ca": 4, "zz": None}]}}
-    assert get(Each("a2.b1", Each("d", "e"))) == {"a2": {"b1": [{"d": [{"e": 1}]}, {"d": []}]}}
-    assert get(Each("a3", "x"), Each("none", "x")) == {"a3": [], "none": []}
-    assert get("a1", "a1", Each("a2.b1", "ca"), Each("a2.b1", "cb")) == {"a1": 1, "a2": {"b1": [{"cb": 3}, {"cb": 5}]}}
-    assert [k for k, _ in flatten(df)] == ["a1", "a2.b2", "a3", "id", "type"]
+    assert get("name", "served.zone", "served.none") == {"name": "Mill Lane", "served": {"zone": "B", "none": None}}
+    assert get(Each("served.lines", "no", "bay")) == {"served": {"lines": [{"no": 4, "bay": None}, {"no": 9, "bay": None}]}}
+    assert get(Each("served.lines", Each("runs", "at"))) == {"served": {"lines": [{"runs": [{"at": "07:10"}]}, {"runs": []}]}}
+    assert get(Each("roofed", "x"), Each("none", "x")) == {"roofed": [], "none": []}
+    assert get("name", "name", Each("served.lines", "no"), Each("served.lines", "to")) == {"name": "Mill Lane", "served": {"lines": [{"to": "harbour"}, {"to": "depot"}]}}
+    assert [k for k, _ in flatten(df)] == ["id", "name", "roofed", "served.zone", "type"]
 
 
 SHAPES = [point(1, 2), point(1, 2, 3), point(1, 2, 3, 4), point(), line((0, 0), (3, 4), (6, 0)), polygon([(0, 0), (9, 0), (9, 9), (0, 9)], [(3, 3), (6, 3), (6, 6), (3, 6)]), multi("MultiPoint", point(0, 0), point(5, 5)), multi("MultiLineString", line((0, 0), (1, 1)), line((5, 5), (6, 7))), multi("MultiPolygon", polygon([(0, 0), (1, 0), (1, 1)]), polygon([(5, 5), (7, 5), (7, 7)])), multi("GeometryCollection", point(1, 1), line((2, 2), (3, 3)))]
@@ -262,6 +263,113 @@ def test_views_catalog_and_layout(spark, tmp_path):
     assert [r.id for r in q.collect()] == ["b"] and "EqualTo(p_properties_v,2" in q._jdf.queryExecution().toString()
 
 
+def test_layout_changes_no_answer(spark, tmp_path):
+    """Every comparison of every kind of value, with its negation, before and after."""
+    values = [*VALUES.values(), "12.5", "-3", "1e-30", "12345678901234567890123", "9007199254740993", '"b"', "false", "[null]", "[]", "[[12]]", "[true]", '["12"]', "{}", "0.1"]
+    rows = [(str(k), '{"properties":{%s}}' % (f'"a":{v}' if v else "")) for k, v in enumerate(values)]
+    f = FeatureFrame(spark.createDataFrame(rows, "id string, json string").select("id", F.parse_json("json").alias("doc")))
+    for kind, others in (("number", [12, 0.1, 1e30, 1e-30, -3, 12345678901234567890123]), ("string", ["12", "abc", ""]), ("boolean", [True, False])):
+        laid = catalog.optimize_layout(f, [("properties.a", kind)], str(tmp_path / kind))
+        tests = [getattr(A, op)(o) for op in ("eq", "ne", "lt", "le", "gt", "ge") for o in [*others, 12, "12", True]]
+        both = [t for p in tests for t in (p, ~p)]
+        got = [[tuple(r) for r in x.df.select("id", *[p.column(x.binding).alias(f"c{k}") for k, p in enumerate(both)]).orderBy(F.col("id").cast("int")).collect()] for x in (f, laid)]
+        assert got[0] == got[1], kind
+        assert not any(v is None for r in got[1] for v in r)
+
+
+def test_layouts_and_views_of_tables(spark, tmp_path):
+    catalog.create_collection(spark, "kept", (0, 0, 9, 9), path=str(tmp_path / "kept"))
+    table = catalog.Table(spark, "kept")
+    assert table.insert(features(spark, [("a", 1), ("b", 2), ("c", 3)])) == 3 and table.insert(features(spark, [("d", 4)])) == 1
+    with pytest.raises(DuplicateIds):
+        table.insert(features(spark, [("d", 5)]))
+    catalog.put_layout(spark, "kept", "by_v", [("properties.v", "number")], str(tmp_path / "layout"))
+    assert catalog.layouts(spark, "kept") == {"by_v": [("properties.v", "number")]}
+    v = prop("properties.v")
+    names = lambda f: {r.id for r in f.df.select("id").collect()}
+    assert catalog.collection(spark, "kept", "by_v").ready and names(catalog.collection(spark, "kept", "by_v").filter(v.gt(2))) == {"c", "d"}
+    shape = polygon([(0, -1), (5, -1), (5, 1), (0, 1)])
+    p = (v.gt(1) & ~v.eq(3) | v.isin(1, 7)) & intersects(shape) & ~prop("properties.day").to_date("YYYY").lt(to_date("2024", "YYYY"))
+    assert catalog.put_view(spark, "kept", "some", p, (Path("properties.v", "int"), Each("properties.l", "x"), "other's")[:2]) == "created"
+    assert catalog.put_view(spark, "kept", "some", p, (Path("properties.v", "int"),)) == "replaced" and catalog.views(spark, "kept") == ["some"]
+    assert names(catalog.through_view(spark, "kept", "some", "by_v")) == {"a", "b", "d"}
+    assert table.upsert(features(spark, [("d", 40), ("e", 2)])) == 2 and table.delete(v.eq(1)) == 1 and table.update(v.eq(3), features(spark, [("z", 7)])) == 1
+    assert {r.id: r.v for r in spark.table("kept").select("id", F.try_variant_get("doc", "$.properties.v", "int").alias("v")).collect()} == {"b": 2, "c": 7, "d": 40, "e": 2}
+    assert not catalog.collection(spark, "kept", "by_v").ready  # the layout is of an earlier state
+    assert names(catalog.through_view(spark, "kept", "some")) == {"b", "e"}
+    catalog.drop_view(spark, "kept", "some")
+    catalog.drop_layout(spark, "kept", "by_v")
+    assert catalog.views(spark, "kept") == [] and catalog.layouts(spark, "kept") == {} and catalog.metadata(spark, "kept")["count"] == 4
+    with pytest.raises(KeyError):
+        catalog.through_view(spark, "kept", "some")
+    spark.sql("DROP TABLE kept")
+
+
+def test_states_survive_writers(spark, tmp_path):
+    c = Collection(spark, str(tmp_path / "c"))
+    c.insert(features(spark, [("a", 1)]))
+    before = c.version()
+    assert c.insert(features(spark, [("b", 2)])) == 1 and len(c.state()["base"]) == 2  # nothing is written again
+    with pytest.raises(ConcurrentWrite):
+        c.commit(before, c.state())
+    (tmp_path / "c/_states/.9-broken").write_text("half")
+    assert state(c) == {"a": 1, "b": 2}
+    for k in range(10):
+        assert c.upsert(features(spark, [("b", 10 + k), (f"n{k}", k)]), source="s", number=k) == 2
+        assert c.upsert(features(spark, [("b", -1)]), source="s", number=k) == 0
+    assert state(c) == {"a": 1, "b": 19} | {f"n{k}": k for k in range(10)} and len(c.state()["deltas"]) < 8
+    assert c.vacuum() > 0 and state(c)["b"] == 19
+
+
+def test_any_key_is_exported(spark, tmp_path):
+    doc = {"type": "Feature", "properties": {"a b": 1, "a,b": "x", 'q"q': True, "it's": 2.5, "ünï": {"in ner": "y"}, "both\"'": "z", "dot.ted": 3, "dot": {"ted": 4}, "OBJECT<": 5, "`t`": 6, "empty": {}, "list": [1]}}
+    df = spark.createDataFrame([("k", json.dumps(doc))], "id string, j string").select("id", F.lit(None).cast(GEOMETRY).alias("geometry"), F.parse_json("j").alias("doc"))
+    keys = {".".join(k.names[1:]): k for k, _ in io.csv_columns(df)}
+    assert set(keys) == {"a b", "a,b", 'q"q', "it's", "ünï.in ner", "both\"'", "dot.ted", "OBJECT<", "`t`"} and len(io.csv_columns(df)) == 10
+    io.write_csv(df.coalesce(1), str(tmp_path / "csv"))
+    import csv
+
+    (part,) = (tmp_path / "csv").glob("part-*")
+    head, row = csv.reader(part.read_text().splitlines())
+    got = sorted(zip(head, row, strict=True))
+    assert got == sorted([("id", "k"), ("geometry-wkt", ""), ("a b", "1"), ("a,b", "x"), ('q"q', "true"), ("it's", "2.5"), ("ünï.in ner", "y"), ("both\"'", "z"), ("dot.ted", "3"), ("dot.ted", "4"), ("OBJECT<", "5"), ("`t`", "6")])
+
+
+def test_one_document(spark, tmp_path):
+    f = FeatureFrame(features(spark, [(f"f{k}", k) for k in range(9)]))
+    for name, page in (("some", f.page(2, 4)), ("none", f.page(20, 4)), ("all", f)):
+        io.write_document(page, str(tmp_path / name))
+        (part,) = (tmp_path / name).glob("part-*")
+        got = json.loads(part.read_text())
+        assert got["type"] == "FeatureCollection" and got["total"] == 9 and len(got["features"]) == {"some": 4, "none": 0, "all": 9}[name]
+
+
+def test_rows_of_another_reference_system_fail(spark):
+    df = shapes(spark, [point(1, 1).with_srid(4326), point(1, 1), point(50, 50).with_srid(31370)])
+    assert FeatureFrame(df).intersecting(box(0, 0, 2, 2, srid=4326)).df.count() == 2
+    with pytest.raises(Exception, match="reference systems differ"):
+        FeatureFrame(df).filter(intersects(box(0, 0, 60, 60, srid=4326))).df.collect()
+
+
+def test_large_polygons(spark):
+    """A star of 4,000 vertices and many islands against the plain rule, for points, and a constant of constant size."""
+    rng = random.Random(12)
+    star = [((3 + 5 * (k % 2) + rng.random()) * math.cos(k * math.pi / 2000), (3 + 5 * (k % 2) + rng.random()) * math.sin(k * math.pi / 2000)) for k in range(4000)]
+    islands = multi("MultiPolygon", *[polygon([(x, y), (x + 0.4, y), (x + 0.4, y + 0.3)]) for x in range(-9, 9) for y in range(-9, 9)])
+    spots = [(rng.uniform(-10, 10), rng.uniform(-10, 10)) for _ in range(400)]
+    df = with_envelope(spark.createDataFrame([(str(k), x, y) for k, (x, y) in enumerate(spots)], "id string, x double, y double").select("id", point_of(F.col("x"), F.col("y")).alias("geometry")))
+
+    def inside(g, x, y):
+        def odd(rings):
+            return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for r in rings for a, b in zip(r, r[1:], strict=False)) % 2
+
+        return any(odd(rings) for _, rings in g.parts)
+
+    for g in (polygon(star), islands):
+        got = {int(r.id) for r in FeatureFrame(df).filter(intersects(g)).df.select("id").collect()}
+        assert got == {k for k, p in enumerate(spots) if inside(g, *p)} and 0 < len(got) < 400
+
+
 def test_stream(spark, tmp_path):
     from lithosift.streaming.ingest import ingest
 
