@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, few, id_and_text, same, ship
+from .common import WHITE, cut, drop, few, id_and_text, per_text, same
 
 #: Moduli and multipliers of the two polynomials. Products of residues stay below 2**63.
 PRIMES = (2147483647, 2147483629)
@@ -75,31 +75,46 @@ def fingerprint(data: bytes, bases=BASES, primes=PRIMES) -> tuple[int, int]:
     return out[0], out[1]
 
 
-FP_SCHEMA = "doc_id long, n_points long, n_bytes long, fp1 long, fp2 long, sha string, uid long"
+FP = [("n_points", pa.int64()), ("n_bytes", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sha", pa.string())]
+FP_SCHEMA = "n_points bigint, n_bytes bigint, fp1 bigint, fp2 bigint, sha string"
+PART = pa.list_(pa.struct([("no", pa.int32()), ("part", pa.binary())]))
 
 
-def _fingerprints(primes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            data = text.encode().translate(None, WHITE)
-            rows.append((len(text), len(data), *fingerprint(data, primes=primes), hashlib.sha256(data).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        arrays = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), batch.column("uid")]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_points", "n_bytes", "fp1", "fp2", "sha", "uid"])
+def _of(text: str, primes) -> tuple[bytes, tuple]:
+    data = text.encode().translate(None, WHITE)
+    return data, (len(text), len(data), *fingerprint(data, primes=primes), hashlib.sha256(data).hexdigest())
+
+
+def _structs(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Array:
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], fields=[pa.field(n, k) for n, k in kinds])
+
+
+def _fingerprints(primes, texts: list[str]) -> pa.Array:
+    return _structs([_of(t, primes)[1] for t in texts], FP)
+
+
+def _chunks(primes, texts: list[str]) -> pa.Array:
+    """Fingerprints, and the text's chunks."""
+    rows = []
+    for t in texts:
+        data, head = _of(t, primes)
+        rows.append((*head, [{"no": at // CHUNK, "part": data[at : at + CHUNK]} for at in range(0, max(1, len(data)), CHUNK)]))
+    return _structs(rows, [*FP, ("parts", PART)])
 
 
 def _chunk_hashes(primes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both hashes of each chunk, moved left by the bytes that follow it: those of a text only have to be added."""
     for batch in batches:
-        parts = batch.column("part").to_pylist()
-        hashes = [[hash_chunk(x, b, p) for x in parts] for b, p in zip(BASES, primes, strict=True)]
+        rest = [max(0, n - (no + 1) * CHUNK) for n, no in zip(batch.column("n_bytes").to_pylist(), batch.column("no").to_pylist(), strict=True)]
+        hashes = [[hash_chunk(x, b, p) * pow(b, r, p) % p for x, r in zip(batch.column("part").to_pylist(), rest, strict=True)] for b, p in zip(BASES, primes, strict=True)]
         kept = [n for n in batch.schema.names if n != "part"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(h, pa.int64()) for h in hashes)], [*kept, "h1", "h2"])
 
 
 def _huge_fingerprints(huge: DataFrame, primes) -> DataFrame:
     """The same columns for huge documents: their chunks are hashed wherever there is room."""
+    kind = dict(huge.dtypes)["doc_id"]
     data = F.translate("text", WHITE.decode(), "").cast("binary")
     parts = (
         huge.select("doc_id", "uid", F.length("text").cast("long").alias("n_points"), data.alias("data"))
@@ -107,55 +122,28 @@ def _huge_fingerprints(huge: DataFrame, primes) -> DataFrame:
         .selectExpr("doc_id", "uid", "n_points", "n_bytes", "sha", "no", f"substring(data, no * {CHUNK} + 1, {CHUNK}) AS part")
         .repartition("uid", "no")
     )
-    hashed = parts.mapInArrow(lambda b: _chunk_hashes(primes, b), "doc_id long, uid long, n_points long, n_bytes long, sha string, no long, h1 long, h2 long")
-    # One chunk's hash moves left by the bytes that follow it, so each is shifted alone and the shifted ones are added.
-    shifted = hashed.mapInArrow(lambda b: _shift(primes, b), "doc_id long, uid long, n_points long, n_bytes long, sha string, no long, h1 long, h2 long")
+    shifted = parts.mapInArrow(lambda b: _chunk_hashes(primes, b), f"doc_id {kind}, uid long, n_points long, n_bytes long, sha string, no long, h1 long, h2 long")
     return shifted.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_points").alias("n_points"), F.first("n_bytes").alias("n_bytes"), F.first("sha").alias("sha"),
         (F.sum("h1") % primes[0]).alias("fp1"), (F.sum("h2") % primes[1]).alias("fp2"),
-    ).select(*[c.split()[0] for c in FP_SCHEMA.split(", ")])
-
-
-def _shift(primes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rest = [max(0, n - (no + 1) * CHUNK) for n, no in zip(batch.column("n_bytes").to_pylist(), batch.column("no").to_pylist(), strict=True)]
-        cols = {n: batch.column(n) for n in batch.schema.names}
-        for name, base, prime in zip(("h1", "h2"), BASES, primes, strict=True):
-            cols[name] = pa.array([h * pow(base, r, prime) % prime for h, r in zip(cols[name].to_pylist(), rest, strict=True)], pa.int64())
-        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+    )
 
 
 def fingerprints(docs: DataFrame, primes=PRIMES, huge: int = HUGE) -> DataFrame:
-    """A row per row of docs (columns doc_id, text): FP_SCHEMA. uid numbers the rows."""
-    ship(docs.sparkSession)
+    """A row per row of docs (columns doc_id, text): doc_id, uid, which numbers the rows, n_points, n_bytes, fp1, fp2 and sha."""
+    spark = docs.sparkSession
     rows = docs.withColumn("uid", F.monotonically_increasing_id())
-    plain = rows.filter(F.octet_length("text") <= huge).mapInArrow(lambda b: _fingerprints(primes, b), FP_SCHEMA)
+    made = per_text(spark, lambda texts: _fingerprints(primes, texts), FP_SCHEMA, F.col("text")).alias("f")
+    plain = rows.filter(F.octet_length("text") <= huge).select("doc_id", "uid", made).select("doc_id", "uid", "f.*")
     return plain.unionByName(_huge_fingerprints(rows.filter(F.octet_length("text") > huge), primes))
 
 
 def _members(docs: DataFrame, ids: DataFrame, primes) -> DataFrame:
-    """(fp1, fp2, n_bytes, doc_id, sha, no, part): the chunks of the documents whose ids are given."""
+    """(doc_id, fingerprints, no, part): the chunks of the documents whose ids are given."""
     ids = few(ids)
     hit = docs.join(ids, same(docs["doc_id"], ids["id"]), "left_semi")
-    return hit.mapInArrow(lambda b: _chunks(primes, b), "fp1 long, fp2 long, n_bytes long, doc_id long, n_points long, sha string, no int, part binary")
-
-
-def _chunks(primes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["fp1", "fp2", "n_bytes", "doc_id", "n_points", "sha", "no", "part"]
-    kinds = [pa.int64()] * 5 + [pa.string(), pa.int32(), pa.binary()]
-    for batch in batches:
-        rows, held = [], 0
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            data = text.encode().translate(None, WHITE)
-            head = (*fingerprint(data, primes=primes), len(data), doc_id, len(text), hashlib.sha256(data).hexdigest())
-            for at in range(0, max(1, len(data)), CHUNK):
-                rows.append((*head, at // CHUNK, data[at : at + CHUNK]))
-                held += len(rows[-1][-1])
-                if held > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    made = per_text(docs.sparkSession, lambda texts: _chunks(primes, texts), FP_SCHEMA + ", parts array<struct<no:int,part:binary>>", F.col("text")).alias("f")
+    return hit.select("doc_id", made).select("doc_id", "f.fp1", "f.fp2", "f.n_bytes", "f.sha", F.explode("f.parts").alias("c")).select("doc_id", "fp1", "fp2", "n_bytes", "sha", "c.no", "c.part")
 
 
 KEY = ["fp1", "fp2", "n_bytes"]
@@ -181,6 +169,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pri
     theirs = cut(theirs.groupBy(*KEY, "no").agg(F.max_by("part", "sha").alias("rep_part")))
     unlike = parts.join(theirs, [*KEY, "no"]).filter(F.col("part") != F.col("rep_part"))
     collided = cut(unlike.select(*KEY).distinct())
+    drop(theirs)
     out = fps.join(groups.drop("sha_a", "sha_z"), KEY)
     if not collided.isEmpty():
         out = _by_bytes(docs, fps, out, collided, rank)

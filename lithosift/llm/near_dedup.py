@@ -74,7 +74,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, remembered up to a number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 17:
+        if len(self) >= 1 << 16:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         return h
@@ -194,13 +194,11 @@ def _sign(texts: list[str]) -> pa.Array:
             made = iter(band_keys(signatures(full)) if full else ())
             keys += [next(made) if len(b[0]) else [] for b in bags]
             bags, mass = [], 0
-    _hashes.clear()  # workers live on; what they remember of words doesn't
     return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, SIGNED[1].type)], fields=list(SIGNED))
 
 
 def _bags(texts: list[str]) -> pa.Array:
     bags = [bag(t) for t in texts]
-    _hashes.clear()
     cols = [pa.array([b[0] for b in bags], pa.int64()), pa.array([pack_bag(*b[1:]) for b in bags], pa.binary())]
     return pa.StructArray.from_arrays(cols, fields=[pa.field("node", pa.int64()), pa.field("bag", pa.binary())])
 
@@ -296,8 +294,8 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (u, v) that connect the nodes of each class."""
+def labels(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """(node, label) of the nodes that have links: the same label for all nodes of a class."""
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     buckets = nodes.select("node", "doc_id", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -316,14 +314,25 @@ def links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     pairs = pairs.join(bags.select(F.col("node").alias("v"), F.col("bag").alias("bag_v")), "v")
     first = cut(pairs.mapInArrow(lambda b: _compare(threshold, b), "u long, v long"))
     label = components(first)
+    drop(first)
     # Nodes of buckets that are not connected yet.
     rest = held.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("key")
     unsure = cut(rest.join(open_, "key").select("node", "label").distinct())
-    drop(held, label)
-    out = first if unsure.isEmpty() else cut(first.unionByName(rare_links(unsure, bags, threshold)))
+    drop(held)
+    if not unsure.isEmpty():
+        second = cut(rare_links(unsure, bags, threshold))
+        if not second.isEmpty():
+            # Labels that the new links join get one label more.
+            known = unsure.select(F.col("node").alias("at"), F.col("label").alias("to"))
+            for end in ("u", "v"):
+                second = second.join(known, F.col(end) == F.col("at")).drop(end, "at").withColumnRenamed("to", end)
+            joined = components(second).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+            every = label.unionByName(joined.select(F.col("label").alias("node"), "label")).distinct()
+            old, label = label, cut(every.join(joined, "label", "left").select("node", F.coalesce("whole", "label").alias("label")).distinct())
+            drop(old)
     drop(unsure, bags)
-    return out
+    return label
 
 
 def rare_links(unsure: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -381,9 +390,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     more = [c for c in docs.columns if c == "sum"]
     made = per_text(docs.sparkSession, _sign, "node bigint, bands array<bigint>", F.col("text")).alias("made")
     signed = cut(docs.select("doc_id", *more, made).select("doc_id", *more, "made.*", F.monotonically_increasing_id().alias("uid")))
-    found = links(docs, signed, threshold)
-    label = components(found)
-    drop(found)
+    label = labels(docs, signed, threshold)
     per_node = signed.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("uid").alias("c"))).alias("best"))
     per_node = per_node.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = per_node.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("best").alias("best"))

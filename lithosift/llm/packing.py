@@ -4,8 +4,8 @@ A document of n tokens is cut into pieces whose lengths are powers of two: as ma
 each binary digit of the rest, longest first. Each piece is a sequence of its own, and pieces of equal length
 form a bucket from which batches without any padding are drawn; no sequence crosses documents.
 
-Sequences are numbered within (bucket, hash of the document): the numbers are unique and the same in each run,
-and neither a bucket nor a document is ever one group.
+Sequences are numbered within (bucket, hash of the piece's document, place and checksum): the numbers are unique and the
+same in each run, and neither a bucket nor a document nor all rows without an id are ever one group.
 
 Token ids are those of the tokenizers library for the given file. Texts without special strings are
 encoded from the same vocabulary as ranks, by tiktoken, which gives the same ids several times faster; a text
@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import json
 import os
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship, tokenizer_path
+from .common import id_and_text, per_text, tokenizer_path
 
 LIMIT = 2048
 #: The id that ends a document.
@@ -85,40 +84,40 @@ def cuts(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(tokenizer: str, ranks: str | None, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode = encoder(tokenizer, ranks)
-    names, kinds = ["doc_id", "start", "length", "doc_tokens", "ids"], [pa.int64()] * 4 + [pa.binary()]
-    for batch in batches:
-        rows, held = [], 0
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = np.append(encode(text), np.uint32(END)).astype("<u4")
-            rows += [(doc_id, at, n, len(ids), ids[at : at + n].tobytes()) for at, n in cuts(len(ids), limit)]
-            held += len(ids)
-            if held > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+PIECES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]))
+
+
+def _pieces(tokenizer: str, ranks: str | None, limit: int, texts: list[str]) -> pa.Array:
+    encode, out = encoder(tokenizer, ranks), []
+    for text in texts:
+        ids = np.append(encode(text), np.uint32(END)).astype("<u4")
+        out.append([{"start": at, "length": n, "doc_tokens": len(ids), "ids": ids[at : at + n].tobytes()} for at, n in cuts(len(ids), limit)])
+    return pa.array(out, PIECES)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, ranks: str | None = None, limit: int = LIMIT) -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit numbers)."""
-    ship(docs.sparkSession)
     if tokenizer is None:
         tokenizer, ranks = tokenizer_path(TOKENIZER), tokenizer_path(RANKS)
-    docs = id_and_text(docs, id_col, text_col)
-    return docs.mapInArrow(lambda b: _pieces(tokenizer, ranks, limit, b), "doc_id long, start long, length long, doc_tokens long, ids binary")
+    schema = "array<struct<start:bigint,length:bigint,doc_tokens:bigint,ids:binary>>"
+    made = per_text(docs.sparkSession, lambda texts: _pieces(tokenizer, ranks, limit, texts), schema, F.col("text"))
+    return id_and_text(docs, id_col, text_col).select("doc_id", made.alias("made")).select("doc_id", F.explode("made").alias("p")).select("doc_id", "p.*")
 
 
 def number(pieces: DataFrame) -> DataFrame:
-    """pieces with sequence_id and offset: the bucket (log2 of the length), a hash cell and a number in it make the id."""
-    cell = F.pmod(F.xxhash64("doc_id", F.expr("start div 65536")), F.lit(1 << CELLS))
+    """pieces with sequence_id and offset: the bucket (log2 of the length), a hash cell and a number in it make the id.
+
+    pieces has ids, or the checksum that digest() puts in their place.
+    """
+    sum_ = F.col("ids_crc32") if "ids_crc32" in pieces.columns else F.crc32("ids")
+    # The checksum parts the pieces of rows without an id, or with one id.
+    cell = F.pmod(F.xxhash64("doc_id", "start", sum_), F.lit(1 << CELLS))
     bucket = F.log2("length").cast("int").cast("long")
-    p = pieces.withColumns({"__bucket": bucket, "__cell": cell})
-    order = Window.partitionBy("__bucket", "__cell").orderBy("doc_id", "start")
+    p = pieces.withColumns({"__bucket": bucket, "__cell": cell, "__sum": sum_})
+    order = Window.partitionBy("__bucket", "__cell").orderBy("doc_id", "start", "__sum")
     # 2**40 numbers a cell, 12 bits of cell, the bucket above.
     p = p.withColumn("sequence_id", F.col("__bucket") * (1 << (40 + CELLS)) + F.col("__cell") * (1 << 40) + F.row_number().over(order))
-    return p.withColumn("offset", F.lit(0).cast("long")).drop("__bucket", "__cell")
+    return p.withColumn("offset", F.lit(0).cast("long")).drop("__bucket", "__cell", "__sum")
 
 
 def pack(docs: DataFrame, **options) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship
+from .common import id_and_text, per_text
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "routing", "national_phone")
 BASE = 4
@@ -151,17 +151,14 @@ SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def _find(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [[vars(s) for s in find(t, threshold)] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _SPANS)], ["doc_id", "spans"])
+def _find(threshold: float, texts: list[str]) -> pa.Array:
+    return pa.array([[vars(s) for s in find(t, threshold)] for t in texts], _SPANS)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of docs: doc_id, spans (kind, start, end, score)."""
-    ship(docs.sparkSession)
-    docs = id_and_text(docs, id_col, text_col)
-    return docs.mapInArrow(lambda b: _find(threshold, b), f"doc_id {dict(docs.dtypes)['doc_id']}, spans {SPANS}")
+    spans = per_text(docs.sparkSession, lambda texts: _find(threshold, texts), SPANS, F.col("text"))
+    return id_and_text(docs, id_col, text_col).select("doc_id", spans.alias("spans"))
 
 
 def _is(kind: str):

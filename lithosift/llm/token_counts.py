@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_and_text, ship, tokenizer_path
+from .common import id_and_text, per_text, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -202,23 +203,17 @@ class Prefixes:
         return int(np.searchsorted(self.upto, budget, side="right"))
 
 
-def _count(path: str, limit: int, arrays: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(path: str, limit: int, arrays: bool, texts: list[str]) -> pa.Array:
     c = counter(path)
-    for batch in batches:
-        for at in range(0, max(1, batch.num_rows), 512):
-            part = batch.slice(at, 512)
-            texts = part.column("text").to_pylist()
-            sums = [c.sums(t) for t in texts]
-            total = [int(s[-1]) if len(s) else 0 for s in sums]
-            cols = {"doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(total, pa.int64()), "words_within": pa.array([int(np.searchsorted(s, limit, side="right")) for s in sums], pa.int64())}
-            if arrays:
-                cols["upto"] = pa.array(sums, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+    sums = [c.sums(t) for t in texts]
+    cols = {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": [int(s[-1]) if len(s) else 0 for s in sums], "words_within": [int(np.searchsorted(s, limit, side="right")) for s in sums]}
+    made = {k: pa.array(v, pa.int64()) for k, v in cols.items()} | ({"upto": pa.array(sums, pa.list_(pa.int64()))} if arrays else {})
+    return pa.StructArray.from_arrays(list(made.values()), fields=[pa.field(k, v.type) for k, v in made.items()])
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT, arrays: bool = True) -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, n_tokens, words_within (the words that fit limit), upto (tokens up to each word's end)."""
-    ship(docs.sparkSession)
     path = tokenizer or tokenizer_path(TOKENIZER)
-    schema = "doc_id long, n_bytes long, n_tokens long, words_within long" + ", upto array<long>" * arrays
-    return id_and_text(docs, id_col, text_col).mapInArrow(lambda b: _count(path, limit, arrays, b), schema)
+    schema = "n_bytes bigint, n_tokens bigint, words_within bigint" + ", upto array<bigint>" * arrays
+    made = per_text(docs.sparkSession, lambda texts: _count(path, limit, arrays, texts), schema, F.col("text")).alias("made")
+    return id_and_text(docs, id_col, text_col).select("doc_id", made).select("doc_id", "made.*")

@@ -65,24 +65,32 @@ WORDS = re.compile(r"[^\W_]+")
 #: Code points of a word at most; longer runs are split into pieces of PIECE code points, one at each PIECE // 2.
 LONGEST = 64
 PIECE = 16
-#: Words that a worker remembers, and matches that it takes in hand at once.
+#: Words that a worker remembers, and words that it takes in hand at once.
 REMEMBER = 1 << 17
 STEP = 1 << 14
+#: Texts of more code points are read some words at a time.
+LONG = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(LONGEST + 2, 0x5851F42D4C957F2D, np.uint64))
 
 
+def _in_pieces(words: list[str]) -> list[str]:
+    """Long runs in pieces; the last ends with its run."""
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    return [x for w in words for x in ([w] if len(w) <= LONGEST else [*(w[k : k + PIECE] for k in range(0, len(w) - PIECE, PIECE // 2)), w[-PIECE:]])]
+
+
 def in_steps(text: str) -> Iterator[list[str]]:
-    """The words of a text, long runs in pieces (the last ends with its run), some at a time."""
+    """The words of a text, some at a time."""
     found = WORDS.finditer(text.lower())
     while part := [m[0] for m in islice(found, STEP)]:
-        if max(map(len, part)) > LONGEST:
-            part = [x for w in part for x in ([w] if len(w) <= LONGEST else [*(w[k : k + PIECE] for k in range(0, len(w) - PIECE, PIECE // 2)), w[-PIECE:]])]
-        yield part
+        yield _in_pieces(part)
 
 
 def words_of(text: str) -> list[str]:
-    return [w for part in in_steps(text) for w in part]
+    """The words of a text."""
+    return _in_pieces(WORDS.findall(text.lower()))
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,25 +156,32 @@ class Model:
         self.__dict__ |= state
         self._forget()
 
-    def numbers(self, text: str) -> np.ndarray:
-        """The words of a text by their numbers in the memory; new ones are remembered."""
-        number, out = self.number, array("i")
-        for words in in_steps(text):
-            new = [w for w in dict.fromkeys(words) if w not in number]
-            if new:
-                number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-                rows, owner = subwords(new)
-                mean = np.bincount(owner, self.rows[rows], len(new)) / np.bincount(owner, minlength=len(new))
-                self.shares = np.concatenate([self.shares, mean.astype(np.float32)])
-            out.extend(map(number.__getitem__, words))
-        return np.frombuffer(out, np.int32) if out else np.zeros(0, np.int32)
+    def _learn(self, words) -> None:
+        """Remembers the words that it doesn't know yet."""
+        new = [w for w in words if w not in self.number]
+        shares = [self.shares]
+        for k in range(0, len(new), STEP):
+            part = new[k : k + STEP]
+            rows, owner = subwords(part)
+            shares.append((np.bincount(owner, self.rows[rows], len(part)) / np.bincount(owner, minlength=len(part))).astype(np.float32))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.shares = np.concatenate(shares)
 
     def scores(self, texts: list[str]) -> list[float]:
+        if len(self.number) >= REMEMBER:
+            self._forget()
         out = []
-        for text in texts:
-            if len(self.number) >= REMEMBER:
-                self._forget()
-            out.append(float(_sigmoid(self._log_odds(self.numbers(text)))))
+        bags = [words_of(t) if len(t) <= LONG else None for t in texts]
+        self._learn(set().union(*filter(None, bags)))
+        for text, words in zip(texts, bags, strict=True):
+            if words is None:  # some words at a time
+                numbers = array("i")
+                for part in in_steps(text):
+                    self._learn(dict.fromkeys(part))
+                    numbers.extend(map(self.number.__getitem__, part))
+            else:
+                numbers = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+            out.append(float(_sigmoid(self._log_odds(np.asarray(numbers, np.int32)))))
         return out
 
     def _log_odds(self, words: np.ndarray) -> float:
