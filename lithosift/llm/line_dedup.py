@@ -32,7 +32,7 @@ from .common import cut, id_and_text
 WINDOW = 2
 PRIME = (1 << 31) - 1
 BASE = 1000003
-#: Lists of up to this many rows (some 50 bytes each) are broadcast; longer ones are shuffled.
+#: Lists of up to this many rows (some 50 bytes each), or with arrays of up to 8 times as many elements (4 bytes each), are broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 1 << 18
 
 
@@ -89,9 +89,12 @@ def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return rows.select("c.hash", F.struct("doc_id", "th", F.col("c.no").alias("no"), F.col("c.start").alias("start"), F.col("c.n").alias("n")).alias("at"), *(["c.part"] if with_text else []))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame, array: str | None = None) -> DataFrame:
+    """df, to be broadcast if it has few rows, or few elements in its array column."""
+    if array is None:
+        return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    held = df.agg(F.sum(F.size(array) + 8)).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_ROWS * 8 else df
 
 
 def windows(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -133,7 +136,7 @@ def repeated_windows(docs: DataFrame, chunks_gone: DataFrame) -> DataFrame:
     several = _few(cut(windows(docs).groupBy("hash").count().filter("count > 1").select("hash")))
     firsts = cut(windows(docs).join(several, "hash").groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("NOT first <=> last").drop("last"))
     held = windows(docs, with_text=True).join(_few(firsts), "hash")
-    held = held.join(_few(chunks_gone), F.expr("at.doc_id <=> gone_id AND at.th = gone_th"), "left")
+    held = held.join(_few(chunks_gone, "gone_lines"), F.expr("at.doc_id <=> gone_id AND at.th = gone_th"), "left")
     # Windows within the chunks that go need no comparison.
     held = held.filter("at <=> first OR gone_lines IS NULL OR NOT (array_contains(gone_lines, at.no) AND array_contains(gone_lines, at.no + at.n - 1))")
     texts = cut(held.filter("at <=> first").groupBy("hash").agg(F.min("part").alias("first_part")))
@@ -150,7 +153,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """A row per row of docs: doc_id, text (what stays), n_lines, n_chunks, removed_chunks and removed_lines."""
     docs = id_and_text(docs, id_col, text_col)
     gone = cut(repeated_chunks(docs).groupBy(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.collect_set("no").alias("gone")))
-    rows = docs.join(_few(gone), F.expr("doc_id <=> gone_id AND xxhash64(text) = gone_th"), "left")
+    rows = docs.join(_few(gone, "gone"), F.expr("doc_id <=> gone_id AND xxhash64(text) = gone_th"), "left")
 
     def kept(s: Column) -> Column:
         nos = F.array_except(F.sequence(F.lit(0), F.size(s["ends"]) - 1), F.coalesce(F.col("gone"), F.array().cast("array<int>")))
@@ -169,7 +172,7 @@ def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chunks_gone = cut(repeated_chunks(docs).distinct().groupBy(*who).agg(lines(F.col("start")), F.count("*").cast("int").alias("gone_chunks")))
     windows_gone = repeated_windows(docs, chunks_gone).distinct().groupBy(*who).agg(lines(F.col("no")), F.lit(0).alias("gone_chunks"))
     gone = cut(chunks_gone.unionByName(windows_gone).groupBy("gone_id", "gone_th").agg(F.array_distinct(F.flatten(F.collect_list("gone_lines"))).alias("gone_lines"), F.sum("gone_chunks").cast("int").alias("gone_chunks")))
-    rows = docs.join(_few(gone), F.expr("doc_id <=> gone_id AND xxhash64(text) = gone_th"), "left")
+    rows = docs.join(_few(gone, "gone_lines"), F.expr("doc_id <=> gone_id AND xxhash64(text) = gone_th"), "left")
     rows = rows.select("doc_id", F.split("text", "\n", -1).alias("lines"), "gone_lines", F.coalesce("gone_chunks", F.lit(0)).alias("removed_chunks"))
     rows = rows.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone_lines", F.array().cast("array<int>"))))
     text = F.array_join(F.transform("stay", lambda k: F.get("lines", k)), "\n").alias("text")

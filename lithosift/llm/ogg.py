@@ -1,17 +1,18 @@
 """Media columns: Ogg bitstreams as binary columns.
 
-write() multiplexes two logical streams of unsigned 8-bit PCM into pages with checksums and lacing values; read()
-verifies each page's checksum and sequence number, reassembles packets from the lacing values, also where they go on
-over several pages, demultiplexes the streams by serial number, and orders their packets
-by the timestamps that the granule positions give.
+write() multiplexes two logical streams of unsigned 8-bit PCM, which hold the payload's bytes in turn, into pages with checksums and
+lacing values; read() verifies each page's checksum and sequence number, reassembles packets from the lacing values, also where
+they go on over several pages, demultiplexes the streams by serial number, derives the time of each packet from the granule
+positions, and puts the streams' samples together by their times.
 
-A stream starts with a header packet: the OggPCM codec name, format, sample rate and channels. Data packets hold PACKET
-samples in turn for the one stream and the other; a page's granule position is the number of samples of
-the whole timeline up to the end of the last packet that ends on it, -1 if none does.
+A stream starts with a header packet: the OggPCM codec name, format, sample rate and channels. A page's granule position is the
+number of the stream's samples up to the end of the last packet that ends on it, -1 if none does; the packets before it on
+the page end where the next one starts. So packets may have any lengths, and the reader knows nothing of the writer.
 
 Defined results: a null text counts as empty; every payload has 192 bytes at least; equal texts give equal media (serial
 numbers are fixed); null ids and repeated rows are kept; an empty table gives an empty
-result; other columns aren't read; damaged media raise OggError.
+result; other columns aren't read; read() raises OggError for damaged media, describe_media() puts its message in the column error and
+leaves the others null, as it does for null media.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_and_text, ship
+from .common import id_and_text, per_text, ship
 
 #: The payload is a positive multiple of so many bytes.
 UNIT = 192
 RATE = 8000
-#: Samples of a data packet: 0.3 s. With lacing values of 255 it takes ten of a page's 255 segments.
+#: Samples of a packet that the writer makes: 0.3 s. With lacing values of 255 it takes ten of a page's 255 segments.
 PACKET = 2400
 SERIALS = (0x1A, 0x2B)
 #: The header flags of a page.
@@ -93,15 +95,17 @@ def pad(data: bytes, unit: int = UNIT) -> bytes:
 
 
 def write(payload: bytes, packet: int = PACKET) -> bytes:
-    """An Ogg file of the payload's bytes as samples."""
+    """An Ogg file of the payload's bytes as samples, dealt to the streams in turn."""
     streams = [_Writer(s) for s in SERIALS]
     out = []
     for s in streams:
         list(s.packet(_CODEC.pack(CODEC, 0, 0, U8, RATE, 8, 1, 0, 0), 0))
         out.append(s.page())
-    for k, at in enumerate(range(0, len(payload), packet)):
-        part = payload[at : at + packet]
-        out += streams[k % 2].packet(part, at + len(part))
+    samples = [payload[k :: len(streams)] for k in range(len(streams))]
+    for at in range(0, len(samples[0]), packet):
+        for s, data in zip(streams, samples, strict=True):
+            if part := data[at : at + packet]:
+                out += s.packet(part, at + len(part))
     return b"".join([*out, *(s.page(last=True) for s in streams)])
 
 
@@ -109,7 +113,7 @@ def write(payload: bytes, packet: int = PACKET) -> bytes:
 class Stream:
     serial: int
     rate: int = 0
-    #: (end time in seconds, end in samples, data); the time is None inside a page, where no granule position is stored.
+    #: (end in samples, data).
     packets: list[tuple[int, bytes]] = field(default_factory=list)
     pages: int = 0
     ended: bool = False
@@ -154,18 +158,21 @@ def demultiplex(media: bytes) -> dict[int, Stream]:
                 s._partial.clear()
         if (granule == -1) != (not done):
             raise OggError(f"stream {serial}: page {sequence} has no place in time")
-        # The granule position is that of the page's last packet; the other stream's packets lie between.
-        end = granule
-        ends = []
-        for k in range(len(done) - 1, -1, -1):
+        # The granule position is that of the page's last packet; the others end where the next one starts.
+        ends, end = [], granule
+        for data in reversed(done):
             ends.append(end)
-            end -= len(done[k]) + PACKET
+            end -= len(data)
         for data, e in zip(done, reversed(ends), strict=True):
             if not s.rate:
+                if len(data) != _CODEC.size:
+                    raise OggError(f"stream {serial}: no header packet")
                 name, _, _, kind, s.rate, bits, channels, _, _ = _CODEC.unpack(data)
-                if (name, kind, bits, channels) != (CODEC, U8, 8, 1):
+                if (name, kind, bits, channels) != (CODEC, U8, 8, 1) or not s.rate:
                     raise OggError(f"stream {serial}: not 8-bit PCM")
             else:
+                if e - len(data) != (s.packets[-1][0] if s.packets else 0):
+                    raise OggError(f"stream {serial}: a gap before sample {e - len(data)}")
                 s.packets.append((e, data))
         s.ended = bool(flags & LAST)
     if any(s._open or not s.ended for s in out.values()):
@@ -175,14 +182,17 @@ def demultiplex(media: bytes) -> dict[int, Stream]:
 
 def read(media: bytes) -> tuple[bytes, dict]:
     """The payload, and what its container says: streams, pages, packets, seconds."""
-    streams = demultiplex(media)
-    timed = sorted((end / s.rate, end, data) for s in streams.values() for end, data in s.packets)
-    upto = 0
-    for _, end, data in timed:
-        upto += len(data)
-        if end != upto:
-            raise OggError(f"a gap before sample {end}")
-    return b"".join(d for *_, d in timed), {"streams": len(streams), "pages": sum(s.pages for s in streams.values()), "packets": len(timed), "seconds": timed[-1][0] if timed else 0.0}
+    streams = list(demultiplex(media).values())
+    if len({s.rate for s in streams}) > 1:
+        raise OggError("streams of several rates")
+    samples = [b"".join(d for _, d in s.packets) for s in streams]
+    if not streams or max(map(len, samples)) - min(map(len, samples)) > 1 or sorted(map(len, samples), reverse=True) != [len(x) for x in samples]:
+        raise OggError("streams of several lengths")
+    # Sample k of each stream has the same time; the streams' order is that of their first pages.
+    out = bytearray(sum(map(len, samples)))
+    for k, data in enumerate(samples):
+        out[k :: len(samples)] = data
+    return bytes(out), {"streams": len(streams), "pages": sum(s.pages for s in streams), "packets": sum(len(s.packets) for s in streams), "seconds": max(len(x) for x in samples) / streams[0].rate}
 
 
 def features(payload: bytes, info: dict) -> str:
@@ -194,33 +204,42 @@ def features(payload: bytes, info: dict) -> str:
     return f"ms={ms};streams={info['streams']};pages={info['pages']};packets={info['packets']};peak={int(np.abs(x).max())};mean={total / len(x):.4f};rms={(squares / len(x)) ** 0.5:.4f};crossings={crossings}"
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text")
-        for at in range(0, max(1, batch.num_rows), 256):
-            data = [t.encode() for t in texts.slice(at, 256).to_pylist()]
-            cols = [batch.column("doc_id").slice(at, 256), pa.array(map(len, data), pa.int64()), pa.array([write(pad(d)) for d in data], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "media"])
+MEDIA = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())]
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for media in batch.column("media").to_pylist():
-            payload, info = read(media)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, info)))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        cols = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+def _encode(texts: list[str]) -> pa.Array:
+    data = [t.encode() for t in texts]
+    cols = [pa.array(map(len, data), pa.int64()), pa.array([write(pad(d)) for d in data], pa.binary())]
+    return pa.StructArray.from_arrays(cols, fields=[pa.field("n_bytes", pa.int64()), pa.field("media", pa.binary())])
+
+
+def _described(media: bytes | None) -> tuple:
+    if media is None:
+        return (*[None] * (len(MEDIA) - 1), "null")
+    try:
+        payload, info = read(media)
+    except OggError as e:
+        return (*[None] * 3, len(media), hashlib.sha256(media).hexdigest(), None, str(e))
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, info), None
+
+
+def _decode(media: pa.Array) -> pa.Array:
+    cols = list(zip(*[_described(m.as_py()) for m in media], strict=True)) or [()] * len(MEDIA)
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, MEDIA, strict=True)], fields=[pa.field(n, k) for n, k in MEDIA])
+
+
+_decode.__annotations__ = {"media": pa.Array, "return": pa.Array}
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_bytes, media (an Ogg file of the text's bytes)."""
-    ship(docs.sparkSession)
-    return id_and_text(docs, id_col, text_col).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    made = per_text(docs.sparkSession, _encode, "n_bytes bigint, media binary", F.col("text")).alias("made")
+    return id_and_text(docs, id_col, text_col).select("doc_id", made).select("doc_id", "made.*")
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """Per row of doc_id, n_bytes, media: what the stored bytes hold, and their features."""
+    """Per row of doc_id, n_bytes, media: what the stored bytes hold, and their features; error says what is wrong with them, if anything."""
     ship(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kinds = {pa.int64(): "bigint", pa.string(): "string"}
+    made = F.arrow_udf(_decode, ", ".join(f"{n} {kinds[k]}" for n, k in MEDIA))(F.col("media")).alias("made")
+    return media.select("doc_id", "n_bytes", made).select("doc_id", "n_bytes", "made.*")

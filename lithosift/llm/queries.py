@@ -21,7 +21,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.describe_media(ogg.to_media(documents(spark, sf_dir)))
+    return ogg.describe_media(ogg.to_media(documents(spark, sf_dir))).drop("error")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
