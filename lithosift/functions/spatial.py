@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .geometry import Geometry
 
 #: Edges of a slab, about; and how many times an edge may be listed on average.
-PER_SLAB, REPEATS = 8, 4
+PER_SLAB, REPEATS = 8, 12
 EDGE = "struct<ax:double,ay:double,bx:double,by:double,area:int>"
 
 
