@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 #: The bytes that count as white space in texts: space and 9 to 13.
 WHITE = b" \t\n\x0b\x0c\r"
-#: Arrow batches hold up to so many rows and bytes, unless the session sets limits of its own.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(1 << 22))}
+#: Arrow batches hold up to so many rows and bytes (Spark's default, this package's), unless the session sets limits of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(1 << 21))}
 #: Bytes of text that a worker takes in hand at once; a longer text is taken alone.
-PART = 1 << 21
+PART = 1 << 20
 
 _shipped: set[str] = set()
 
@@ -44,6 +45,31 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; the C library would keep some 60 MB of it in each worker, which live on."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def thrifty(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work on batches; freed memory is given back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def parts(texts: pa.Array, limit: int = PART) -> Iterator[list[str]]:
     """The texts of an Arrow array in order, in lists of about limit bytes; nulls are empty."""
     out, held = [], 0
@@ -63,7 +89,10 @@ def per_text(spark: SparkSession, work: Callable[[list[str]], pa.Array], schema:
 
     def run(texts: pa.Array) -> pa.Array:
         done = [work(part) for part in parts(texts)]
-        return pa.concat_arrays(done) if done else work([])
+        out = pa.concat_arrays(done) if done else work([])
+        del done
+        give_back()
+        return out
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, schema)(text)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, few, id_and_text, per_text, same
+from .common import cut, drop, few, give_back, id_and_text, per_text, same, thrifty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -265,6 +265,8 @@ def _within(threshold: float, table: pa.Table) -> pa.Table:
                 top[x] = y
                 links.append((n, m))
     u, v = zip(*links, strict=True) if links else ((), ())
+    del bags, sig, rows
+    give_back()
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
@@ -312,7 +314,7 @@ def labels(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     # The bag of the one end, then that of the other.
     pairs = pairs.join(bags.select(F.col("node").alias("u"), F.col("bag").alias("bag_u")), "u")
     pairs = pairs.join(bags.select(F.col("node").alias("v"), F.col("bag").alias("bag_v")), "v")
-    first = cut(pairs.mapInArrow(lambda b: _compare(threshold, b), "u long, v long"))
+    first = cut(pairs.mapInArrow(thrifty(lambda b: _compare(threshold, b)), "u long, v long"))
     label = components(first)
     drop(first)
     # Nodes of buckets that are not connected yet.
@@ -349,7 +351,7 @@ def rare_blocks(unsure: DataFrame, bags: DataFrame, threshold: float) -> DataFra
     frequent ones that make up a part t of its mass, but for one, are taken away. Only nodes that share such a rare
     shingle are compared: a passage that many documents have brings none of them together.
     """
-    rows = bags.join(unsure, "node", "left_semi").mapInArrow(_spread, "node long, shingle long, weight long, mass long")
+    rows = bags.join(unsure, "node", "left_semi").mapInArrow(thrifty(_spread), "node long, shingle long, weight long, mass long")
     common = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
     frequent = Window.partitionBy("node").orderBy(F.desc("n"), "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(few(cut(common)), "shingle").withColumn("upto", F.sum("weight").over(frequent))
