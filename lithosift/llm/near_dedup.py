@@ -74,7 +74,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, remembered up to a number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 16:
+        if len(self) >= 1 << 17:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         return h
@@ -320,13 +320,13 @@ def labels(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     # Nodes of buckets that are not connected yet.
     rest = held.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z").select("key")
-    unsure = cut(rest.join(open_, "key").select("node", "label").distinct())
+    unsure = cut(rest.join(open_, "key").select("node", "label", F.col("key").alias("bucket")))
     drop(held)
     if not unsure.isEmpty():
         second = cut(rare_links(unsure, bags, threshold))
         if not second.isEmpty():
             # Labels that the new links join get one label more.
-            known = unsure.select(F.col("node").alias("at"), F.col("label").alias("to"))
+            known = unsure.select(F.col("node").alias("at"), F.col("label").alias("to")).distinct()
             for end in ("u", "v"):
                 second = second.join(known, F.col(end) == F.col("at")).drop(end, "at").withColumnRenamed("to", end)
             joined = components(second).select(F.col("node").alias("label"), F.col("label").alias("whole"))
@@ -338,7 +338,7 @@ def labels(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
 
 
 def rare_links(unsure: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Links (u, v) among the nodes of unsure (node, label) that join all which are alike and have different labels."""
+    """Links (u, v) among the nodes of unsure (node, label, bucket) that join all which share a bucket, are alike and have different labels."""
     of = rare_blocks(unsure, bags, threshold).join(bags, "node")
     return of.groupBy("key", "lo", "hi").applyInArrow(lambda t: _within(threshold, t), "u long, v long")
 
@@ -348,7 +348,7 @@ def rare_blocks(unsure: DataFrame, bags: DataFrame, threshold: float) -> DataFra
 
     Two bags of a similarity of t or more share at least a part t of the larger one's mass. So if the shingles are ordered by the
     number of nodes that have them, the two have a shingle in common among those that are left of each when the most
-    frequent ones that make up a part t of its mass, but for one, are taken away. Only nodes that share such a rare
+    frequent ones that make up a part t of its mass, but for one, are taken away. Only nodes that share a bucket and such a rare
     shingle are compared: a passage that many documents have brings none of them together.
     """
     rows = bags.join(unsure, "node", "left_semi").mapInArrow(thrifty(_spread), "node long, shingle long, weight long, mass long")
@@ -356,8 +356,11 @@ def rare_blocks(unsure: DataFrame, bags: DataFrame, threshold: float) -> DataFra
     frequent = Window.partitionBy("node").orderBy(F.desc("n"), "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(few(cut(common)), "shingle").withColumn("upto", F.sum("weight").over(frequent))
     rare = cut(rows.filter(F.col("upto") >= F.ceil(F.col("mass") * threshold - 1e-9)).select(F.col("shingle").alias("key"), "node"))
-    # Groups with one label are settled; of groups with the same nodes one will do.
+    # A node is in a group if one of another label that it shares a bucket with is, too.
     of = rare.join(unsure, "node")
+    met = of.groupBy("bucket", "key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z")
+    of = cut(of.join(met, ["bucket", "key"], "left_semi").select("key", "node", "label").distinct())
+    # Groups with one label are settled; of groups with the same nodes one will do.
     groups = of.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("who"), F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z")
     groups = cut(groups.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n"))
     of = of.join(groups, "key").join(bags.select("node", F.octet_length("bag").cast("long").alias("bytes")), "node")
