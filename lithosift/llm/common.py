@@ -95,7 +95,8 @@ def per_text(spark: SparkSession, work: Callable[[list[str]], pa.Array], schema:
         return out
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, schema)(text)
+    # Else a filter on what it gives, such as a join's, would be moved before it and run it twice.
+    return F.arrow_udf(run, schema).asNondeterministic()(text)
 
 
 @lru_cache(1)

@@ -241,5 +241,5 @@ def describe_media(media: DataFrame) -> DataFrame:
     """Per row of doc_id, n_bytes, media: what the stored bytes hold, and their features; error says what is wrong with them, if anything."""
     ship(media.sparkSession)
     kinds = {pa.int64(): "bigint", pa.string(): "string"}
-    made = F.arrow_udf(_decode, ", ".join(f"{n} {kinds[k]}" for n, k in MEDIA))(F.col("media")).alias("made")
+    made = F.arrow_udf(_decode, ", ".join(f"{n} {kinds[k]}" for n, k in MEDIA)).asNondeterministic()(F.col("media")).alias("made")
     return media.select("doc_id", "n_bytes", made).select("doc_id", "n_bytes", "made.*")
