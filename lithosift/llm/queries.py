@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, lexical, line_dedup, mixing, near_dedup, ogg, packing, pii, token_counts, toxicity, url_filter
-from .common import documents
+from . import collocations, exact_dedup, lexical, line_dedup, mixing, near_dedup, ogg, packing, pii, token_counts, toxicity, url_filter, warc
+from .common import documents, folder
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +63,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = folder(spark)
+    warc.write(pages, path)
+    return warc.describe(warc.read(spark, path), pages.schema["page_id"].dataType.simpleString())
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_media_columns, op4_packing, op5_token_counts, op6_pii, op7_url_filter, op8_near_dedup, op9_mixing, op10_toxicity, op11_collocations, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_media_columns, op4_packing, op5_token_counts, op6_pii, op7_url_filter, op8_near_dedup, op9_mixing, op10_toxicity, op11_collocations, op12_warc, op13_lexical_search)}
 
 
 #: Texts are equal without their white space; the longest stays, then the smallest id.
@@ -81,4 +88,4 @@ FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_SQL, "op7_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op11_collocations": collocations.SQL, "op13_lexical_search": lexical.SQL}
+    return {"op2_exact_dedup": EXACT_SQL, "op7_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op11_collocations": collocations.SQL, "op12_warc": warc.SQL, "op13_lexical_search": lexical.SQL}
