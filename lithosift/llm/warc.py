@@ -109,7 +109,7 @@ def head(piece: bytes) -> tuple[dict[str, str], int] | None:
     name = None
     for line in piece[3:end].decode("utf-8", "replace").split("\r\n"):
         if line[:1] in " \t" and name:  # a folded line
-            fields[name] += " " + line.strip()
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
             continue
         name, colon, value = line.partition(":")
         name = name.strip().lower()
