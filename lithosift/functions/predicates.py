@@ -11,13 +11,15 @@ import json
 import operator
 from collections.abc import Callable
 from dataclasses import dataclass
-from decimal import Decimal, InvalidOperation
+from decimal import ROUND_CEILING, ROUND_FLOOR, ROUND_HALF_UP, Context, Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geometry import Geometry, box
+from .numbers import key_of, number_key
 from .paths import Binding, is_kind, steps
 from .spatial import intersects_constant, overlaps_window
 
@@ -95,11 +97,25 @@ class Prop:
     def isin(self, *values) -> Predicate:
         if len({_kind(v) for v in values}) != 1:
             raise TypeError("a list needs values of one type")
-        return Predicate(lambda b, w: _as(b, self, _kind(values[0])).isin(*[_literal(v) for v in values]), self._spec("isin", *values))
+
+        def build(b: Binding, _) -> Column:
+            kind = _kind(values[0])
+            if kind == "number" and b.mode != "plain":
+                return reduce(operator.or_, [_number(operator.eq, _as(b, self, kind), b.text(self.path), v) for v in values])
+            return _as(b, self, kind).isin(*[_literal(v) for v in values])
+
+        return Predicate(build, self._spec("isin", *values))
 
     def between(self, low, high) -> Predicate:
         """low to high, both included."""
-        return Predicate(lambda b, w: _as(b, self, _kind(low)).between(_literal(low), _literal(high)), self._spec("between", low, high))
+
+        def build(b: Binding, _) -> Column:
+            value = _as(b, self, _kind(low))
+            if _kind(low) == "number" and b.mode != "plain":
+                return _number(operator.ge, value, b.text(self.path), low) & _number(operator.le, value, b.text(self.path), high)
+            return value.between(_literal(low), _literal(high))
+
+        return Predicate(build, self._spec("between", low, high))
 
     def like(self, pattern: str) -> Predicate:
         return Predicate(lambda b, w: b.text(self.path).like(pattern), self._spec("like", pattern))
@@ -226,12 +242,53 @@ def _kind(value) -> str:
     raise TypeError(f"no property has a value like {value!r}")
 
 
+#: The decimal type of fast comparisons: places after the point, and what is too large.
+_PLACES, _LARGE = Decimal(1).scaleb(-18), Decimal(10) ** 20
+_EXACT = Context(prec=100)
+
+
+def _decimal(value) -> Decimal | None:
+    """The number as it is written; None if it isn't finite."""
+    d = Decimal(str(value))
+    return d if d.is_finite() else None
+
+
+def _round(d: Decimal, how: str) -> Decimal:
+    return d.quantize(_PLACES, how, _EXACT)
+
+
 def _fits(value) -> bool:
-    try:
-        d = Decimal(str(value))
-    except InvalidOperation:
-        return False
-    return d.is_finite() and abs(d) < Decimal(10) ** 20 and d == round(d, 18)
+    d = _decimal(value)
+    return d is not None and abs(d) < _LARGE and d == _round(d, ROUND_FLOOR)
+
+
+def _number(op: Callable, value: Column, text: Column, other) -> Column:
+    """op between a number, given in the decimal type (rounded, or null where it is too large) and as text, and a constant, whatever their digits.
+
+    Rounding keeps the order, so the keys of all digits are made only where both round to the same.
+    """
+    d = _decimal(other)
+    if d is None:
+        return op(text.try_cast("double"), F.lit(float(other)))
+    exact = op(number_key(text), F.lit(key_of(d)))
+    if abs(d) >= _LARGE - 1:
+        return exact
+    rounded = F.lit(str(_round(d, ROUND_HALF_UP))).cast("decimal(38,18)")
+    return F.when(value.isNull() | (value == rounded), exact).otherwise(op(value, rounded))
+
+
+def _stored(op: Callable, column: Column, other) -> Column:
+    """op between a column of the decimal type and a constant, as a comparison that Parquet's statistics know."""
+    d = _decimal(other)
+    if d is None or _fits(other):
+        return op(column, _literal(other))
+    if op in (operator.eq, operator.ne):
+        return F.lit(op is operator.ne)
+    less = op in (operator.lt, operator.le)
+    if abs(d) >= _LARGE:
+        return F.lit(less == (d > 0))
+    near = F.lit(str(_round(d, ROUND_FLOOR if less else ROUND_CEILING))).cast("decimal(38,18)")
+    return column <= near if less else column >= near
 
 
 def _literal(value) -> Column:
@@ -269,11 +326,10 @@ def _compare(p: Prop, op: Callable, other, spec: list) -> Predicate:
             test = op(_as(b, p, kind), right)
             return F.coalesce(test, F.lit(False)) if b.mode == "typed" else test
         if b.mode == "text":
-            return op(_as(b, p, kind), right)
+            return _number(op, _as(b, p, kind), b.text(p.path), other) if kind == "number" else op(_as(b, p, kind), right)
+
         def one(e: Column) -> Column:
-            test = op(_element(e, kind), right)
-            if kind == "number":  # numbers beyond the decimal type
-                test = F.coalesce(test, op(F.try_variant_get(e, "$", "double"), F.lit(float(other))))
+            test = _number(op, _element(e, kind), F.try_variant_get(e, "$", "string"), other) if kind == "number" else op(_element(e, kind), right)
             test = is_kind(e, kind) & test
             return test | is_kind(e, "null") if op is operator.ne else test  # null differs from everything
 
@@ -283,7 +339,7 @@ def _compare(p: Prop, op: Callable, other, spec: list) -> Predicate:
             return general
         # The column has all values of its kind but those that the odd column marks. The first part reaches the scan; where it is
         # null, the second is false, so both together are two-valued.
-        odd, test = F.col(odd_column(ready)), op(F.col(ready), right)
+        odd, test = F.col(odd_column(ready)), _stored(op, F.col(ready), other) if kind == "number" else op(F.col(ready), right)
         return (test | odd) & (F.col(ready).isNotNull() & test | general)
 
     return Predicate(build, spec)
@@ -300,7 +356,11 @@ def _two_properties(b: Binding, p: Prop, op: Callable, other: Prop) -> Column:
     if b.mode == "text":
         return op(b.text(p.path), b.text(other.path))
     left, right = b.value(p.path), b.value(other.path)
-    tests = [is_kind(left, k) & is_kind(right, k) & op(_element(left, k), _element(right, k)) for k in ("number", "string", "boolean")]
+    tests = [is_kind(left, k) & is_kind(right, k) & op(_element(left, k), _element(right, k)) for k in ("string", "boolean")]
+    x, y = _element(left, "number"), _element(right, "number")
+    keys = [number_key(F.try_variant_get(v, "$", "string")) for v in (left, right)]
+    numbers = F.when(x.isNull() | y.isNull() | (x == y), op(*keys)).otherwise(op(x, y))
+    tests.append(is_kind(left, "number") & is_kind(right, "number") & numbers)
     return F.coalesce(tests[0] | tests[1] | tests[2], F.lit(False))
 
 
@@ -320,7 +380,8 @@ def _contains(left: Column, value) -> Column:
         test = F.is_variant_null(left)
     else:
         kind = _kind(value)
-        test = is_kind(left, kind) & (_element(left, kind) == _literal(value))
+        same = _number(operator.eq, _element(left, kind), F.try_variant_get(left, "$", "string"), value) if kind == "number" else _element(left, kind) == _literal(value)
+        test = is_kind(left, kind) & same
     return F.coalesce(test, F.lit(False))
 
 

@@ -26,6 +26,25 @@ def overlaps_window(xmin: float, ymin: float, xmax: float, ymax: float) -> Colum
     return (F.col("xmin") <= float(xmax)) & (F.col("xmax") >= float(xmin)) & (F.col("ymin") <= float(ymax)) & (F.col("ymax") >= float(ymin))
 
 
+#: Bits of a curve's cell on each axis, and the steps that put a zero before each of them.
+_AXIS = 31
+_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def curve(x: Column, y: Column, extent: tuple[float, float, float, float]) -> Column:
+    """The place of a point on a space-filling curve (cells in Z-order) over the extent; points outside count as at its border."""
+
+    def spread(v: Column, low: float, high: float) -> Column:
+        scale = (2**_AXIS - 1) / (high - low) if high > low else 0.0
+        cell = F.least(F.lit(2**_AXIS - 1), F.greatest(F.lit(0), F.floor((v - F.lit(low)) * F.lit(scale)).cast("bigint")))
+        for by, mask in _SPREAD:
+            cell = cell.bitwiseOR(F.shiftleft(cell, by)).bitwiseAND(F.lit(mask))
+        return cell
+
+    xmin, ymin, xmax, ymax = extent
+    return spread(x, xmin, xmax).bitwiseOR(F.shiftleft(spread(y, ymin, ymax), 1))
+
+
 def segments(rings: Column) -> Column:
     """All segments (a, b) of an array of rings; a lone vertex is a segment of length 0."""
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))

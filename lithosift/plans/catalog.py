@@ -1,8 +1,8 @@
 """Collections, their saved views and layouts in Spark's catalog.
 
 A collection is a table; what is declared for it, its views and its layouts are table properties, so they outlive the session. A table
-that create_collection() made is the current state of a versioned Collection beside it: a write commits a state there and
-then moves the table's location.
+that create_collection() made becomes, with the first write, a view of the current state of a versioned Collection: a write commits a
+state there and then changes the view's text, so nothing is written but what the change brings.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import GEOMETRY
+from ..functions.numbers import number_key
 from ..functions.paths import is_kind, steps
 from ..functions.predicates import Predicate, from_spec, odd_column
+from ..functions.spatial import curve
 from ..operators.frame import FeatureFrame
 from ..operators.projection import Each, Path
 from ..operators.writes import Collection
@@ -31,11 +33,15 @@ class AlreadyRegistered(ValueError):
 def _set(spark: SparkSession, table: str, values: dict) -> None:
     text = lambda v: json.dumps(v).replace("\\", "\\\\").replace("'", "\\'")
     pairs = ", ".join(f"'{PREFIX}{k}' = '{text(v)}'" for k, v in values.items())
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({pairs})")
+    spark.sql(f"ALTER {_kind(spark, table)} {table} SET TBLPROPERTIES ({pairs})")
+
+
+def _kind(spark: SparkSession, table: str) -> str:
+    return "VIEW" if spark.catalog.getTable(table).tableType == "VIEW" else "TABLE"
 
 
 def _unset(spark: SparkSession, table: str, key: str) -> None:
-    spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{PREFIX}{key}')")
+    spark.sql(f"ALTER {_kind(spark, table)} {table} UNSET TBLPROPERTIES IF EXISTS ('{PREFIX}{key}')")
 
 
 def _properties(spark: SparkSession, table: str) -> dict:
@@ -43,13 +49,13 @@ def _properties(spark: SparkSession, table: str) -> dict:
     return {r.key.removeprefix(PREFIX): json.loads(r.value) for r in rows if r.key.startswith(PREFIX)}
 
 
-def create_collection(spark: SparkSession, table: str, extent: tuple[float, float, float, float], id_type: str = "text", srid: int | None = None, mode: str = "typed", path: str | None = None) -> None:
-    """An empty table of features with its declared extent. Its versions are in path, by default beside the table's own folder."""
+def create_collection(spark: SparkSession, table: str, extent: tuple[float, float, float, float], id_type: str = "text", srid: int | None = None, mode: str = "typed", path: str | None = None, buckets: int | None = None) -> None:
+    """An empty table of features with its declared extent. Its versions are in path, by default beside the table's own folder, in that many buckets by id."""
     if id_type not in ID_TYPES:
         raise ValueError(f"id type is one of {ID_TYPES}")
     spark.sql(f"CREATE TABLE {table} ({FEATURE_SCHEMA}) USING parquet" + (f" LOCATION '{path}/empty'" if path else ""))
     own = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first().data_type
-    _set(spark, table, {"extent": list(extent), "id_type": id_type, "srid": srid, "mode": mode, "id": "id", "geometry": "geometry", "versions": path or f"{own.rstrip('/')}-versions"})
+    _set(spark, table, {"extent": list(extent), "id_type": id_type, "srid": srid, "mode": mode, "id": "id", "geometry": "geometry", "versions": path or f"{own.rstrip('/')}-versions", "buckets": buckets})
 
 
 def register(spark: SparkSession, table: str, key: str, geometry: str, extent: tuple | None = None, srid: int | None = None) -> None:
@@ -65,7 +71,7 @@ def register(spark: SparkSession, table: str, key: str, geometry: str, extent: t
 
 def metadata(spark: SparkSession, table: str, count: bool = True) -> dict:
     """What is declared for a collection, and its row count; empty if the table isn't one."""
-    out = {k: v for k, v in _properties(spark, table).items() if k != "versions" and "." not in k}
+    out = {k: v for k, v in _properties(spark, table).items() if k not in ("versions", "buckets") and "." not in k}
     if out and count:
         out["count"] = spark.table(table).count()
     return out
@@ -79,11 +85,34 @@ def collection(spark: SparkSession, table: str, layout: str | None = None) -> Fe
     options = {"mode": p["mode"], "id": p["id"], "geometry": p["geometry"], "srid": p["srid"]}
     if layout is not None:
         known = p[f"layout.{layout}"]
-        if known["state"] == _state(spark, table):
-            return FeatureFrame(spark.read.parquet(known["path"]), ready=tuple(map(tuple, known["ready"])), **options)
+        laid = _laid(spark, table, p, known)
+        if laid is not None:
+            return FeatureFrame(laid, ready=tuple(map(tuple, known["ready"])), **options)
     return FeatureFrame(spark.table(table), **options)
 
 
+def _versions(spark: SparkSession, table: str, p: dict) -> Collection | None:
+    """The states of a table that was written to."""
+    return Collection(spark, p["versions"], p["buckets"]) if "versions" in p and _kind(spark, table) == "VIEW" else None
+
+
+def _laid(spark: SparkSession, table: str, p: dict, known: dict) -> DataFrame | None:
+    """The table's rows, as far as possible those of the layout. Rows that were written later are marked as odd, so they are compared as without it.
+
+    None if what the layout was made from is gone (put together with other parts, or a table's files changed).
+    """
+    rows = spark.read.parquet(known["path"])
+    states = _versions(spark, table, p)
+    if states is None:
+        return rows if known["state"] == _state(spark, table) else None
+    if known["parts"] is None:
+        return None
+    more = {}
+    for _, c, _ in known["ready"]:
+        more |= {c: F.lit(None).cast(rows.schema[c].dataType), odd_column(c): F.lit(True)}
+    return states.since(rows, known["parts"], states.state(), more)
+
+
 # Writes.
 
 
@@ -95,18 +124,19 @@ class Table:
         if "versions" not in p:
             raise ValueError(f"{table} was not made by create_collection()")
         self.spark, self.table, self.mode = spark, table, p["mode"]
-        self.states = Collection(spark, p["versions"])
+        self.states = Collection(spark, p["versions"], p["buckets"])
         if self.states.version() is None:
             self.states.replace(spark.table(table))
+        if _kind(spark, table) == "TABLE":
+            spark.sql(f"DROP TABLE {table}")
+            spark.sql(f"CREATE VIEW {table} AS {self.states.sql()}")
+            _set(spark, table, p)
 
     def _moved(self, n: int) -> int:
-        """The table's location follows the state, which is compacted first, as a table has one folder."""
-        state = self.states.state()
-        if len(state["base"]) != 1 or state["deltas"]:
-            self.states.compact()
-            state = self.states.state()
-        self.spark.sql(f"ALTER TABLE {self.table} SET LOCATION '{self.states.path}/{state['base'][0]}'")
-        self.spark.catalog.refreshTable(self.table)
+        """The view follows the state."""
+        version = None
+        while version != (version := self.states.version()):
+            self.spark.sql(f"ALTER VIEW {self.table} AS {self.states.sql(self.states.state(version))}")
         return n
 
     def insert(self, new: DataFrame) -> int:
@@ -122,6 +152,14 @@ class Table:
         return self._moved(self.states.update(predicate, feature, mode=self.mode))
 
 
+def drop_collection(spark: SparkSession, table: str) -> None:
+    """Drops the table; of one that create_collection() made all versions too."""
+    p = _properties(spark, table)
+    spark.sql(f"DROP {_kind(spark, table)} {table}")
+    if "versions" in p:
+        Collection(spark, p["versions"]).drop()
+
+
 # Views.
 
 
@@ -188,13 +226,14 @@ class Views:
 # Layouts.
 
 
-def optimize_layout(frame: FeatureFrame, paths: list[tuple[str, str]], path: str, files: int | None = None) -> FeatureFrame:
+def optimize_layout(frame: FeatureFrame, paths: list[tuple[str, str]], path: str, files: int | None = None, by_space: bool = False, rows: int | None = None) -> FeatureFrame:
     """Writes the frame with typed columns of the given (property path, kind), sorted by them, and reads it back.
 
     kind is number, string or boolean. Comparisons of these paths then use the columns, so they are pushed down
     and Parquet's statistics and Bloom filters skip row groups. Beside each column a boolean one marks the documents whose value it can't
-    stand for (arrays, nulls, numbers beyond the decimal type); these are compared as without a layout, so no answer
-    changes. Without a number of files Spark deals them out by their size.
+    stand for (arrays, nulls, numbers beyond the decimal type or with more digits); these are compared as without a layout, so no answer
+    changes. by_space sorts along a space-filling curve over the envelopes instead, so that near features share row groups and
+    windows skip the others. Without a number of files Spark deals them out by their size; rows bounds those of a file.
     """
     types = {"number": "decimal(38,18)", "string": "string", "boolean": "boolean"}
     # The path's letters may meet with another path's, so columns have a number.
@@ -204,16 +243,26 @@ def optimize_layout(frame: FeatureFrame, paths: list[tuple[str, str]], path: str
         value = frame.binding.value(p)
         typed = F.when(is_kind(value, kind), F.try_variant_get(value, "$", types[kind]))
         odd = is_kind(value, "array") | is_kind(value, "null") | (is_kind(value, kind) & typed.isNull())
+        if kind == "number":  # rounded
+            rounded = typed.isNotNull() & (number_key(F.try_variant_get(value, "$", "string")) != number_key(typed.cast("string")))
+            typed, odd = F.when(~rounded, typed), odd | F.coalesce(rounded, F.lit(False))
         return {names[p]: typed, odd_column(names[p]): odd}
 
     df = frame.df
     for p, k in paths:
         df = df.withColumns(columns(p, k))
     keys = [names[p] for p, _ in paths]
-    dealt = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
-    out = dealt.sortWithinPartitions(*keys).write
+    order = keys
+    if by_space:
+        extent = tuple(v or 0.0 for v in frame.extent().first())  # nulls without geometries
+        df = df.withColumn("__curve", curve((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, extent))
+        order = ["__curve", *keys]
+    dealt = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    out = dealt.sortWithinPartitions(*order).drop("__curve").write
     for k in keys:
         out = out.option(f"parquet.bloom.filter.enabled#{k}", "true")
+    if rows:
+        out = out.option("maxRecordsPerFile", rows)
     out.parquet(path)
     stored = frame.df.sparkSession.read.parquet(path)
     return frame._with(stored, ready=tuple((p, names[p], k) for p, k in paths))
@@ -225,10 +274,17 @@ def _state(spark: SparkSession, table: str) -> str:
     return f"{len(files)}:{files[0] if files else ''}:{files[-1] if files else ''}"
 
 
-def put_layout(spark: SparkSession, table: str, name: str, paths: list[tuple[str, str]], path: str, files: int | None = None) -> FeatureFrame:
-    """Lays the collection out under a name; collection(spark, table, name) reads it as long as the table stays as it is."""
-    laid = optimize_layout(collection(spark, table), paths, path, files)
-    _set(spark, table, {f"layout.{name}": {"path": path, "ready": [list(r) for r in laid.ready], "state": _state(spark, table)}})
+def put_layout(spark: SparkSession, table: str, name: str, paths: list[tuple[str, str]], path: str, files: int | None = None, by_space: bool = False) -> FeatureFrame:
+    """Lays the collection out under a name. collection(spark, table, name) then reads the layout, and what was written since beside it."""
+    p = _properties(spark, table)
+    frame, states = collection(spark, table), _versions(spark, table, p)
+    parts = None
+    if states:
+        now = states.state()
+        parts = [*now["base"], *now["deltas"]]
+        frame = frame._with(spark.sql(states.sql(now)))
+    laid = optimize_layout(frame, paths, path, files, by_space)
+    _set(spark, table, {f"layout.{name}": {"path": path, "ready": [list(r) for r in laid.ready], "parts": parts, "state": None if states else _state(spark, table)}})
     return laid
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,20 @@ def f04_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.df.select("id", p.column(f.binding).alias("typed"), text.alias("text")).filter(F.col("id").cast("long") % 5 != 4)
 
 
+@query("f21_exact_numbers", f"""SELECT {ID}, v = 7.25::DECIMAL(38,26) AS same, v > 7.25::DECIMAL(38,26) AS more, v BETWEEN '7.25000000000000000000000001'::DECIMAL(38,26) AND '7.25000000000000000000000002'::DECIMAL(38,26) AS inside
+FROM (SELECT *, CAST(CASE WHEN event_id % 3 = 0 THEN CAST(value AS VARCHAR) ELSE '7.2500000000000000000000000' || CAST(event_id % 3 AS VARCHAR) END AS DECIMAL(38,26)) AS v FROM events)
+WHERE v >= '7.25000000000000000000000001'::DECIMAL(38,26) OR event_id % 7 = 0""")
+def f21_exact_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the numbers differ in their 26th place only."""
+    f = tables.events(spark, sf_dir)
+    number = F.when(F.col("id").cast("long") % 3 == 0, f.get(VALUE)).otherwise(F.concat(F.lit("7.2500000000000000000000000"), (F.col("id").cast("long") % 3).cast("string")))
+    f = FeatureFrame(f.df.withColumn("doc", F.parse_json(F.concat(F.lit('{"properties":{"v":'), number, F.lit("}}")))))
+    v, low = prop("properties.v"), Decimal("7.25000000000000000000000001")
+    tests = {"same": v.eq(Decimal("7.25")), "more": v.gt(7.25), "inside": v.between(low, Decimal("7.25000000000000000000000002"))}
+    kept = v.ge(low).column(f.binding) | (F.col("id").cast("long") % 7 == 0)
+    return f.df.filter(kept).select("id", *[p.column(f.binding).alias(n) for n, p in tests.items()])
+
+
 @query("f13_null_text", f"SELECT {ID} FROM events WHERE event_id % 5 IN (0, 1)")
 def f13_null_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.events(spark, sf_dir, mode="text").filter(prop(OPT).is_null()).df.select("id")
@@ -292,13 +307,22 @@ def _dropped(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     return df
 
 
+def _unlisted(c: Collection, df: DataFrame) -> DataFrame:
+    """The same for a collection's parts."""
+    c.unlist()
+    return df
+
+
 @query("c01_create", "SELECT 'typed' AS mode, 'decimal' AS id_type, count(*) AS n, CAST(min(user_id) AS DOUBLE) AS xmin FROM events")
 def c01_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"lithosift_{uuid.uuid4().hex}"
     catalog.create_collection(spark, name, (0, 0, 1000, 1000), id_type="decimal", path=work(spark))
-    catalog.Table(spark, name).insert(tables.events(spark, sf_dir).df)
+    table = catalog.Table(spark, name)
+    table.insert(tables.events(spark, sf_dir).df)
     m = catalog.metadata(spark, name, count=False)
-    return _dropped(spark, name, catalog.collection(spark, name).df).agg(F.lit(m["mode"]).alias("mode"), F.lit(m["id_type"]).alias("id_type"), F.count("*").alias("n"), F.min("xmin").alias("xmin"))
+    df = _unlisted(table.states, catalog.collection(spark, name).df)
+    spark.sql(f"DROP VIEW {name}")
+    return df.agg(F.lit(m["mode"]).alias("mode"), F.lit(m["id_type"]).alias("id_type"), F.count("*").alias("n"), F.min("xmin").alias("xmin"))
 
 
 @query("c02_register", "SELECT 'decimal' AS id_type, p_partkey, p_name FROM part WHERE p_size > 40")
@@ -329,6 +353,31 @@ def c05_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.filter(prop(TYPE).eq("click") & prop(VALUE).lt(12)).df.select("id")
 
 
+@query("c06_space_layout", f"SELECT {ID} FROM events WHERE user_id BETWEEN 40 AND 60 AND value BETWEEN 20 AND 45 AND {IN_TRIANGLE}")
+def c06_space_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted along a curve over the envelopes; the window's statistics skip row groups, the triangle is tested exactly."""
+    f = catalog.optimize_layout(tables.events(spark, sf_dir), [], work(spark), by_space=True)
+    return f.window((40, 20, 60, 45)).intersecting(TRIANGLE).df.select("id")
+
+
+@query("c07_layout_and_writes", f"SELECT {ID}, event_id % 4 = 1 AS changed FROM events WHERE (event_type = 'click' OR event_id % 4 = 1) AND value < 50")
+def c07_layout_and_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout of three quarters of the events; the last quarter is inserted later, then a quarter becomes clicks."""
+    name, f = f"lithosift_{uuid.uuid4().hex}", tables.events(spark, sf_dir)
+    rest = F.col("id").cast("long") % 4
+    catalog.create_collection(spark, name, (0, 0, 1000, 1000), id_type="decimal", path=work(spark))
+    table = catalog.Table(spark, name)
+    table.insert(f.df.filter(rest != 0))
+    catalog.put_layout(spark, name, "clicks", [(TYPE, "string"), (VALUE, "number")], work(spark))
+    table.insert(f.df.filter(rest == 0))
+    doc = F.parse_json(F.concat(F.lit('{"properties":{"event_type":"click","new":true,"value":'), f.get(VALUE), F.lit("}}")))
+    table.upsert(f.df.filter(rest == 1).withColumn("doc", doc))
+    seen = catalog.collection(spark, name, "clicks").filter(prop(TYPE).eq("click") & prop(VALUE).lt(50))
+    df = seen.df.select("id", F.coalesce(seen.get("properties.new", "boolean"), F.lit(False)).alias("changed"))
+    spark.sql(f"DROP VIEW {name}")
+    return _unlisted(table.states, df)
+
+
 # Projection.
 
 
@@ -405,7 +454,7 @@ def a03_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a04_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Collection(spark, work(spark))
     n = c.insert(tables.events(spark, sf_dir).filter(prop(TYPE).eq("click")).df)
-    return c.read().agg(F.count("*").alias("written")).filter(F.col("written") == n)
+    return _unlisted(c, c.read()).agg(F.count("*").alias("written")).filter(F.col("written") == n)
 
 
 # Order and pages.
@@ -449,7 +498,7 @@ def w01_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, f = Collection(spark, work(spark)), tables.events(spark, sf_dir)
     c.insert(f.filter(prop(TYPE).eq("click")).df)
     c.insert(f.filter(prop(TYPE).ne("click")).df)
-    return c.read().select("id", f.get(TYPE).alias("event_type"))
+    return _unlisted(c, c.read()).select("id", f.get(TYPE).alias("event_type"))
 
 
 @query("w02_upsert", f"SELECT {ID}, CASE WHEN event_id % 10 = 3 THEN 'new' WHEN event_id % 10 = 4 THEN 'last' ELSE event_type END AS event_type FROM events")
@@ -476,6 +525,24 @@ def w04_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.updated(f.df, prop(TYPE).eq("click"), feature).select("id", f.get(TYPE).alias("event_type"), "xmin")
 
 
+@query("w06_collection", f"""SELECT {ID}, CASE WHEN event_id % 6 IN (1, 2) THEN 'moved' ELSE event_type END AS event_type, CASE WHEN event_id % 6 = 2 THEN 1.0 ELSE CAST(user_id AS DOUBLE) END AS xmin FROM events
+WHERE NOT (event_id % 6 = 4 AND event_type = 'click')""")
+def w06_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One collection through all its changes: two inserts, two upserts, a delete and an update; merged by id when it is read."""
+    c, f = Collection(spark, work(spark)), tables.events(spark, sf_dir)
+    six = F.col("id").cast("long") % 6
+    doc = lambda t: F.parse_json(F.concat(F.lit('{"properties":{"event_type":"'), t, F.lit('","six":'), six.cast("string"), F.lit("}}")))
+    rows = f.df.withColumn("doc", doc(f.get(TYPE)))
+    c.insert(rows.filter(six < 3))
+    c.insert(rows.filter(six >= 3))
+    c.upsert(rows.filter(six < 2).withColumn("doc", doc(F.lit("moved"))))
+    c.upsert(rows.filter(six == 0))
+    c.delete(prop("properties.six").eq(4) & prop(TYPE).eq("click"))
+    line = spark.range(1).select(F.lit('{"id":1,"geometry":{"type":"Point","coordinates":[1,2]},"properties":{"event_type":"moved"}}').alias("value"))
+    c.update(prop("properties.six").eq(2), io.parse(line, id_type="decimal").features)
+    return _unlisted(c, c.read()).select("id", f.get(TYPE).alias("event_type"), "xmin")
+
+
 @query("w05_id", f"SELECT {ID} FROM events UNION ALL SELECT 'k' || CAST(event_id AS VARCHAR) FROM events")
 def w05_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids are numbers in the one load and strings in the other."""
@@ -513,7 +580,7 @@ def t01_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for load in (f.df, late):
         io.to_line(load).write.mode("append").text(f"{root}/in")
         ingest(spark, f"{root}/in", target, f"{root}/state", id_type="decimal", once=True).awaitTermination()
-    return target.read().select("id", f.get(TYPE).alias("event_type"))
+    return _unlisted(target, target.read()).select("id", f.get(TYPE).alias("event_type"))
 
 
 @query("flagship_page", f"SELECT id, event_type, value FROM (SELECT {ID}, event_type, value, user_id FROM events WHERE user_id BETWEEN 10 AND 60 AND value BETWEEN 5 AND 20 AND event_type = 'click' AND value > 6) ORDER BY CAST(user_id AS VARCHAR), id LIMIT 10 OFFSET 10")
