@@ -5,11 +5,12 @@ the piece's end. Every phrase is a prefix of just one window at each of its plac
 windows' counts, and ROLLUP over (lang, w1, ..., wMOST) gives all of them, the words' and each language's total too. No n-grams of other
 lengths are made.
 
-Most windows of a corpus occur once or twice. Before the windows are shuffled, each is cut (padded) where two neighbours are together too
-rare to be in a phrase: a phrase's count is at most that of any two neighbours in it. The neighbours' counts are kept by a hash's cell, so
-they are never too small, and the frequent cells go to the tasks as a Bloom filter, which lets none of them fall. Both mistakes only leave
-windows longer than they need be; the counts of phrases that are frequent enough are exact, as are those of all words. The filter
-has BITS bits for each frequent cell and MOST_BITS at most, so its size is bounded; beyond, it cuts less.
+Most windows of a corpus occur once or twice. Before the windows are shuffled, each is cut (padded) where two or three neighbouring words
+are together too rare to be in a phrase: a phrase's count is at most that of any words in it. The neighbours' counts are kept by a hash's cell,
+so they are never too small, and the frequent cells go to the tasks as Bloom filters, which let none of them fall: first that of pairs, then
+that of triples whose pairs are frequent. Both mistakes only leave windows longer than they need be; the counts of phrases that are frequent
+enough are exact, as are those of all words. A filter has BITS bits for each frequent cell and MOST_BITS at most, so its size is
+bounded; beyond, it cuts less.
 
 Defined results: null texts are empty; a null lang is und; empty texts and pieces without words have no phrases; repeated rows count each;
 an empty table gives an empty result; other columns aren't read. Frequency FEWEST, SHARE and LIMIT are parameters.
@@ -36,73 +37,72 @@ CELL_BITS, BITS, MOST_BITS = 40, 16, 1 << 29
 WORDS = [f"w{k}" for k in range(1, MOST + 1)]
 
 
+def _lower(text: Column) -> Column:
+    """A-Z become a-z. Texts of one byte a letter take the faster way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang and words, the words of each piece of the texts that has any."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    cells = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.explode(F.split(text, r"[.,;:!?\x0A-\x0D]+")).alias("piece"))
+    """lang and words, the words of each piece of the texts."""
+    cells = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[.,;:!?\x0A-\x0D]+")).alias("piece"))
     # A blank at an end gives an empty first or last word.
-    words = F.array_remove(F.split("piece", r"[\x20\x09]+"), "")
-    return cells.select("lang", words.alias("words")).filter(F.size("words") > 0)
+    words = F.array_remove(F.split(_lower(F.col("piece")), r"[\x20\x09]+"), "")
+    return cells.select("lang", words.alias("words"))
 
 
 def windows(cells: DataFrame) -> DataFrame:
     """lang, w1, ..., wMOST: a row per word, with the words that follow it in its piece or nulls."""
     lead = [F.get("words", F.col("at") + k).alias(w) for k, w in enumerate(WORDS)]
-    return cells.select("lang", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")).select("lang", *lead)
+    return cells.select("lang", "words", F.posexplode("words").alias("at", "w1")).select("lang", "w1", *lead[1:])
 
 
-def cell(lang: Column, a: Column, b: Column) -> Column:
-    """Where two neighbours are counted."""
-    return F.shiftrightunsigned(F.xxhash64(lang, a, b), 64 - CELL_BITS)
+def cell(*words: Column) -> Column:
+    """Where the neighbours of a language are counted."""
+    return F.shiftrightunsigned(F.xxhash64(*words), 64 - CELL_BITS)
 
 
 def _probes(at: Column, bits: int) -> list[Column]:
     return [F.xxhash64(at, F.lit(k)).bitwiseAND(F.lit(bits - 1)) for k in range(3)]
 
 
-def frequent_neighbours(seen: DataFrame, fewest: int) -> tuple[DataFrame, int] | None:
-    """A Bloom filter of the cells with so many occurrences, as one row with an array of 64-bit words, and its bits; None if there are none."""
-    cells = seen.filter("w2 IS NOT NULL").select(cell(F.col("lang"), F.col("w1"), F.col("w2")).alias("cell"))
+def frequent(cut_windows: DataFrame, words: int, fewest: int) -> tuple[DataFrame, int]:
+    """A Bloom filter of the cells of so many first words of a window that occur so often, as one row with an array of 64-bit words, and its bits."""
+    names = WORDS[:words]
+    cells = cut_windows.filter(F.col(names[-1]).isNotNull()).select(cell(F.col("lang"), *map(F.col, names)).alias("cell"))
     often = cut(cells.groupBy("cell").count().filter(F.col("count") >= fewest).select("cell"))
-    n = often.count()
-    if not n:
-        return None
-    bits = min(MOST_BITS, max(64, 1 << (BITS * n - 1).bit_length()))
+    bits = min(MOST_BITS, max(64, 1 << (BITS * often.count() - 1).bit_length()))
     at = often.select(F.explode(F.array(*_probes(F.col("cell"), bits))).alias("bit"))
-    words = at.select(F.expr("bit div 64").alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("word"))
-    words = words.groupBy("at").agg(F.bit_or("word").alias("word")).unionByName(seen.sparkSession.range(bits // 64).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("word")))
-    words = words.groupBy("at").agg(F.bit_or("word").alias("word"))
-    filter_ = cut(words.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("bits")))
+    ones = at.select(F.expr("bit div 64").alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("word"))
+    zeros = cut_windows.sparkSession.range(bits // 64).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("word"))
+    whole = ones.unionByName(zeros).groupBy("at").agg(F.bit_or("word").alias("word"))
+    filter_ = cut(whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias(f"bits{words}")))
     drop(often)
     return filter_, bits
 
 
-def shortened(seen: DataFrame, known: tuple[DataFrame, int] | None) -> DataFrame:
-    """The windows, cut before the first word that doesn't follow its neighbour often."""
-    if known is None:
-        return seen.select("lang", "w1", *[F.lit(None).cast("string").alias(w) for w in WORDS[1:]])
-    filter_, bits = known
-    joined = seen.join(F.broadcast(filter_))  # one row of bounded size
-
-    def holds(a: str, b: str) -> Column:
-        at = cell(F.col("lang"), F.col(a), F.col(b))
-        hit = F.col(b).isNotNull()
+def shortened(seen: DataFrame, words: int, filter_: DataFrame, bits: int) -> DataFrame:
+    """The windows, cut before the first word that doesn't make up frequent neighbours with the ones before it, by the filter of frequent()."""
+    test, out = F.lit(True), list(map(F.col, WORDS[: words - 1]))
+    for k in range(words - 1, MOST):
+        test = test & F.col(WORDS[k]).isNotNull()
+        at = cell(F.col("lang"), *map(F.col, WORDS[k + 1 - words : k + 1]))
         for p in _probes(at, bits):
-            hit = hit & (F.getbit(F.get("bits", F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
-        return hit
-
-    test, out = F.lit(True), [F.col("w1")]
-    for a, b in zip(WORDS, WORDS[1:], strict=False):
-        test = test & holds(a, b)
-        out.append(F.when(test, F.col(b)).alias(b))
-    return joined.select("lang", *out)
+            test = test & (F.getbit(F.get(f"bits{words}", F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+        out.append(F.when(test, F.col(WORDS[k])).alias(WORDS[k]))
+    return seen.join(F.broadcast(filter_)).select("lang", *out)  # one row of bounded size
 
 
 def phrase_counts(docs: DataFrame, fewest: int = FEWEST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, words (an array; empty for the language's total), f: all words and the phrases with that many occurrences, exactly."""
-    seen = windows(pieces(docs, text_col, lang_col))
-    known = frequent_neighbours(seen, fewest)
-    longest = shortened(seen, known).groupBy("lang", *WORDS).agg(F.count("*").alias("n"))
+    seen, used = windows(pieces(docs, text_col, lang_col)), []
+    for words in range(2, MOST):
+        filter_, bits = frequent(seen, words, fewest)
+        seen = shortened(seen, words, filter_, bits)
+        used.append(filter_)
+        if words == 2:  # written as columns, so that the texts are parted into words twice only
+            seen = cut(seen)
+            used.append(seen)
+    longest = seen.groupBy("lang", *WORDS).agg(F.count("*").alias("n"))
     sums = longest.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # Level 2^k - 1 sums over the last k columns; a prefix that ends with padding is no phrase.
     out = None
@@ -113,8 +113,7 @@ def phrase_counts(docs: DataFrame, fewest: int = FEWEST, text_col: str = "text",
         out = one if out is None else F.coalesce(out, one)
     counts = sums.select("lang", out.alias("words"), "f").filter("words IS NOT NULL")
     counts = cut(counts.filter((F.size("words") == 0) | (F.col("f") >= fewest)))
-    if known:
-        drop(known[0])
+    drop(*used)
     return counts
 
 
