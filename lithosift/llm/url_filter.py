@@ -8,9 +8,10 @@ positive in the universe. A key is followed through the levels to the first that
 listed if that level's number is odd. For all keys of the universe the answer is exact.
 
 Keys are dealt to shards by hash, about SHARD listed ones each, and every shard has levels of its own: arrays of 64-bit words, BITS
-bits a key, added up by Spark's bit_or. So the filters are a small table, a row for each shard, built and held by Spark whatever
-the length of the list; the driver reads counts only. A page meets its shard's row, never a key: in a broadcast of the table where that
-is below BROADCAST bytes, else by shard number. Both give the same answer.
+bits a key, added up by Spark's bit_or. Level 0 has so many bits a key that it lets pass by mistake about as many keys as are listed, so level 1
+isn't larger than the list where most keys of the corpus are unlisted. So the filters are a small table, a row for each shard, built and held by
+Spark whatever the length of the list; the driver reads counts only. A page meets its shard's row, never a key: in a broadcast of the
+table where its filters, as counted, are below BROADCAST bytes, else by shard number. Both give the same answer.
 
 Defined results: a null url, or one without ://, has empty host and path, fits no rule and isn't listed; null
 and empty keys in the list are ignored, as are keys that no page has; repeated rows are judged alike; an empty table gives an empty
@@ -19,15 +20,16 @@ result; other columns aren't read.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, few
 
-#: Bits a key (with HASHES probes about 2% false positives a level).
-BITS = 8
+#: Bits a key (with HASHES probes about 2% false positives a level), and of level 0 at most (2 in a million).
+BITS, MOST_BITS = 8, 64
 HASHES = 5
 #: Listed keys of a shard, about: filters of 64 kB.
 SHARD = 1 << 16
@@ -78,17 +80,23 @@ def passes(key: Column, level: int, words: Column) -> Column:
     return hit
 
 
-def level_words(keys: DataFrame, level: int) -> DataFrame:
-    """(shard, words): the Bloom filters of keys' columns shard and key."""
-    sizes = cut(keys.groupBy("shard").agg(F.ceil(F.count("*") * BITS / 64).alias("n")))
+def first_bits(listed: int, others: int) -> int:
+    """Bits a key with which level 0 lets pass as many of the other keys as are listed, about."""
+    return next((b for b in range(BITS, MOST_BITS) if others * (1 - math.exp(-HASHES / b)) ** HASHES <= listed), MOST_BITS)
+
+
+def level_words(keys: DataFrame, level: int, bits: int = BITS) -> tuple[DataFrame, int]:
+    """(shard, words), the Bloom filters of keys' columns shard and key, and their bytes."""
+    sizes = cut(keys.groupBy("shard").agg(F.ceil(F.count("*") * bits / 64).alias("n")))
     empty = sizes.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("word"), F.lit(0).cast("long").alias("bits"))
-    at = keys.join(F.broadcast(sizes), "shard")  # a row for each SHARD keys
+    size = 8 * (sizes.agg(F.sum("n")).first()[0] or 0)
+    at = keys.join(few(sizes), "shard")
     at = at.select("shard", F.explode(F.array(*probes(F.col("key"), level, F.col("n") * 64))).alias("at"))
     bits = at.select("shard", F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
     words = empty.unionByName(bits).groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
     out = cut(words.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words")))
     drop(sizes)
-    return out
+    return out, size
 
 
 class Cascade:
@@ -119,27 +127,28 @@ def cascade(universe: DataFrame, listed: DataFrame, per_shard: int = SHARD, most
     """From two frames with a column key."""
     on = listed.select("key").filter("key <> ''").distinct().withColumn("on", F.lit(True))
     here = cut(universe.select("key").filter("key <> ''").distinct().join(on, "key", "left").select("key", F.coalesce("on", F.lit(False)).alias("on")))
-    n = here.filter("on").count()
+    n, every = here.agg(F.count_if("on"), F.count("*")).first()
     shards = max(1, -(-n // per_shard))
-    wide = 2 * n * BITS // 8 > most  # all levels together have less than twice level 0's bits
+    total = 0
     here = here.withColumn("shard", shard(F.col("key"), shards))
     levels: list[DataFrame] = []
     inside, outside = here.filter("on"), here.filter("NOT on")
     while not inside.isEmpty():
-        words = level_words(inside, len(levels))
-        tried = outside.join(words if wide else F.broadcast(words), "shard")
+        words, size = level_words(inside, len(levels), BITS if levels else first_bits(n, every - n))
+        total += size
+        tried = outside.join(words if size > most else F.broadcast(words), "shard")
         wrong = cut(tried.filter(passes(F.col("key"), len(levels), F.col("words"))).select("key", "on", "shard"))
         levels.append(words)
         inside, outside = wrong, inside
     if not levels:
-        return Cascade(None, 0, shards, wide)
+        return Cascade(None, 0, shards, False)
     rows = [w.select("shard", F.struct(F.lit(k).alias("no"), "words").alias("level")) for k, w in enumerate(levels)]
-    every = rows[0]
+    union = rows[0]
     for r in rows[1:]:
-        every = every.unionByName(r)
-    filters = cut(every.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list("level")), lambda x: x["words"]).alias("levels")))
+        union = union.unionByName(r)
+    filters = cut(union.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list("level")), lambda x: x["words"]).alias("levels")))
     drop(*levels)
-    return Cascade(filters, len(levels), shards, wide)
+    return Cascade(filters, len(levels), shards, total > most)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", by: str = "host", per_shard: int = SHARD, most: int = BROADCAST) -> DataFrame:

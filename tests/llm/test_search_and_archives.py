@@ -252,3 +252,21 @@ def test_new_queries_equal_brute_force(spark, sf):
     assert {tuple(r) for r in llm.op11_collocations(spark, sf).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()} == brute_phrases(documents, collocations.FEWEST)
     assert Counter(tuple(r) for r in llm.op12_warc(spark, sf).collect()) == brute_pages(read("pages", "page_id", "url", "html"))
     assert Counter(tuple(r) for r in llm.op13_lexical_search(spark, sf).collect()) == brute_search(documents, read("benchmark", "item_id", "text"), 50)
+
+
+# 7. The filter's sizes.
+
+
+def test_short_lists_in_large_universes(spark):
+    """200 listed of 100,000: no level is much larger than the list, and what is broadcast is counted."""
+    from lithosift.llm import url_filter
+
+    universe = spark.range(100000).select(F.concat(F.lit("h/"), "id").alias("key"))
+    listed = spark.range(0, 100000, 500).select(F.concat(F.lit("h/"), "id").alias("key"))
+    assert url_filter.first_bits(200, 99800) == 15 and url_filter.first_bits(1, 0) == url_filter.BITS
+    for most, wide in ((url_filter.BROADCAST, False), (100, True)):
+        c = url_filter.cascade(universe, listed, most=most)
+        sizes = c.filters.select(F.transform("levels", lambda w: F.size(w) * 8).alias("n")).first().n
+        assert sizes[1] <= 2 * 200 and sum(sizes) < 2000 and c.wide is wide
+        got = c.listed(universe, F.col("key")).filter("listed").select("key")
+        assert got.count() == 200 and got.exceptAll(listed).isEmpty()
