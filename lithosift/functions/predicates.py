@@ -365,15 +365,18 @@ def _two_properties(b: Binding, p: Prop, op: Callable, other: Prop) -> Column:
 
 
 def _contains(left: Column, value) -> Column:
-    """Whether the variant contains the constant; never null."""
+    """Whether the variant contains the constant; never null.
+
+    Only objects have members and only arrays elements, so the kind itself is asked for where the constant has none.
+    """
     if isinstance(value, dict):
-        test = is_kind(left, "object")
+        test = F.lit(True) if value else is_kind(left, "object")
         for k, v in value.items():
             path = "$[" + json.dumps(k) + "]"
             inner = F.try_variant_get(left, path, "variant")
             test = test & inner.isNotNull() & _contains(inner, v)
     elif isinstance(value, list):
-        test = is_kind(left, "array")
+        test = F.lit(True) if value else is_kind(left, "array")
         for v in value:
             test = test & F.coalesce(F.exists(F.try_variant_get(left, "$", "array<variant>"), _containing(v)), F.lit(False))
     elif value is None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -52,8 +53,64 @@ def segments(rings: Column) -> Column:
     return F.flatten(F.transform(rings, of))
 
 
-def _cross(ax, ay, bx, by, px, py) -> Column:
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+#: The most that the rounded cross product may be wrong, as a share of its two products' sizes; and the factor that halves a double's digits.
+_ERROR, _HALF = (3 + 16 * 2.0**-53) * 2.0**-53, 2.0**27 + 1
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _rest_of_sum(a: Column, b: Column, s: Column) -> Column:
+    """What a rounded sum s of a and b lacks, exactly."""
+    return (a - (s - (s - a))) + (b - (s - a))
+
+
+def _rest_of_product(p: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """What a rounded product p lacks, exactly, from the factors' halves."""
+    return a[1] * b[1] - (((p - a[0] * b[0]) - a[1] * b[0]) - a[0] * b[1])
+
+
+def _halves(x: Column) -> Column:
+    return _let(x * _HALF, lambda c: F.struct((c - (c - x)).alias("high"), (x - (c - (c - x))).alias("low")))
+
+
+def _sign_of_sum(values: Column) -> Column:
+    """The sign of the exact sum of an array of doubles, kept as an expansion: doubles of growing size whose digits don't overlap."""
+
+    def add(expansion: Column, b: Column) -> Column:
+        start = F.struct(b.alias("q"), F.array().cast("array<double>").alias("out"))
+        step = lambda s, x: _let(s["q"] + x, lambda q: F.struct(q.alias("q"), F.concat(s["out"], F.array(_rest_of_sum(s["q"], x, q))).alias("out")))
+        return F.aggregate(expansion, start, step, lambda s: F.concat(s["out"], F.array(s["q"])))
+
+    expansion = F.aggregate(values, F.array().cast("array<double>"), add)
+    return F.aggregate(expansion, F.lit(0.0), lambda last, x: F.when(x != 0, F.signum(x)).otherwise(last))
+
+
+def _exact_side(ax, ay, bx, by, px, py) -> Column:
+    minus = lambda a, b: _let(a - b, lambda d: F.struct(d.alias("d"), _rest_of_sum(a, -b, d).alias("rest")))
+
+    def product(x: Column, y: Column) -> Column:
+        both = F.struct((x * y).alias("p"), _halves(x).alias("x"), _halves(y).alias("y"))
+        return _let(both, lambda s: F.array(s["p"], _rest_of_product(s["p"], (s["x"]["high"], s["x"]["low"]), (s["y"]["high"], s["y"]["low"]))))
+
+    def products(d: Column) -> Column:
+        pairs = [(d[k][i] * sign, d[j][n]) for k, j, sign in ((0, 1, 1.0), (2, 3, -1.0)) for i in ("d", "rest") for n in ("d", "rest")]
+        return F.flatten(F.transform(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in pairs]), lambda p: product(p["x"], p["y"])))
+
+    differences = F.array(minus(bx, ax), minus(py, ay), minus(by, ay), minus(px, ax))
+    return _sign_of_sum(_let(differences, products))
+
+
+def side(ax, ay, bx, by, px, py) -> Column:
+    """The side of the line a-b that p is on: 1 left, -1 right, 0 on it.
+
+    Exact: where rounding leaves the sign open, it is found from all digits. Products of coordinates must stay within 1e-290 and 1e290.
+    """
+    left, right = (bx - ax) * (py - ay), (by - ay) * (px - ax)
+    certain = (F.abs(left - right) > _ERROR * (F.abs(left) + F.abs(right))) | (left == 0) | (right == 0)
+    return F.when(certain, F.signum(left - right)).otherwise(_exact_side(ax, ay, bx, by, px, py))
 
 
 def _meet(s: Column, e: Column) -> Column:
@@ -61,15 +118,15 @@ def _meet(s: Column, e: Column) -> Column:
     ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
     cx, cy, dx, dy = e["ax"], e["ay"], e["bx"], e["by"]
     apart = (F.greatest(ax, bx) < F.least(cx, dx)) | (F.least(ax, bx) > F.greatest(cx, dx)) | (F.greatest(ay, by) < F.least(cy, dy)) | (F.least(ay, by) > F.greatest(cy, dy))
-    sides = F.signum(_cross(ax, ay, bx, by, cx, cy)) * F.signum(_cross(ax, ay, bx, by, dx, dy)) <= 0
-    back = F.signum(_cross(cx, cy, dx, dy, ax, ay)) * F.signum(_cross(cx, cy, dx, dy, bx, by)) <= 0
+    sides = side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) <= 0
+    back = side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) <= 0
     return ~apart & sides & back
 
 
 def _ray(ax, ay, bx, by, px, py) -> Column:
     """Whether the ray from p to the right crosses the edge a-b; no division."""
     up = by > ay
-    return ((ay > py) != (by > py)) & ((_cross(ax, ay, bx, by, px, py) > 0) == up)
+    return ((ay > py) != (by > py)) & ((side(ax, ay, bx, by, px, py) > 0) == up)
 
 
 @dataclass(frozen=True)

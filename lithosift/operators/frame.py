@@ -17,6 +17,7 @@ from ..functions.geometry import Geometry, GeometryError, box, envelope
 from ..functions.paths import Binding, value_at
 from ..functions.predicates import Predicate
 from ..functions.spatial import intersects_constant, overlaps_window
+from .paging import DEEP, after_offset, sorting
 from .projection import ALWAYS, project
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -37,7 +38,7 @@ class FeatureFrame:
     ready: tuple = ()
     bbox: tuple[float, float, float, float] | None = None
     view_items: tuple = ()
-    order: tuple[Column, ...] = field(default=(), compare=False)
+    order: tuple[tuple[Column, bool], ...] = field(default=(), compare=False)  # (what, whether descending)
     sliced: tuple[int | None, int | None] = (None, None)
 
     @property
@@ -89,18 +90,21 @@ class FeatureFrame:
         order = []
         for path, way in zip_longest(paths, list(directions)[: len(paths)]):
             c = b.plain(path) if self.mode == "plain" else b.text(path)
-            order.append(c.desc_nulls_first() if (way or "").upper() == "DESC" else c.asc_nulls_last())
+            order.append((c, (way or "").upper() == "DESC"))
         return self._with(self.df, order=tuple(order))
 
     def page(self, start: int | None = None, limit: int | None = None) -> FeatureFrame:
-        """Offset, then limit. For pages far into a collection filter by the last id seen instead: an offset sorts all before it."""
+        """Offset, then limit. From DEEP on rows() finds the offset's key first, see key_at()."""
         return self._with(self.df, sliced=(start, limit))
 
     def rows(self) -> DataFrame:
         """The frame's rows, sorted only if an order or a page was asked for."""
         df, (start, limit) = self.df, self.sliced
-        if self.order or start is not None or limit is not None:
-            df = df.orderBy(*self.order, F.col(self.id).asc_nulls_last())
+        keys = [*self.order, (F.col(self.id), False)]
+        if start is not None and start >= DEEP:
+            df, start = after_offset(df, keys, start), None
+        if self.order or self.sliced != (None, None):
+            df = df.orderBy(*sorting(keys))
         df = df.offset(start) if start else df
         return df.limit(limit) if limit is not None else df
 

@@ -14,6 +14,7 @@ from .functions.geometry import box, decode, encode, envelope_array, ewkt, line,
 from .functions.predicates import always, intersects, intersects_bbox, overlaps_bbox, prop, to_date
 from .operators import writes
 from .operators.frame import BOX, FeatureFrame, with_envelope
+from .operators.paging import after_offset
 from .operators.projection import Each, Path, flatten
 from .operators.writes import Collection
 from .plans import catalog
@@ -281,6 +282,12 @@ def s09_feature_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select(F.try_variant_get(F.parse_json("value"), "$.id", "string").alias("id"), "total")
 
 
+@query("s09_empty_page", "SELECT CAST(NULL AS VARCHAR) AS value, count(*) AS total FROM events WHERE event_type = 'click'")
+def s09_empty_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page beyond the end still has its total."""
+    return io.feature_collection(tables.events(spark, sf_dir).filter(prop(TYPE).eq("click")).sort_by(USER).page(10**9, 10))
+
+
 @query("s10_csv", """SELECT CAST(o_orderkey AS VARCHAR) || ';"MULTIPOINT((' || o_custkey % 100 || ' ' || o_orderkey % 100 || '),(' || o_custkey % 100 + 5 || ' ' || o_orderkey % 100 + 5 || '))";"' || strftime(o_orderdate, '%Y-%m-%d') || '";"' || o_orderstatus || '"' AS value FROM orders""")
 def s10_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.csv_lines(tables.orders(spark, sf_dir).df, separator=";")[1]
@@ -490,6 +497,13 @@ def o06_stable_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.events(spark, sf_dir).sort_by(TYPE).page(35, 20).rows().select("id")
 
 
+@query("o07_deep_page", f"SELECT id FROM (SELECT {ID}, event_type, user_id FROM events) ORDER BY event_type DESC NULLS FIRST, CAST(user_id AS VARCHAR), id OFFSET 3000")
+def o07_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the three thousandth event on: the rows before it are counted by ranges of keys, not sorted."""
+    f = tables.events(spark, sf_dir).sort_by(TYPE, USER, directions=["DESC", "ASC"])
+    return after_offset(f.df, [*f.order, (F.col("id"), False)], 3000, few=500).select("id")
+
+
 # Writes: the state afterwards.
 
 

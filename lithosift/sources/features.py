@@ -94,8 +94,8 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 def feature_collection(frame: FeatureFrame) -> DataFrame:
-    """The page's features with the total beside each: value, total. The total ignores order and page."""
-    return to_line(frame.rows()).crossJoin(F.broadcast(frame.count()))
+    """The page's features with the total beside each: value, total; of an empty page one row without a value. The total ignores order and page."""
+    return to_line(frame.rows()).join(F.broadcast(frame.count()), F.lit(True), "right")  # the total is one row
 
 
 def write_collection(frame: FeatureFrame, path: str) -> None:

@@ -382,3 +382,59 @@ def test_stream(spark, tmp_path):
         ingest(spark, str(source), target, str(tmp_path / "state"), id_type="decimal", once=True, rejects=str(tmp_path / "rejects")).awaitTermination()
     assert state(target) == {"1": 3, "2": 5, "3": 6}
     assert spark.read.parquet(str(tmp_path / "rejects")).count() == 2
+
+
+# Sides of lines, and pages far into a collection.
+
+
+def test_sides_equal_rational_arithmetic(spark):
+    import math
+    import random
+    from fractions import Fraction
+
+    from lithosift.functions.spatial import side
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(3000):
+        a, b = (rng.uniform(-180, 180), rng.uniform(-90, 90)), (rng.uniform(-180, 180), rng.uniform(-90, 90))
+        t = rng.choice([0.5, 0.25, rng.random(), 2.0])
+        p = [a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])]
+        for _ in range(rng.randrange(3)):
+            p[k % 2] = math.nextafter(p[k % 2], rng.choice([-math.inf, math.inf]))
+        rows.append((*a, *b, *p))
+    rows += [(0.0, 0.0, 1.0, 1.0, 0.5, 0.5), (0.1, 0.1, 0.3, 0.3, 0.2, 0.2), (1e-9, 1e9, 1e9, 1e-9, 1.0, 5.0), (0.0, 0.0, 3.0, 0.0, 9.0, 0.0), (12.0, 12.0, 24.0, 24.0, 0.5, math.nextafter(0.5, 1))]
+
+    def exact(*v):
+        ax, ay, bx, by, px, py = map(Fraction, v)
+        d = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+        return (d > 0) - (d < 0)
+
+    names = ["ax", "ay", "bx", "by", "px", "py"]
+    got = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).select(*names, side(*map(F.col, names)).alias("side")).collect()
+    rounded = sum(math.copysign((r.bx - r.ax) * (r.py - r.ay) - (r.by - r.ay) * (r.px - r.ax) != 0, (r.bx - r.ax) * (r.py - r.ay) - (r.by - r.ay) * (r.px - r.ax)) != exact(*r[:6]) for r in got)
+    assert all(r.side == exact(*r[:6]) for r in got) and rounded > 100  # plain doubles are wrong for these
+
+
+def test_deep_pages(spark, monkeypatch):
+    from lithosift.operators import frame as frames
+    from lithosift.operators import paging
+
+    rows = [(f"{k * 7919 % 5000:05d}", [None, "a", "b", "c"][k % 4], k % 3 or None) for k in range(5000)]
+    rows += [("00007", "b", 1)] * 5
+    df = spark.createDataFrame(rows, "id string, s string, n int")
+    f = FeatureFrame(df, mode="plain")
+    monkeypatch.setattr(paging, "FAN", 3)
+    monkeypatch.setattr(paging, "DEEP", 50)
+    for keys, ways in ((("s", "n"), ["DESC", "ASC"]), ((), [])):
+        sorted_ = f.sort_by(*keys, directions=ways)
+        plain = sorted_.page(0).rows().collect()
+        for start, limit in ((1, 5), (2600, 30), (4990, None), (5005, 2)):
+            key = paging.key_at(df, [*sorted_.order, (F.col("id"), False)], start, 50)
+            assert (key is None) == (start >= 5005)
+            monkeypatch.setattr(frames, "after_offset", lambda df, keys, start: paging.after_offset(df, keys, start, 50))
+            monkeypatch.setattr(frames, "DEEP", 0)
+            page = sorted_.page(start, limit).rows()
+            assert page.collect() == plain[start:][: limit if limit is not None else None], (keys, start)
+            assert "Offset" not in page._jdf.queryExecution().toString() or key[1]
+            monkeypatch.setattr(frames, "DEEP", paging.DEEP)
