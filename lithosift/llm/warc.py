@@ -15,7 +15,7 @@ Both scans read whole ranges in order; between them go rows for candidates (two
 
 Defined results: null payloads are empty; null urls give no target; line breaks in urls are escaped; null ids are written as empty and are
 never the response that others refer to; rows that repeat the smallest id are all responses; empty tables give no files and no rows; other
-columns aren't read. A file whose chain breaks gives the records before the break, and chains() says where it ended. A last record
+columns aren't read. A file whose chain breaks gives the records before the break, and chains() says that it isn't sound. A last record
 that is cut short is given with complete = false.
 """
 
@@ -195,7 +195,7 @@ def reached(candidates: DataFrame, ranges: int) -> DataFrame:
 
 def chains(spark: SparkSession, path: str) -> DataFrame:
     """A row per range of the archives: file, block, base (its first piece's offset), size, entry (where the chain's first record in it begins, or
-    null), open (where the record ends that is open at its begin), end (where the file's chain ends) and sound (whether that is the file's end)."""
+    null), open (where the record ends that is open at its begin), end (where the last range that the chain goes through leads to, 0 if it breaks in the first) and sound (whether that is the file's end)."""
     ship(spark)
     found = cut(_pieces(spark, path).mapInArrow(thrifty(_scan), _RANGES))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
