@@ -106,7 +106,10 @@ def _local_folder() -> str:
 
 def folder(spark: SparkSession) -> str:
     """A new folder in the one that spark.checkpoint.dir names; only where that is unset (tests on one machine) in a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or _local_folder()
     return f"{root}/lithosift-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 

@@ -9,11 +9,13 @@ A chunk of two or more lines that occurs more than once in the corpus is removed
 first place (smallest doc_id, null first, then place in the document), after its bytes were compared with
 those of the first place. Chunks with equal hashes and other bytes are grouped by their bytes.
 
-Short passages often contain no whole chunk. dedup_runs() therefore goes on with windows: two lines that aren't empty and
-follow each other, with the empty lines between them. A window with an earlier place in the corpus, byte-compared
-like a chunk, goes with all its lines, so overlapping windows merge into the longest repeated runs, whatever
-lines stand around them. A window that overlaps its own first place isn't a second one. Each line that goes
-has an equal one at an earlier place, so all lines stay somewhere.
+Short passages often contain no whole chunk: whether a line ends one depends on its neighbours, so a passage of two lines
+is a chunk in few of its places, under any such rule. dedup_runs() therefore goes on, on what the chunks leave, with windows: two
+lines that aren't empty and follow each other, with the empty lines between them. A window with an earlier place in
+the corpus, byte-compared like a chunk, goes with all its lines, so overlapping windows merge into the longest
+repeated runs, whatever lines stand around them. A window that overlaps its own first place isn't a second one. Each
+line that goes has an equal one at an earlier place, so all lines stay somewhere. The windows within a chunk that goes
+are left out before anything is counted or shuffled; as they stand in the chunk's first place too, no answer depends on them.
 
 Defined results: a null text counts as empty; texts of one line are never changed; rows that repeat both doc_id and
 text are one document, so they are changed alike; an empty table gives an empty result; other columns
@@ -27,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, drop, id_and_text
 
 WINDOW = 2
 PRIME = (1 << 31) - 1
@@ -70,8 +72,13 @@ def chunk_hash(hashes: Column) -> Column:
     return F.xxhash64(hashes)
 
 
+def _some(a: Column, start: Column, n: Column) -> Column:
+    """n elements of a, n > 0; slice() would go over all of a."""
+    return F.transform(F.sequence(start, start + n - 1), lambda i: F.get(a, i))
+
+
 def _text(s: Column, start: Column, n: Column) -> Column:
-    return F.array_join(F.slice(s["lines"], start + 1, n), "\n")
+    return F.array_join(_some(s["lines"], start, n), "\n")
 
 
 def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -81,7 +88,7 @@ def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
         def chunk(start: Column, k: Column) -> Column:
             n = F.get(s["ends"], k) - start + 1
             more = [_text(s, start, n).alias("part")] if with_text else []
-            return F.struct(k.alias("no"), start.alias("start"), n.alias("n"), chunk_hash(F.slice(s["hashes"], start + 1, n)).alias("hash"), *more)
+            return F.struct(k.alias("no"), start.alias("start"), n.alias("n"), chunk_hash(_some(s["hashes"], start, n)).alias("hash"), *more)
 
         return F.transform(s["starts"], chunk)
 
@@ -98,12 +105,18 @@ def _few(df: DataFrame, array: str | None = None) -> DataFrame:
 
 
 def windows(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """A row per window: hash, at (its place; no is its first line, n its number of lines), and part if asked for."""
+    """A row per window: hash, at (its place; no is its first line, n its number of lines), and part if asked for.
+
+    docs has doc_id, th, text and, for each line that goes with its chunk, that chunk's first line in the array gone.
+    A window within such a chunk is left out: it stands in the chunk's first place too, which comes before.
+    """
     lines = F.split("text", "\n", -1)
     # Explodes first, so that hashing runs in generated code.
     full = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size(lines) - 1).alias("no"), lines.alias("line")), lambda x: x["line"] != "")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), full.alias("full")).filter(F.size("full") >= 2)
-    rows = rows.select("doc_id", "th", F.explode(F.arrays_zip(F.slice("full", F.lit(1), F.size("full") - 1).alias("a"), F.slice("full", F.lit(2), F.size("full") - 1).alias("b"))).alias("w"))
+    rows = docs.select("doc_id", "th", "gone", full.alias("full")).filter(F.size("full") >= 2)
+    pairs = F.arrays_zip(F.slice("full", F.lit(1), F.size("full") - 1).alias("a"), F.slice("full", F.lit(2), F.size("full") - 1).alias("b"))
+    pairs = F.filter(pairs, lambda w: F.coalesce(F.get("gone", w["a"]["no"]) != F.get("gone", w["b"]["no"]), F.lit(True)))
+    rows = rows.select("doc_id", "th", F.explode(pairs).alias("w"))
     n = (F.col("w.b.no") - F.col("w.a.no") + 1).alias("n")
     part = [F.concat("w.a.line", F.repeat(F.lit("\n"), n - 1), "w.b.line").alias("part")] if with_text else []
     return rows.select(window_hash(F.col("w.a.line"), F.col("w.b.line"), n).alias("hash"), F.struct("doc_id", "th", F.col("w.a.no").alias("no"), n).alias("at"), *part)
@@ -114,8 +127,8 @@ def window_hash(a: Column, b: Column, n: Column) -> Column:
     return F.xxhash64(a, b, n)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """The places that go: doc_id, th, no, start and n (its first line and number of lines)."""
+def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The places that go (doc_id, th, no, start and n: its first line and number of lines), and the tables that they are read from."""
     places = chunks(docs)
     several = cut(places.groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("NOT first <=> last").drop("last"))
     held = chunks(docs, with_text=True).join(_few(several), "hash")
@@ -127,18 +140,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     if not unlike.isEmpty():
         own = unlike.groupBy("hash", "part").agg(F.min("at").alias("own"))
         gone = gone.unionByName(unlike.join(own, ["hash", "part"]).filter("NOT at <=> own").select("at"))
-    return gone.select("at.*")
+    return gone.select("at.*"), [several, firsts, unlike]
 
 
-def repeated_windows(docs: DataFrame, chunks_gone: DataFrame) -> DataFrame:
-    """The places that go (doc_id, th, no, n), but not those that chunks_gone (doc_id, th, lines) has already."""
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The places that go (doc_id, th, no, n), and the tables that they are read from; docs as for windows()."""
     # Counted by the hash alone first, so that few places are sorted.
-    several = _few(cut(windows(docs).groupBy("hash").count().filter("count > 1").select("hash")))
-    firsts = cut(windows(docs).join(several, "hash").groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("NOT first <=> last").drop("last"))
+    several = cut(windows(docs).groupBy("hash").count().filter("count > 1").select("hash"))
+    firsts = cut(windows(docs).join(_few(several), "hash").groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("NOT first <=> last").drop("last"))
     held = windows(docs, with_text=True).join(_few(firsts), "hash")
-    held = held.join(_few(chunks_gone, "gone_lines"), F.expr("at.doc_id <=> gone_id AND at.th = gone_th"), "left")
-    # Windows within the chunks that go need no comparison.
-    held = held.filter("at <=> first OR gone_lines IS NULL OR NOT (array_contains(gone_lines, at.no) AND array_contains(gone_lines, at.no + at.n - 1))")
     texts = cut(held.filter("at <=> first").groupBy("hash").agg(F.min("part").alias("first_part")))
     rest = held.filter("NOT at <=> first").select("hash", "at", "first", "part").join(texts, "hash").select("hash", "at", "first", "part", (F.col("part") == F.col("first_part")).alias("equal"))
     unlike = cut(rest.filter("NOT equal").select("hash", "at", "part"))
@@ -146,13 +156,22 @@ def repeated_windows(docs: DataFrame, chunks_gone: DataFrame) -> DataFrame:
     if not unlike.isEmpty():
         own = unlike.groupBy("hash", "part").agg(F.min("at").alias("first"))
         gone = gone.unionByName(unlike.join(own, ["hash", "part"]).filter("NOT at <=> first").select("at", "first"))
-    return gone.filter("NOT (at.doc_id <=> first.doc_id AND at.th = first.th AND at.no < first.no + first.n)").select("at.*")
+    gone = gone.filter("NOT (at.doc_id <=> first.doc_id AND at.th = first.th AND at.no < first.no + first.n)")
+    return gone.select("at.*"), [several, firsts, texts, unlike]
+
+
+def _chunks_of_lines(runs: Column) -> Column:
+    """For each line up to the last of the runs (start, n; in order, apart from each other) its run's first line, null between them."""
+    before = lambda k: F.coalesce(F.get(runs, k - 1)["start"] + F.get(runs, k - 1)["n"], F.lit(0))
+    return F.flatten(F.transform(runs, lambda x, k: F.concat(F.array_repeat(F.lit(None).cast("int"), x["start"] - before(k)), F.array_repeat(x["start"], x["n"]))))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, text (what stays), n_lines, n_chunks, removed_chunks and removed_lines."""
     docs = id_and_text(docs, id_col, text_col)
-    gone = cut(repeated_chunks(docs).groupBy(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.collect_set("no").alias("gone")))
+    places, tables = repeated_chunks(docs)
+    gone = cut(places.groupBy(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.collect_set("no").alias("gone")))
+    drop(*tables)
     rows = docs.join(_few(gone, "gone"), F.expr("doc_id <=> gone_id AND xxhash64(text) = gone_th"), "left")
 
     def kept(s: Column) -> Column:
@@ -167,12 +186,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, text (what stays without repeated chunks and windows), n_lines, removed_chunks and removed_lines."""
     docs = id_and_text(docs, id_col, text_col)
-    who = [F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")]
-    lines = lambda start: F.array_distinct(F.flatten(F.collect_list(F.sequence(start, start + F.col("n") - 1)))).alias("gone_lines")
-    chunks_gone = cut(repeated_chunks(docs).distinct().groupBy(*who).agg(lines(F.col("start")), F.count("*").cast("int").alias("gone_chunks")))
-    windows_gone = repeated_windows(docs, chunks_gone).distinct().groupBy(*who).agg(lines(F.col("no")), F.lit(0).alias("gone_chunks"))
-    gone = cut(chunks_gone.unionByName(windows_gone).groupBy("gone_id", "gone_th").agg(F.array_distinct(F.flatten(F.collect_list("gone_lines"))).alias("gone_lines"), F.sum("gone_chunks").cast("int").alias("gone_chunks")))
-    rows = docs.join(_few(gone, "gone_lines"), F.expr("doc_id <=> gone_id AND xxhash64(text) = gone_th"), "left")
+    who, here = [F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")], F.expr("doc_id <=> gone_id AND th = gone_th")
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    places, tables = repeated_chunks(docs)
+    chunks_gone = cut(places.groupBy(*who).agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs")))
+    drop(*tables)
+    places, tables = repeated_windows(docs.join(_few(chunks_gone, "runs"), here, "left").withColumn("gone", _chunks_of_lines(F.col("runs"))))
+    windows_gone = places.groupBy(*who).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("no", F.col("no") + F.col("n") - 1)))).alias("lines"))
+    by_chunks = chunks_gone.select("gone_id", "gone_th", F.flatten(F.transform("runs", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))).alias("lines"), F.size("runs").alias("gone_chunks"))
+    both = by_chunks.unionByName(windows_gone.withColumn("gone_chunks", F.lit(0))).groupBy("gone_id", "gone_th")
+    gone = cut(both.agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone_lines"), F.sum("gone_chunks").cast("int").alias("gone_chunks")))
+    drop(chunks_gone, *tables)
+    rows = docs.join(_few(gone, "gone_lines"), here, "left")
     rows = rows.select("doc_id", F.split("text", "\n", -1).alias("lines"), "gone_lines", F.coalesce("gone_chunks", F.lit(0)).alias("removed_chunks"))
     rows = rows.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone_lines", F.array().cast("array<int>"))))
     text = F.array_join(F.transform("stay", lambda k: F.get("lines", k)), "\n").alias("text")

@@ -12,6 +12,9 @@ and where a budget ends without encoding again; words are remembered, up to REME
 
 Prefixes are those of the normalised text (NFC, white space, lower case, as the file says).
 
+Texts with a code point that Python's Unicode tables don't have are normalised and split into words by the tokenizers
+library itself; a test compares all other code points.
+
 Defined results: a null text counts as empty and has no tokens; special strings are one token each, as the
 library has it; null ids and repeated rows are kept; an empty table gives an empty result; other
 columns aren't read.
@@ -24,13 +27,14 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import id_and_text, per_text, tokenizer_path
 
@@ -68,6 +72,7 @@ class Counter:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(split)
+        self.path = path
         self.counts: dict[str, int] = {}
         self.fit: dict[str, dict[str, bool]] = {}
         self.own: dict[str, bool] = {}
@@ -164,7 +169,15 @@ class Counter:
             at = m.end()
         yield from self._words(text[at:] if at else text)
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def _words(self, text: str) -> list[str]:
+        if not text.isascii() and "Cn" in map(unicodedata.category, set(text)):
+            # Unassigned for Python, so its tables and the library's may differ.
+            text = self.library.normalizer.normalize_str(text)
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         text = unicodedata.normalize("NFC", text).lower() if not text.isascii() else text.lower()
         return self.words.findall(text)
 

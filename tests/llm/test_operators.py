@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -121,6 +123,34 @@ def test_runs_odd_rows_and_bytes(spark, monkeypatch):
     assert got == {0: "p\naaa\nbb\nq", 1: "r\nccc\ndd\ns", 2: "t\nu", 3: "v\nw"}
 
 
+def test_runs_beside_chunks_that_go(spark):
+    """Windows within chunks that go are left out, those across two of them aren't: all as if there were windows alone."""
+    rng = random.Random(11)
+    rows = [(k, "\n".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30)))) for k in range(60)]
+    # Two passages that are first seen in other places, then beside each other, then beside each other again.
+    one, two = ([f"{n} {k}" for k in range(12)] for n in ("one", "two"))
+    rows += [(100 + k, "\n".join(x)) for k, x in enumerate((one, two, ["x", *one, *two, "y"], ["u", *one, *two, "v"], [*two, *one]))]
+    got = {r.doc_id: r for r in line_dedup.dedup_runs(docs(spark, [(*r, "en", "s") for r in rows])).collect()}
+    gone = brute_runs(rows)
+    for i, t in rows:
+        assert got[i].text == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]), i
+    assert sum(r.removed_chunks for r in got.values()) > 10
+
+
+def test_runs_leave_no_tables_but_the_last(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir")) / f"lithosift-{spark.sparkContext.applicationId}"
+    before = set(root.glob("*"))
+    line_dedup.dedup_runs(docs(spark, texts("p\naaa\nbb\nq", "r\naaa\nbb\ns"))).collect()
+    assert len(set(root.glob("*")) - before) == 1
+
+
+def test_runs_of_long_copies(spark):
+    """Equal texts of many lines take time in proportion to their lines."""
+    text = "\n".join(f"line {k} of a long text" for k in range(60_000))
+    rows = [r.asDict() for r in line_dedup.dedup_runs(docs(spark, texts(text, text + "\nend"))).select("doc_id", "n_lines", "removed_lines").collect()]
+    assert sorted(r["removed_lines"] for r in rows) == [0, 60_000]
+
+
 # 2. Exact copies.
 
 
@@ -286,6 +316,24 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.token_counts(docs(spark, [])).count() == 0
 
 
+def test_token_counts_on_all_code_points():
+    """Words and counts, as the library has them, around each code point, assigned or not."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(token_counts.TOKENIZER)
+    t, c = Tokenizer.from_file(path), token_counts.counter(path)
+    points = [chr(k) for k in range(0x110000) if not 0xD800 <= k <= 0xDFFF]
+    # Many to a text: those that Python's tables lack go another way, so they stand apart.
+    for lacking in (False, True):
+        some = [x for x in points if (unicodedata.category(x) == "Cn") == lacking]
+        for k in range(0, len(some), 64):
+            text = " ".join(f"a{x}b1{x} {x}" for x in some[k : k + 64])
+            norm = t.normalizer.normalize_str(text)
+            assert list(c.split(text)) == [norm[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(norm)], hex(ord(some[k]))
+    for x in ("\ua7cb", "\ua7dc", "\U000323b0"):
+        assert int(c.sums(f"a{x}b {x}")[-1]) == len(t.encode(f"a{x}b {x}", add_special_tokens=False).ids)
+
+
 def test_token_counts_at_every_prefix():
     from tokenizers import Tokenizer
 
@@ -338,6 +386,20 @@ def test_pii_ibans_secrets_and_national_numbers():
     assert kinds("teléfono 612 345 678") == [("national_phone", "612 345 678")] and kinds("612 345 678") == []
 
 
+def test_pii_secrets_blocks_and_numbers_of_countries():
+    kinds = lambda t: [(s.kind, t[s.start : s.end]) for s in pii.find(t)]
+    assert kinds("client_secret=9fK2mQx81LpZ7") == [("secret", "9fK2mQx81LpZ7")]
+    assert kinds("DB_PASSWORD: 'x7Rt92kLmQ0b'") == [("secret", "x7Rt92kLmQ0b")]
+    assert kinds("use sk-" + "a1B2c3D4e5" * 3) == [("secret", "sk-" + "a1B2c3D4e5" * 3)]
+    assert kinds("the sk-" + "a" * 30) == kinds("nosecret=9fK2mQx81LpZ7") == []
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\n" + "MIIEow0B" * 8 + "\n-----END RSA PRIVATE KEY-----"
+    assert kinds("see " + block + " end") == [("secret", block)]
+    assert kinds("-----BEGIN PRIVATE KEY----- of which nothing follows") == []
+    assert kinds("numéro 06 12 34 56 78") == [("national_phone", "06 12 34 56 78")]
+    assert kinds("0171-1234567") == [("national_phone", "0171-1234567")]
+    assert kinds("model 0171-1234567") == kinds("commande 01 12 34 56 78") == []
+
+
 def test_pii_long_runs_and_rows(spark):
     for run in ("a" * 200000, "1" * 200000, "1." * 100000, "+" * 100000, "a@" * 50000, "1 " * 100000, "token " * 50000, "token=" * 50000, "GB82 " * 50000, "eyJ" * 100000, "A" * 200000):
         pii.find(run)
