@@ -82,7 +82,7 @@ def _text(s: Column, start: Column, n: Column) -> Column:
 
 
 def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """A row per chunk of two or more lines: hash, at (its place), and text if asked for."""
+    """A row per chunk of two or more lines: hash, at (its place), and text if asked for. docs has the texts' hashes in th, else each row would hash its text anew."""
 
     def one(s: Column) -> Column:
         def chunk(start: Column, k: Column) -> Column:
@@ -92,7 +92,7 @@ def chunks(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
         return F.transform(s["starts"], chunk)
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(let(chunked(F.col("text")), one)).alias("c")).filter("c.n >= 2")
+    rows = docs.select("doc_id", "th", F.explode(let(chunked(F.col("text")), one)).alias("c")).filter("c.n >= 2")
     return rows.select("c.hash", F.struct("doc_id", "th", F.col("c.no").alias("no"), F.col("c.start").alias("start"), F.col("c.n").alias("n")).alias("at"), *(["c.part"] if with_text else []))
 
 
@@ -168,11 +168,11 @@ def _chunks_of_lines(runs: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, text (what stays), n_lines, n_chunks, removed_chunks and removed_lines."""
-    docs = id_and_text(docs, id_col, text_col)
+    docs = id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     places, tables = repeated_chunks(docs)
     gone = cut(places.groupBy(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.collect_set("no").alias("gone")))
     drop(*tables)
-    rows = docs.join(_few(gone, "gone"), F.expr("doc_id <=> gone_id AND xxhash64(text) = gone_th"), "left")
+    rows = docs.join(_few(gone, "gone"), F.expr("doc_id <=> gone_id AND th = gone_th"), "left")
 
     def kept(s: Column) -> Column:
         nos = F.array_except(F.sequence(F.lit(0), F.size(s["ends"]) - 1), F.coalesce(F.col("gone"), F.array().cast("array<int>")))
