@@ -1,21 +1,22 @@
 """Line dedup over content-defined chunks of lines. DataFrame functions only.
 
-A text is split at line feeds. Each line is hashed; a rolling polynomial over the hashes of WINDOW lines gives a
-value at each line, and a chunk ends at each line whose value is below that of the lines before and
-after it. Such boundaries depend on the lines nearby alone, so they stay where they are, relative to a
-passage, whatever stands before it; and chunks have two lines at least, three on average.
-
-A chunk of two or more lines that occurs more than once in the corpus is removed everywhere but at its
-first place (smallest doc_id, null first, then place in the document), after its bytes were compared with
-those of the first place. Chunks with equal hashes and other bytes are grouped by their bytes.
-
-Short passages often contain no whole chunk: whether a line ends one depends on its neighbours, so a passage of two lines
-is a chunk in few of its places, under any such rule. dedup_runs() therefore goes on, on what the chunks leave, with windows: two
-lines that aren't empty and follow each other, with the empty lines between them. A window with an earlier place in
-the corpus, byte-compared like a chunk, goes with all its lines, so overlapping windows merge into the longest
-repeated runs, whatever lines stand around them. A window that overlaps its own first place isn't a second one. Each
-line that goes has an equal one at an earlier place, so all lines stay somewhere. The windows within a chunk that goes
-are left out before anything is counted or shuffled; as they stand in the chunk's first place too, no answer depends on them.
+A text is split at line feeds, each line is hashed, and a hash rolls over the line hashes: its window holds two lines
+that aren't empty and follow each other, with the empty lines between them. The first place of a rolling hash is
+its smallest in the corpus (doc_id, null first, then place in the document).
+
+dedup_runs() cuts texts into chunks where the rolling hash says so: a chunk is the longest run of lines whose rolling hashes have
+their first places elsewhere, one after the other in one document; where the first places stop or jump, a chunk ends. So
+boundaries depend on a passage alone and stay where they are, whatever stands before or after it, and a passage of two lines is
+a chunk as one of a thousand is. A chunk is then compared with the lines at its first place, byte by byte, and goes if
+they are equal. Of a chunk with equal hashes and other bytes, the windows are grouped by their bytes and go one by one. Chunks
+also end at each BLOCK-th window of the first place, so that copies of all kinds of parts of one document share nearly all of what they
+are compared with. A window that overlaps its own first place isn't a second one. Each line that goes has an equal one at an earlier
+place, so all lines stay somewhere.
+
+dedup_lines() is the plainer form that needs no counts of the corpus to find boundaries: a rolling polynomial over the hashes of WINDOW lines
+gives a value at each line, and a chunk ends at each line whose value is below that of the lines before and after it; chunks have two
+lines at least, three on average, and those of two or more lines that occur again go. It finds long passages without the
+lines at their borders, and misses short ones.
 
 Defined results: a null text counts as empty; texts of one line are never changed; rows that repeat both doc_id and
 text are one document, so they are changed alike; an empty table gives an empty result; other columns
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop, id_and_text
 
 WINDOW = 2
+#: Chunks of dedup_runs end at each so many windows of their first place.
+BLOCK = 64
 PRIME = (1 << 31) - 1
 BASE = 1000003
 #: Lists of up to this many rows (some 50 bytes each), or with arrays of up to 8 times as many elements (4 bytes each), are broadcast; longer ones are shuffled.
@@ -105,26 +108,21 @@ def _few(df: DataFrame, array: str | None = None) -> DataFrame:
 
 
 def windows(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """A row per window: hash, at (its place; no is its first line, n its number of lines), and part if asked for.
-
-    docs has doc_id, th, text and, for each line that goes with its chunk, that chunk's first line in the array gone.
-    A window within such a chunk is left out: it stands in the chunk's first place too, which comes before.
-    """
+    """A row per place of the rolling hash: hash, at (doc_id, th, the window's number, its first line and number of lines), and part if asked for."""
     lines = F.split("text", "\n", -1)
     # Explodes first, so that hashing runs in generated code.
     full = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size(lines) - 1).alias("no"), lines.alias("line")), lambda x: x["line"] != "")
-    rows = docs.select("doc_id", "th", "gone", full.alias("full")).filter(F.size("full") >= 2)
+    rows = docs.select("doc_id", "th", full.alias("full")).filter(F.size("full") >= 2)
     pairs = F.arrays_zip(F.slice("full", F.lit(1), F.size("full") - 1).alias("a"), F.slice("full", F.lit(2), F.size("full") - 1).alias("b"))
-    pairs = F.filter(pairs, lambda w: F.coalesce(F.get("gone", w["a"]["no"]) != F.get("gone", w["b"]["no"]), F.lit(True)))
-    rows = rows.select("doc_id", "th", F.explode(pairs).alias("w"))
+    rows = rows.select("doc_id", "th", F.posexplode(pairs).alias("k", "w"))
     n = (F.col("w.b.no") - F.col("w.a.no") + 1).alias("n")
     part = [F.concat("w.a.line", F.repeat(F.lit("\n"), n - 1), "w.b.line").alias("part")] if with_text else []
-    return rows.select(window_hash(F.col("w.a.line"), F.col("w.b.line"), n).alias("hash"), F.struct("doc_id", "th", F.col("w.a.no").alias("no"), n).alias("at"), *part)
+    return rows.select(window_hash(F.col("w.a.line"), F.col("w.b.line"), n).alias("hash"), F.struct("doc_id", "th", "k", F.col("w.a.no").alias("no"), n).alias("at"), *part)
 
 
 def window_hash(a: Column, b: Column, n: Column) -> Column:
-    """The hash of a window, from its two lines and the number of its lines."""
-    return F.xxhash64(a, b, n)
+    """The rolling hash: of the hashes of a window's two lines and the number of its lines."""
+    return F.xxhash64(F.xxhash64(a), F.xxhash64(b), n)
 
 
 def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -143,27 +141,58 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return gone.select("at.*"), [several, firsts, unlike]
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The places that go (doc_id, th, no, n), and the tables that they are read from; docs as for windows()."""
-    # Counted by the hash alone first, so that few places are sorted.
-    several = cut(windows(docs).groupBy("hash").count().filter("count > 1").select("hash"))
-    firsts = cut(windows(docs).join(_few(several), "hash").groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("NOT first <=> last").drop("last"))
-    held = windows(docs, with_text=True).join(_few(firsts), "hash")
-    texts = cut(held.filter("at <=> first").groupBy("hash").agg(F.min("part").alias("first_part")))
-    rest = held.filter("NOT at <=> first").select("hash", "at", "first", "part").join(texts, "hash").select("hash", "at", "first", "part", (F.col("part") == F.col("first_part")).alias("equal"))
-    unlike = cut(rest.filter("NOT equal").select("hash", "at", "part"))
-    gone = rest.filter("equal").select("at", "first")
-    if not unlike.isEmpty():
-        own = unlike.groupBy("hash", "part").agg(F.min("at").alias("first"))
-        gone = gone.unionByName(unlike.join(own, ["hash", "part"]).filter("NOT at <=> first").select("at", "first"))
-    gone = gone.filter("NOT (at.doc_id <=> first.doc_id AND at.th = first.th AND at.no < first.no + first.n)")
-    return gone.select("at.*"), [several, firsts, texts, unlike]
+#: A place that isn't the first, nor overlaps it.
+SECOND = "NOT at <=> first AND NOT (at.doc_id <=> first.doc_id AND at.th = first.th AND at.no < first.no + first.n)"
+
+
+def runs(places: DataFrame) -> DataFrame:
+    """From windows with an earlier place (at, first) the chunks: doc_id, th, no and n (first line, number of lines), and f_id, f_th, f_no (where the first place begins)."""
+    w = places.select("at.doc_id", "at.th", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"), (F.col("at.k") - F.col("first.k")).alias("ahead"), F.floor(F.col("first.k") / BLOCK).alias("block"), F.struct("at.k", "at.no", "at.n", F.col("first.no").alias("f_no")).alias("w"))
+    w = w.groupBy("doc_id", "th", "f_id", "f_th", "ahead", "block").agg(F.array_sort(F.collect_set("w")).alias("ws"))
+
+    def chunk(ws: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(ws) - 1)
+        after = lambda i: F.coalesce(F.get(ws, i)["k"] == F.get(ws, i - 1)["k"] + 1, F.lit(False))
+        ends = F.arrays_zip(F.filter(every, lambda i: ~after(i)).alias("a"), F.filter(every, lambda i: ~after(i + 1)).alias("b"))
+        first, last = (lambda e: F.get(ws, e["a"])), (lambda e: F.get(ws, e["b"]))
+        return F.transform(ends, lambda e: F.struct(first(e)["no"].alias("no"), (last(e)["no"] + last(e)["n"] - first(e)["no"]).alias("n"), first(e)["f_no"].alias("f_no")))
+
+    return w.select("doc_id", "th", "f_id", "f_th", F.explode(chunk(F.col("ws"))).alias("c")).select("doc_id", "th", "f_id", "f_th", "c.*")
 
 
-def _chunks_of_lines(runs: Column) -> Column:
-    """For each line up to the last of the runs (start, n; in order, apart from each other) its run's first line, null between them."""
-    before = lambda k: F.coalesce(F.get(runs, k - 1)["start"] + F.get(runs, k - 1)["n"], F.lit(0))
-    return F.flatten(F.transform(runs, lambda x, k: F.concat(F.array_repeat(F.lit(None).cast("int"), x["start"] - before(k)), F.array_repeat(x["start"], x["n"]))))
+def _with_parts(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The elements of ranges' array c (whose fields no and n are lines of the text of doc_id and th), a row each, with their text as part."""
+    d = docs.join(_few(ranges.withColumnsRenamed({"doc_id": "r_id", "th": "r_th"}), "c"), F.expr("doc_id <=> r_id AND th = r_th"))
+    parts = lambda lines: F.transform("c", lambda c: F.struct(c.alias("c"), F.array_join(_some(lines, c["no"], c["n"]), "\n").alias("part")))
+    return d.select("doc_id", "th", F.explode(let(F.split("text", "\n", -1), parts)).alias("x")).select("doc_id", "th", "x.c.*", "x.part")
+
+
+def repeated_runs(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The chunks that go (doc_id, th, no, n), and the tables that they are read from."""
+    # Counted by the hash alone first, so that few places are written.
+    several = cut(windows(docs).groupBy("hash").count().filter("count > 1").select("hash"))
+    held = cut(windows(docs).join(_few(several), "hash"))
+    drop(several)
+    firsts = cut(held.groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("NOT first <=> last").drop("last"))
+    found = cut(runs(held.join(_few(firsts), "hash").filter(SECOND)))
+    drop(firsts)
+    first_ranges = cut(found.groupBy(F.col("f_id").alias("doc_id"), F.col("f_th").alias("th")).agg(F.collect_set(F.struct(F.col("f_no").alias("no"), "n")).alias("c")))
+    # Written once, so that Spark deals out both sides of the next join itself and can split a hot chunk.
+    theirs = cut(_with_parts(docs, first_ranges).groupBy(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), F.col("no").alias("f_no"), "n").agg(F.min("part").alias("first_part")))
+    ranges = cut(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("no", "n", "f_id", "f_th", "f_no")).alias("c")))
+    mine = _with_parts(docs, ranges).alias("m")
+    here = F.expr("m.f_id <=> t.f_id AND m.f_th = t.f_th AND m.f_no = t.f_no AND m.n = t.n")
+    compared = cut(mine.join(theirs.alias("t"), here).select("doc_id", "th", "no", "m.n", (F.col("part") == F.col("first_part")).alias("equal")))
+    drop(found, first_ranges, theirs, ranges)
+    gone, tables = compared.filter("equal").select("doc_id", "th", "no", "n"), [compared, held]
+    unlike = compared.filter("NOT equal").select(F.col("doc_id").alias("u_id"), F.col("th").alias("u_th")).distinct()
+    if not unlike.isEmpty():
+        hashes = held.join(unlike, F.expr("at.doc_id <=> u_id AND at.th = u_th"), "left_semi").select("hash").distinct()
+        again = cut(windows(docs, with_text=True).join(hashes, "hash"))
+        own = again.groupBy("hash", "part").agg(F.min("at").alias("first"))
+        gone = gone.unionByName(again.join(own, ["hash", "part"]).filter(SECOND).select("at.doc_id", "at.th", "at.no", "at.n"))
+        tables.append(again)
+    return gone, tables
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,20 +213,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: doc_id, text (what stays without repeated chunks and windows), n_lines, removed_chunks and removed_lines."""
-    docs = id_and_text(docs, id_col, text_col)
-    who, here = [F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")], F.expr("doc_id <=> gone_id AND th = gone_th")
-    docs = docs.withColumn("th", F.xxhash64("text"))
-    places, tables = repeated_chunks(docs)
-    chunks_gone = cut(places.groupBy(*who).agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs")))
+    """A row per row of docs: doc_id, text (what stays without repeated chunks), n_lines, removed_chunks and removed_lines."""
+    docs = id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    places, tables = repeated_runs(docs)
+    lines = F.transform("runs", lambda x: F.sequence(x["no"], x["no"] + x["n"] - 1))
+    gone = places.groupBy(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).agg(F.collect_set(F.struct("no", "n")).alias("runs"))
+    gone = cut(gone.select("gone_id", "gone_th", F.array_distinct(F.flatten(lines)).alias("gone_lines"), F.size("runs").alias("gone_chunks")))
     drop(*tables)
-    places, tables = repeated_windows(docs.join(_few(chunks_gone, "runs"), here, "left").withColumn("gone", _chunks_of_lines(F.col("runs"))))
-    windows_gone = places.groupBy(*who).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("no", F.col("no") + F.col("n") - 1)))).alias("lines"))
-    by_chunks = chunks_gone.select("gone_id", "gone_th", F.flatten(F.transform("runs", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))).alias("lines"), F.size("runs").alias("gone_chunks"))
-    both = by_chunks.unionByName(windows_gone.withColumn("gone_chunks", F.lit(0))).groupBy("gone_id", "gone_th")
-    gone = cut(both.agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone_lines"), F.sum("gone_chunks").cast("int").alias("gone_chunks")))
-    drop(chunks_gone, *tables)
-    rows = docs.join(_few(gone, "gone_lines"), here, "left")
+    rows = docs.join(_few(gone, "gone_lines"), F.expr("doc_id <=> gone_id AND th = gone_th"), "left")
     rows = rows.select("doc_id", F.split("text", "\n", -1).alias("lines"), "gone_lines", F.coalesce("gone_chunks", F.lit(0)).alias("removed_chunks"))
     rows = rows.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone_lines", F.array().cast("array<int>"))))
     text = F.array_join(F.transform("stay", lambda k: F.get("lines", k)), "\n").alias("text")

@@ -124,7 +124,7 @@ def test_runs_odd_rows_and_bytes(spark, monkeypatch):
 
 
 def test_runs_beside_chunks_that_go(spark):
-    """Windows within chunks that go are left out, those across two of them aren't: all as if there were windows alone."""
+    """Passages that stand beside each other, in any order, go like those that stand alone."""
     rng = random.Random(11)
     rows = [(k, "\n".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30)))) for k in range(60)]
     # Two passages that are first seen in other places, then beside each other, then beside each other again.
@@ -137,6 +137,41 @@ def test_runs_beside_chunks_that_go(spark):
     assert sum(r.removed_chunks for r in got.values()) > 10
 
 
+def test_runs_of_parts_of_one_text(spark):
+    """Chunks longer than a block of the first place, and of all its parts."""
+    rng = random.Random(12)
+    whole = [f"line {k} of the whole" if k % 9 else "" for k in range(5 * line_dedup.BLOCK)]
+    rows = [(0, "\n".join(whole))]
+    for k in range(1, 40):
+        a = rng.randrange(len(whole) - 2)
+        rows.append((k, "\n".join([f"own {k}", *whole[a : a + rng.randrange(2, len(whole))], f"end {k}"])))
+    got = {r.doc_id: r for r in line_dedup.dedup_runs(docs(spark, [(*r, "en", "s") for r in rows])).collect()}
+    gone = brute_runs(rows)
+    for i, t in rows:
+        assert got[i].text == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]), i
+    assert got[0].text == rows[0][1] and sum(r.removed_chunks for r in got.values()) < 39 * 7
+
+
+def test_runs_with_equal_hashes_inside_a_chunk(spark, monkeypatch):
+    """Chunks whose hashes are equal and whose bytes aren't: what is equal in them goes, the rest stays."""
+    monkeypatch.setattr(line_dedup, "window_hash", lambda a, b, n: F.xxhash64(F.regexp_replace(a, "[0-9]", ""), F.regexp_replace(b, "[0-9]", ""), n))
+    rows = list(enumerate(["a\nb\nc1\nd\ne", "a\nb\nc2\nd\ne", "x\na\nb\nc2\nd\nz", "b\nc3\nd\ne", "c2\nd\nc2\nd"]))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(docs(spark, [(*r, "en", "s") for r in rows])).collect()}
+    gone = brute_runs(rows)
+    assert got == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in rows}
+
+
+def test_runs_go_by_their_chunks(spark, monkeypatch):
+    """Without chunks nothing goes, and ids that are null or repeat are compared like others."""
+    rows = [(None, "p\naaa\nbb\nq"), (1, "r\naaa\nbb"), (1, "r\naaa\nbb"), (1, "aaa\nbb\nt"), (2, None)]
+    table = docs(spark, [(*r, "en", "s") for r in rows])
+    got = sorted((r.doc_id is not None, r.doc_id, r.text) for r in line_dedup.dedup_runs(table).collect())
+    assert got == [(False, None, "p\naaa\nbb\nq"), (True, 1, "r"), (True, 1, "r"), (True, 1, "t"), (True, 2, "")]
+    chunks = line_dedup.runs
+    monkeypatch.setattr(line_dedup, "runs", lambda places: chunks(places).filter("n < 0"))
+    assert all(r.removed_lines == 0 for r in line_dedup.dedup_runs(table).collect())
+
+
 def test_runs_leave_no_tables_but_the_last(spark):
     root = Path(spark.conf.get("spark.checkpoint.dir")) / f"lithosift-{spark.sparkContext.applicationId}"
     before = set(root.glob("*"))
