@@ -43,20 +43,20 @@ def strip_geometry(doc: Column) -> Column:
 def parse(lines: DataFrame, id_type: str = "text", srid: int | None = None, max_size: int = MAX_SIZE, keep: Iterable[str] = ()) -> Import:
     """Features from a DataFrame with a column value, a line of GeoJSON each.
 
-    Lines that are empty, or JSON but no object, are skipped; lines that are too long, no JSON, without an id of the id type or without a
+    Lines that are empty, or JSON but no object, are skipped; lines of more than max_size bytes (UTF-8), no JSON, without an id of the id type or without a
     readable geometry are rejects. A missing or null geometry is allowed and stays null.
     """
     if id_type not in ID_TYPES:
         raise ValueError(f"id type is one of {ID_TYPES}")
     kind = lambda c: F.schema_of_variant(c)
     rows = lines.select(F.col("value").alias("line"), *keep).filter(F.trim("line") != "")
-    rows = rows.withColumn("whole", F.when(F.length("line") <= max_size, F.try_parse_json("line")))
+    rows = rows.withColumn("whole", F.when(F.octet_length("line") <= max_size, F.try_parse_json("line")))
     rows = rows.withColumns({"key": F.try_variant_get("whole", "$.id", "variant"), "shape": F.try_variant_get("whole", "$.geometry", "variant")})
     is_id = kind(F.col("key")).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))" if id_type == "decimal" else "^STRING")
     none = F.col("shape").isNull() | F.is_variant_null("shape")
     rows = rows.withColumn("geometry", F.when(~none, decode(F.col("shape"), srid)))
     reason = (
-        F.when(F.length("line") > max_size, "too large").when(F.col("whole").isNull(), "no JSON").when(~F.coalesce(is_id, F.lit(False)), f"no id of type {id_type}")
+        F.when(F.octet_length("line") > max_size, "too large").when(F.col("whole").isNull(), "no JSON").when(~F.coalesce(is_id, F.lit(False)), f"no id of type {id_type}")
         .when(~none & F.col("geometry").isNull(), "unreadable geometry")
     )
     rows = rows.withColumn("reason", reason).filter(F.col("whole").isNull() | kind(F.col("whole")).startswith("OBJECT"))

@@ -206,6 +206,13 @@ def test_import(spark):
     assert io.parse(lines.limit(0)).features.count() == 0
 
 
+def test_import_counts_bytes(spark):
+    sizes = {k: len(json.dumps({"id": k, "p": "é" * 50}, ensure_ascii=False).encode()) for k in ("x", "yy")}
+    lines = spark.createDataFrame([(json.dumps({"id": k, "p": "é" * 50}, ensure_ascii=False),) for k in sizes], "value string")
+    got = io.parse(lines, max_size=sizes["x"])
+    assert [r.id for r in got.features.collect()] == ["x"] and [r.reason for r in got.rejects.collect()] == ["too large"]
+
+
 def test_sinks(spark, tmp_path):
     f = FeatureFrame(io.parse(spark.createDataFrame([(x,) for x in LINES[:2]], "value string")).features)
     io.write_collection(f.page(0, 1), str(tmp_path / "fc"))
