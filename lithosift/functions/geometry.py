@@ -232,12 +232,16 @@ def decode(g: Column, srid: int | None = None) -> Column:
     The members of a GeometryCollection inherit its CRS; a collection in a collection isn't read. The first coordinate decides whether
     there is a z and an m.
     """
+    return let(g, lambda v: _decode(v, srid))
+
+
+def _decode(g: Column, srid: int | None) -> Column:
     kind = F.try_variant_get(g, "$.type", "string")
     name = F.try_variant_get(g, "$.crs.properties.name", "string")
     own = F.regexp_extract(name, r"EPSG:+(\d+)$", 1).try_cast("int")
     members = F.transform(F.try_variant_get(g, "$.geometries", "array<variant>"), _decode_one)
-    parts = F.when(kind == "GeometryCollection", F.when(~F.exists(members, lambda m: m.isNull()), F.flatten(members))).otherwise(_decode_one(g))
-    return F.when(parts.isNotNull(), F.struct(kind.alias("type"), F.coalesce(own, F.lit(srid).cast("int")).alias("srid"), parts.alias("parts")).cast(GEOMETRY))
+    parts = F.when(kind == "GeometryCollection", let(members, lambda a: F.when(~F.exists(a, lambda m: m.isNull()), F.flatten(a)))).otherwise(_decode_one(g))
+    return let(parts, lambda p: F.when(p.isNotNull(), F.struct(kind.alias("type"), F.coalesce(own, F.lit(srid).cast("int")).alias("srid"), p.alias("parts")).cast(GEOMETRY)))
 
 
 def _coordinates(v: Column) -> Column:
