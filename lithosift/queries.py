@@ -201,7 +201,7 @@ def g10_srid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second geometry names its own reference system, the others inherit the collection's."""
     df = tables.orders(spark, sf_dir).df
     g = F.when(F.col("id").cast("long") % 2 == 0, F.col("geometry").withField("srid", F.lit(4326))).otherwise(F.col("geometry"))
-    return df.select("id", decode(F.parse_json(encode(g)), srid=31370)["srid"].alias("srid"))
+    return df.select("id", g.alias("g")).select("id", decode(F.parse_json(encode(F.col("g"))), srid=31370)["srid"].alias("srid"))
 
 
 # Sources and sinks.
@@ -231,9 +231,8 @@ def s03_import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text.select(F.when(F.col("id") % 11 == 0, F.expr("left(value, length(value) - 3)")).otherwise(F.col("value")).alias("value"))
     path = work(spark)
     text.unionByName(lines.select(F.concat(F.lit("["), F.col("id"), F.lit("]")).alias("value"))).write.text(path)
-    got = io.read_lines(spark, path, id_type="decimal")
-    f = FeatureFrame(got.features)
-    return f.df.select("id", "xmin", f.get(TYPE).alias("event_type"), F.lit(None).cast("string").alias("reason")).unionByName(got.rejects.select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("xmin"), F.lit(None).cast("string").alias("event_type"), "reason"))
+    f = FeatureFrame(io.read_lines(spark, path, id_type="decimal").both)
+    return f.df.select("id", "xmin", f.get(TYPE).alias("event_type"), "reason")
 
 
 @query("s04_decode", "SELECT CAST(c_custkey AS VARCHAR) AS id, 'LineString' AS type, 1 AS n, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_nationkey + 3 AS DOUBLE) AS x2 FROM customer UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'MultiPoint', 2, CAST(o_custkey % 100 AS DOUBLE), CAST(o_custkey % 100 + 5 AS DOUBLE) FROM orders UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'Polygon', 1, CAST(s_nationkey - 2 AS DOUBLE), CAST(s_nationkey + 2 AS DOUBLE) FROM supplier")
@@ -250,8 +249,7 @@ def s04_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s05_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for kind in io.ID_TYPES:
-        got = io.parse(_lines(spark, sf_dir), id_type=kind)
-        both = got.features.select(F.lit(None).cast("string").alias("reason")).unionByName(got.rejects.select("reason"))
+        both = io.parse(_lines(spark, sf_dir), id_type=kind).both
         out.append(both.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(kind).alias("id_type"), "reason", "n"))
     return out[0].unionByName(out[1])
 

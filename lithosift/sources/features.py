@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import GEOMETRY, decode, encode, ewkt
-from ..functions.paths import steps, value_at
+from ..functions.paths import is_kind, steps, value_at
 from ..operators.frame import BOX, FeatureFrame, with_envelope
 from ..operators.projection import flatten
 
@@ -22,10 +22,11 @@ FEATURE = ["id", "geometry", *BOX, "doc"]
 
 @dataclass(frozen=True)
 class Import:
-    """Features, and the lines that aren't: line, reason."""
+    """Features, and the lines that aren't: line, reason. both has the two in one pass: a feature's columns, line, reason; reason is null for features."""
 
     features: DataFrame
     rejects: DataFrame
+    both: DataFrame
 
     def strict(self) -> DataFrame:
         """The features; reading them fails on the first reject."""
@@ -48,20 +49,23 @@ def parse(lines: DataFrame, id_type: str = "text", srid: int | None = None, max_
     """
     if id_type not in ID_TYPES:
         raise ValueError(f"id type is one of {ID_TYPES}")
-    kind = lambda c: F.schema_of_variant(c)
-    rows = lines.select(F.col("value").alias("line"), *keep).filter(F.trim("line") != "")
+    rows = lines.select(F.col("value").alias("line"), *keep)
     rows = rows.withColumn("whole", F.when(F.octet_length("line") <= max_size, F.try_parse_json("line")))
     rows = rows.withColumns({"key": F.try_variant_get("whole", "$.id", "variant"), "shape": F.try_variant_get("whole", "$.geometry", "variant")})
-    is_id = kind(F.col("key")).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))" if id_type == "decimal" else "^STRING")
+    is_id = F.schema_of_variant("key").rlike(r"^(BIGINT|DECIMAL\(\d+,0\))" if id_type == "decimal" else "^STRING")
     none = F.col("shape").isNull() | F.is_variant_null("shape")
     rows = rows.withColumn("geometry", F.when(~none, decode(F.col("shape"), srid)))
     reason = (
         F.when(F.octet_length("line") > max_size, "too large").when(F.col("whole").isNull(), "no JSON").when(~F.coalesce(is_id, F.lit(False)), f"no id of type {id_type}")
         .when(~none & F.col("geometry").isNull(), "unreadable geometry")
     )
-    rows = rows.withColumn("reason", reason).filter(F.col("whole").isNull() | kind(F.col("whole")).startswith("OBJECT"))
-    good = rows.filter(F.col("reason").isNull()).select(F.try_variant_get("whole", "$.id", "string").alias("id"), "geometry", strip_geometry(F.col("whole")).alias("doc"), *keep)
-    return Import(with_envelope(good).select(*FEATURE, *keep), rows.filter(F.col("reason").isNotNull()).select("line", "reason"))
+    read = (F.trim("line") != "") & (F.col("whole").isNull() | is_kind(F.col("whole"), "object"))
+    # Filters go below a projection and take its expressions along, but not below a generator: so each line is read once.
+    rows = rows.select(*keep, F.inline(F.array(F.struct("line", "whole", "geometry", reason.alias("reason"), read.alias("read"))))).filter("read")
+    ok = F.col("reason").isNull()
+    both = rows.select(F.when(ok, F.try_variant_get("whole", "$.id", "string")).alias("id"), F.when(ok, F.col("geometry")).alias("geometry"), F.when(ok, strip_geometry(F.col("whole"))).alias("doc"), "line", "reason", *keep)
+    both = with_envelope(both).select(*FEATURE, "line", "reason", *keep)
+    return Import(both.filter(ok).select(*FEATURE, *keep), both.filter(~ok).select("line", "reason"), both)
 
 
 def read_lines(spark: SparkSession, path: str, **options) -> Import:

@@ -445,3 +445,23 @@ def test_deep_pages(spark, monkeypatch):
             assert page.collect() == plain[start:][: limit if limit is not None else None], (keys, start)
             assert "Offset" not in page._jdf.queryExecution().toString() or key[1]
             monkeypatch.setattr(frames, "DEEP", paging.DEEP)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"id":1,"geometry":{"type":"Point","coordinates":[1,2]},"properties":{"a":2}}',), ('{"id":"x"}',), ("[1]",), ("{",), ("  ",)], "value string")
+    got = io.parse(lines, id_type="decimal")
+    for df in (got.features, got.rejects, got.both):
+        assert _plan(df).count("parseJson(value") + _plan(df).count("parseJson(line") == 1
+    assert sorted((r.id or "", r.reason or "") for r in got.both.select("id", "reason").collect()) == [("", "no JSON"), ("", "no id of type decimal"), ("1", "")]
+    assert [(r.id, r.xmin) for r in got.features.collect()] == [("1", 1.0)] and got.rejects.count() == 2
+
+
+def test_decoding_evaluates_its_argument_once(spark):
+    df = spark.createDataFrame([('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]}]}',), ('{"type":"Point","coordinates":[1]}',)], "t string")
+    got = df.select(decode(F.parse_json("t"), srid=7).alias("g"))
+    assert _plan(got).count("parseJson(") == 1
+    assert [(g and (g.type, g.srid, len(g.parts))) for g, in got.collect()] == [("GeometryCollection", 7, 1), None]
