@@ -12,6 +12,10 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import let
+
+#: Texts of numbers that the type decimal(38,18) has as they are.
+EXACT = r"^-?\d{1,20}(\.\d{1,18})?$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,9})?\s*$"
 _PARTS = r"^\s*([+-]?)0*(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?\s*$"
 #: Added to exponents, so that none is negative; with texts of at most 2^31 digits they stay below its double.
@@ -21,13 +25,15 @@ _UP, _DOWN = "0123456789", "9876543210"
 
 def number_key(text: Column) -> Column:
     """The key of a number's text; null if it is none."""
-    part = lambda k: F.regexp_extract(text, _PARTS, k)
-    digits = F.concat(part(2), part(3))
+    return let(text, lambda t: F.when(t.rlike(_NUMBER), let(F.struct(*[F.regexp_extract(t, _PARTS, k).alias(f"p{k}") for k in range(1, 5)]), _key)))
+
+
+def _key(parts: Column) -> Column:
+    digits = F.concat(parts["p2"], parts["p3"])
     some = F.ltrim(digits, F.lit("0"))
-    exponent = F.length(part(2)) - (F.length(digits) - F.length(some)) + F.coalesce(part(4).try_cast("bigint"), F.lit(0).cast("bigint"))
+    exponent = F.length(parts["p2"]) - (F.length(digits) - F.length(some)) + F.coalesce(parts["p4"].try_cast("bigint"), F.lit(0).cast("bigint"))
     size = F.concat(F.lpad((exponent + _BIAS).cast("string"), _WIDTH, "0"), F.rtrim(some, F.lit("0")))
-    key = F.when(some == "", "1").when(part(1) == "-", F.concat(F.lit("0"), F.translate(size, _UP, _DOWN), F.lit("~"))).otherwise(F.concat(F.lit("2"), size))
-    return F.when(text.rlike(_NUMBER), key)
+    return F.when(some == "", "1").when(parts["p1"] == "-", F.concat(F.lit("0"), F.translate(size, _UP, _DOWN), F.lit("~"))).otherwise(F.concat(F.lit("2"), size))
 
 
 def key_of(number: Decimal) -> str:

@@ -93,5 +93,9 @@ _BEGIN = {"object": "^OBJECT<", "array": "^ARRAY<", "number": "^(BIGINT|DECIMAL|
 
 def is_kind(value: Column, kind: str) -> Column:
     """Whether the variant is of that kind; false if it is missing. The schema is made once, also where Spark doesn't share expressions."""
-    schema = F.schema_of_variant(value)
+    return is_kind_of(F.schema_of_variant(value), kind)
+
+
+def is_kind_of(schema: Column, kind: str) -> Column:
+    """The same, from the variant's schema."""
     return F.coalesce(schema == _NAMED[kind] if kind in _NAMED else schema.rlike(_BEGIN[kind]), F.lit(False))

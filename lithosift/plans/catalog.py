@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import GEOMETRY
-from ..functions.numbers import number_key
-from ..functions.paths import is_kind, steps
+from ..functions.numbers import EXACT, number_key
+from ..functions.paths import is_kind_of, steps
 from ..functions.predicates import Predicate, from_spec, odd_column
 from ..functions.spatial import curve
 from ..operators.frame import FeatureFrame
@@ -239,18 +239,23 @@ def optimize_layout(frame: FeatureFrame, paths: list[tuple[str, str]], path: str
     # The path's letters may meet with another path's, so columns have a number.
     names = {p: f"p_{'_'.join(steps(p)).replace('-', '_')}" + (f"_{k}" if k else "") for k, (p, _) in enumerate(paths)}
 
-    def columns(p: str, kind: str) -> dict[str, Column]:
-        value = frame.binding.value(p)
-        typed = F.when(is_kind(value, kind), F.try_variant_get(value, "$", types[kind]))
-        odd = is_kind(value, "array") | is_kind(value, "null") | (is_kind(value, kind) & typed.isNull())
-        if kind == "number":  # rounded
-            rounded = typed.isNotNull() & (number_key(F.try_variant_get(value, "$", "string")) != number_key(typed.cast("string")))
-            typed, odd = F.when(~rounded, typed), odd | F.coalesce(rounded, F.lit(False))
-        return {names[p]: typed, odd_column(names[p]): odd}
+    def with_columns(df: DataFrame, p: str, kind: str) -> DataFrame:
+        # Each step is a column of its own, so it is made once a row.
+        df, value, typed, text = df.withColumn("__value", frame.binding.value(p)), F.col("__value"), F.col("__typed"), F.col("__text")
+        df = df.withColumn("__schema", F.schema_of_variant(value))
+        schema = F.col("__schema")
+        df = df.withColumns({"__typed": F.when(is_kind_of(schema, kind), F.try_variant_get(value, "$", types[kind])), "__text": F.when(is_kind_of(schema, kind), F.try_variant_get(value, "$", "string"))})
+        odd = is_kind_of(schema, "array") | is_kind_of(schema, "null") | (is_kind_of(schema, kind) & typed.isNull())
+        if kind == "number":  # rounded; most texts show that they aren't
+            df = df.withColumn("__rounded", F.coalesce(typed.isNotNull() & F.when(text.rlike(EXACT), F.lit(False)).otherwise(number_key(text) != number_key(typed.cast("string"))), F.lit(False)))
+            df = df.withColumns({names[p]: F.when(~F.col("__rounded"), typed), odd_column(names[p]): odd | F.col("__rounded")})
+        else:
+            df = df.withColumns({names[p]: typed, odd_column(names[p]): odd})
+        return df.drop("__value", "__schema", "__typed", "__text", "__rounded")
 
     df = frame.df
     for p, k in paths:
-        df = df.withColumns(columns(p, k))
+        df = with_columns(df, p, k)
     keys = [names[p] for p, _ in paths]
     order = keys
     if by_space:

@@ -288,3 +288,9 @@ def test_two_properties_of_any_precision(spark):
     f, w = FeatureFrame(df), prop("properties.w")
     for name, op in (("lt", operator.lt), ("eq", operator.eq), ("ge", operator.ge)):
         assert {r.id for r in f.filter(getattr(V, name)(w)).df.collect()} == {str(k) for k, (a, b) in enumerate(pairs) if op(Decimal(a), Decimal(b))}
+
+
+def test_keys_evaluate_their_text_once(spark):
+    df = spark.createDataFrame([("12.50",), ("-0.001",), ("x",)], "t string").select(number_key(F.lower("t")).alias("k"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r.k for r in df.collect()] == [key_of(Decimal("12.5")), key_of(Decimal("-0.001")), None]
