@@ -259,7 +259,7 @@ def _round(d: Decimal, how: str) -> Decimal:
 
 def _fits(value) -> bool:
     d = _decimal(value)
-    return d is not None and abs(d) < _LARGE and d == _round(d, ROUND_FLOOR)
+    return d is not None and d.copy_abs() < _LARGE and d == _round(d, ROUND_FLOOR)  # abs() rounds to 28 digits
 
 
 def _number(op: Callable, value: Column, text: Column, other) -> Column:
@@ -271,7 +271,7 @@ def _number(op: Callable, value: Column, text: Column, other) -> Column:
     if d is None:
         return op(text.try_cast("double"), F.lit(float(other)))
     exact = op(number_key(text), F.lit(key_of(d)))
-    if abs(d) >= _LARGE - 1:
+    if d.copy_abs() >= _LARGE - 1:
         return exact
     rounded = F.lit(str(_round(d, ROUND_HALF_UP))).cast("decimal(38,18)")
     return F.when(value.isNull() | (value == rounded), exact).otherwise(op(value, rounded))
@@ -285,9 +285,10 @@ def _stored(op: Callable, column: Column, other) -> Column:
     if op in (operator.eq, operator.ne):
         return F.lit(op is operator.ne)
     less = op in (operator.lt, operator.le)
-    if abs(d) >= _LARGE:
+    near = _round(d, ROUND_FLOOR if less else ROUND_CEILING) if d.copy_abs() < _LARGE else d
+    if near.copy_abs() >= _LARGE:
         return F.lit(less == (d > 0))
-    near = F.lit(str(_round(d, ROUND_FLOOR if less else ROUND_CEILING))).cast("decimal(38,18)")
+    near = F.lit(str(near)).cast("decimal(38,18)")
     return column <= near if less else column >= near
 
 

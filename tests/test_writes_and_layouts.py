@@ -294,3 +294,15 @@ def test_keys_evaluate_their_text_once(spark):
     df = spark.createDataFrame([("12.50",), ("-0.001",), ("x",)], "t string").select(number_key(F.lower("t")).alias("k"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert [r.k for r in df.collect()] == [key_of(Decimal("12.5")), key_of(Decimal("-0.001")), None]
+
+
+def test_constants_at_the_edge_of_the_decimal_type(spark, tmp_path):
+    """38 digits aren't rounded to the 28 of Decimal's own arithmetic."""
+    edge = "99999999999999999999.999999999999999999"
+    values = [edge, f"-{edge}", "12"]
+    df = spark.createDataFrame([(v, '{"properties": {"v": %s}}' % v) for v in values], "id string, j string").select("id", F.parse_json("j").alias("doc"))
+    laid = catalog.optimize_layout(FeatureFrame(df), [("properties.v", "number")], str(tmp_path / "l"))
+    others = [Decimal(f"{sign}{edge}{more}") for sign in ("", "-") for more in ("", "5")]
+    tests = {f"{name} {o}": (getattr(operator, name), o) for name in ("eq", "ne", "lt", "le", "gt", "ge") for o in others}
+    for r in laid.df.select("id", *[getattr(V, op.__name__)(o).column(laid.binding).alias(k) for k, (op, o) in tests.items()]).collect():
+        assert {k: r[k] for k in tests} == {k: op(Decimal(r.id), o) for k, (op, o) in tests.items()}
