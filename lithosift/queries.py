@@ -220,7 +220,7 @@ def s02_registered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.to_line(tables.events(spark, sf_dir).df)
+    return io.to_line(tables.events(spark, sf_dir, spread=True).df)
 
 
 @query("s03_import_lines", f"SELECT {ID}, CAST(user_id AS DOUBLE) AS xmin, event_type, NULL AS reason FROM events WHERE event_id % 11 <> 0 UNION ALL SELECT NULL, NULL, NULL, 'no JSON' FROM events WHERE event_id % 11 = 0")
@@ -557,8 +557,8 @@ def w06_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w05_id", f"SELECT {ID} FROM events UNION ALL SELECT 'k' || CAST(event_id AS VARCHAR) FROM events")
 def w05_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids are numbers in the one load and strings in the other."""
-    lines = _lines(spark, sf_dir)
+    """Ids are numbers in the one load and strings in the other. Both read the same shuffled lines, so these are made once."""
+    lines = _lines(spark, sf_dir).repartition("value")
     text = lines.select(F.regexp_replace("value", r'"id":(\d+)', r'"id":"k$1"').alias("value"))
     return io.parse(lines, id_type="decimal").features.select("id").unionByName(io.parse(text, id_type="text").features.select("id"))
 

@@ -23,9 +23,13 @@ def _text(c: str) -> Column:
 OPT = ("", ',"opt":null', ',"opt":"12"', ',"opt":12', ',"opt":[12,"a"]')
 
 
-def events(spark: SparkSession, sf_dir: str, mode: str = "typed") -> FeatureFrame:
-    """Points (user_id, value); properties event_type, user_id, value, day, props.k, tags, flag, opt."""
+def events(spark: SparkSession, sf_dir: str, mode: str = "typed", spread: bool = False) -> FeatureFrame:
+    """Points (user_id, value); properties event_type, user_id, value, day, props.k, tags, flag, opt.
+
+    A row group is read by one task; spread deals the rows out first, for work that is dear and needs every row.
+    """
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df = df.repartition("event_id") if spread else df
     opt = F.element_at(F.array(*map(F.lit, OPT)), (F.col("event_id") % 5 + 1).cast("int"))
     json = F.concat(
         F.lit('{"type":"Feature","id":'), F.col("event_id").cast("string"), F.lit(',"properties":{"event_type":'), _text("event_type"), F.lit(',"user_id":'), F.col("user_id").cast("string"),

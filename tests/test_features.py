@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lithosift import queries
 from lithosift.functions.geometry import GEOMETRY, GeometryError, box, decode, encode, ewkt, line, multi, point, point_of, polygon
 from lithosift.functions.predicates import always, intersects, intersects_bbox, prop, spark_date_format, to_date
 from lithosift.operators.frame import FeatureFrame, with_envelope
@@ -14,6 +15,7 @@ from lithosift.operators.projection import Each, Path, flatten, project
 from lithosift.operators.writes import Collection, ConcurrentWrite, DuplicateIds
 from lithosift.plans import catalog
 from lithosift.sources import features as io
+from lithosift.sources import tables
 
 #: Property a of each document, by id; None leaves it out.
 VALUES = {"missing": None, "null": "null", "s12": '"12"', "n12": "12", "d12": "12.0", "arr": '[12,"a"]', "abc": '"abc"', "obj": '{"b":[1,{"c":"x"}]}', "yes": "true", "big": "1e30"}
@@ -465,3 +467,31 @@ def test_decoding_evaluates_its_argument_once(spark):
     got = df.select(decode(F.parse_json("t"), srid=7).alias("g"))
     assert _plan(got).count("parseJson(") == 1
     assert [(g and (g.type, g.srid, len(g.parts))) for g, in got.collect()] == [("GeometryCollection", 7, 1), None]
+
+
+def test_stripping_goes_through_text_only_for_rewritten_numbers(spark):
+    docs = ['{"id":1,"a":null,"geometry":{"type":"Point"},"b":[1,null,{"geometry":2}]}', "{}", '{"geometry":1}', '{"n":1e2,"m":12.50,"k":100.0,"z":-0,"q":-0.0}', '{"n":1E300,"x":1e-7}', '{"":1," ":{"a\\"b":"q\\u0001\\n\\\\é"}}', '{"a":[1,1.5,"x",2e1],"DOUBLE":true}', '{"n":1.00000000000000000000000000000000000000}']
+    df = spark.createDataFrame([(d,) for d in docs], "j string").select(F.parse_json("j").alias("d"))
+    through = F.parse_json(F.to_json(F.map_filter(F.from_json(F.to_json("d"), "map<string,variant>"), lambda k, _: k != "geometry")))
+    got = df.select(io.strip_geometry(F.col("d")).alias("a"), through.alias("b"))
+    for a, b, *kinds in got.select(F.to_json("a"), F.to_json("b"), F.schema_of_variant("a"), F.schema_of_variant("b")).collect():
+        assert a == b and kinds[0] == kinds[1]
+    plan = df.select(io.strip_geometry(F.col("d")).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.index("CASE WHEN RLIKE(schema_of_variant") < plan.index("to_json")
+
+
+def test_objects_are_known_by_their_first_character(spark):
+    lines = ['{"id":1}', ' \t{"id":2}', "[3]", "4", '"{"', "null", " ", "{"]
+    both = io.parse(spark.createDataFrame([(x,) for x in lines], "value string"), id_type="decimal").both
+    assert sorted((r.line, r.reason) for r in both.select("line", "reason").collect()) == sorted([(lines[0], None), (lines[1], None), ("{", "no JSON")])
+
+
+def test_lines_of_two_loads_are_made_once_and_dealt_out(spark, sf):
+    df = queries.QUERIES["w05_id"](spark, sf)
+    assert df.count() == 2 * spark.read.parquet(f"{sf}/events.parquet").count()
+    rows = tables.events(spark, sf, spread=True).df
+    assert sorted(r.id for r in rows.select("id").collect()) == sorted(r.id for r in tables.events(spark, sf).df.select("id").collect())
+    for d, shuffle in ((rows, "hashpartitioning(event_id"), (df, "hashpartitioning(value")):
+        assert shuffle in d._jdf.queryExecution().executedPlan().toString()
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
