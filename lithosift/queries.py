@@ -226,9 +226,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s03_import_lines", f"SELECT {ID}, CAST(user_id AS DOUBLE) AS xmin, event_type, NULL AS reason FROM events WHERE event_id % 11 <> 0 UNION ALL SELECT NULL, NULL, NULL, 'no JSON' FROM events WHERE event_id % 11 = 0")
 def s03_import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every eleventh line is cut off; some lines are JSON but no object."""
-    lines = tables.events(spark, sf_dir).df
-    text = io.to_line(lines).withColumn("id", F.try_variant_get(F.try_parse_json("value"), "$.id", "long"))
-    text = text.select(F.when(F.col("id") % 11 == 0, F.expr("left(value, length(value) - 3)")).otherwise(F.col("value")).alias("value"))
+    lines = tables.events(spark, sf_dir, spread=True).df
+    text = io.to_line(lines, keep=("id",)).select(F.when(F.col("id").cast("long") % 11 == 0, F.expr("left(value, length(value) - 3)")).otherwise(F.col("value")).alias("value"))
     path = work(spark)
     text.unionByName(lines.select(F.concat(F.lit("["), F.col("id"), F.lit("]")).alias("value"))).write.text(path)
     f = FeatureFrame(io.read_lines(spark, path, id_type="decimal").both)
