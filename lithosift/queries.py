@@ -585,7 +585,7 @@ def t01_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads of files; the second changes every fourth event."""
     from .streaming.ingest import ingest
 
-    root, f = work(spark), tables.events(spark, sf_dir)
+    root, f = work(spark), tables.events(spark, sf_dir, spread=True)
     target = Collection(spark, f"{root}/collection")
     late = f.df.filter(F.col("id").cast("long") % 4 == 0).withColumn("doc", F.parse_json(F.concat(F.lit('{"type":"Feature","id":'), F.col("id"), F.lit(',"properties":{"event_type":"late"}}'))))
     for load in (f.df, late):
