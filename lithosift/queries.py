@@ -367,7 +367,7 @@ def c06_space_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c07_layout_and_writes", f"SELECT {ID}, event_id % 4 = 1 AS changed FROM events WHERE (event_type = 'click' OR event_id % 4 = 1) AND value < 50")
 def c07_layout_and_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layout of three quarters of the events; the last quarter is inserted later, then a quarter becomes clicks."""
-    name, f = f"lithosift_{uuid.uuid4().hex}", tables.events(spark, sf_dir)
+    name, f = f"lithosift_{uuid.uuid4().hex}", tables.events(spark, sf_dir, spread=True)
     rest = F.col("id").cast("long") % 4
     catalog.create_collection(spark, name, (0, 0, 1000, 1000), id_type="decimal", path=work(spark))
     table = catalog.Table(spark, name)
